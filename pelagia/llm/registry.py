@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op4_best_fit_packing
 from .token_output import op3_token_output
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op3_token_output": op3_token_output,
 }
 

@@ -58,8 +58,6 @@ class WordTokenizer:
                     self.cores[word] = np.array(one, np.uint32).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > MEMO_WORDS:
-            self.chunks.clear()
         if len(self.cores) > MEMO_WORDS:
             self.cores.clear()
         plain, odd = {}, []
@@ -84,6 +82,9 @@ class WordTokenizer:
         for text in texts:
             words = (_ASCII_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()) if text else []
             if missing := {w for w in words if w not in self.chunks}:
+                if len(self.chunks) > MEMO_WORDS:
+                    self.chunks.clear()
+                    missing = set(words)
                 self._learn(missing)
             memo = self.chunks
             yield b"".join([memo[w] for w in words])
