@@ -7,11 +7,12 @@ import re
 
 import numpy as np
 
-#: Words kept in a worker's memory at once; the table is emptied when it is full, results don't depend on it.
-MEMO_WORDS = 300_000
+#: Entries kept in a worker's memory at once (some 150 MB together); a full table is emptied, results don't depend on it.
+MEMO_CHUNKS, MEMO_CORES = 400_000, 1_000_000
 
 #: Python splits at these, the vocabulary's pre-tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
@@ -57,37 +58,41 @@ class WordTokenizer:
                 for word, one in zip(part, self._raw(part), strict=True):
                     self.cores[word] = np.array(one, np.uint32).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.cores) > MEMO_WORDS:
+    def _learn(self, chunks: set[str], latin: bool) -> None:
+        if len(self.cores) > MEMO_CORES:
             self.cores.clear()
-        plain, odd = {}, []
+        plain, odd, need, tails = [], [], set(), set()
+        known = self.cores
         for c in chunks:
             core = c.rstrip(",.;:")
-            if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
-                plain[c] = (core.lower(), c[len(core) :])
+            if core.isalpha() and (latin or core.isascii()):
+                plain.append((c, core))
+                if core not in known:
+                    need.add(core)
+                if len(core) < len(c) and c[len(core) :] not in known:
+                    tails.add(c[len(core) :])
             else:
                 odd.append(c)
-        need = {x for pair in plain.values() for x in pair if x and x not in self.cores}
-        self._learn_cores(sorted(x for x in need if x[0].isalpha()))
-        tails = [x for x in need if not x[0].isalpha()]
-        for x, one in zip(tails, self._raw(tails), strict=True):
-            self.cores[x] = np.array(one, np.uint32).tobytes()
-        for c, (core, tail) in plain.items():
-            self.chunks[c] = self.cores[core] + (self.cores[tail] if tail else b"")
-        for c, one in zip(odd, self._raw(odd), strict=True):
-            self.chunks[c] = np.array(one, np.uint32).tobytes()
+        self._learn_cores(list(need))
+        for words, into in ((list(tails), known), (odd, self.chunks)):
+            for x, one in zip(words, self._raw(words), strict=True):
+                into[x] = np.array(one, np.uint32).tobytes()
+        for c, core in plain:
+            self.chunks[c] = known[core] if len(core) == len(c) else known[core] + known[c[len(core) :]]
 
     def encode(self, texts: list[str | None]):
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
+            latin = bool(text) and not _BEYOND_LATIN.search(text) and "<|" not in text and "İ" not in text
+            if latin:
+                text = text.lower()  # as the vocabulary's normaliser does
             words = (_ASCII_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()) if text else []
-            if missing := {w for w in words if w not in self.chunks}:
-                if len(self.chunks) > MEMO_WORDS:
+            if missing := set(words).difference(self.chunks):
+                if len(self.chunks) > MEMO_CHUNKS:
                     self.chunks.clear()
                     missing = set(words)
-                self._learn(missing)
-            memo = self.chunks
-            yield b"".join([memo[w] for w in words])
+                self._learn(missing, latin)
+            yield b"".join(map(self.chunks.__getitem__, words))
 
 
 _loaded: dict[str, WordTokenizer] = {}
