@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import op2_benchmark_decontamination
 from .licenses import op7_license_scans
 from .media import op5_media_columns
 from .packing import op4_best_fit_packing
 from .token_output import op3_token_output
 
 QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_output": op3_token_output,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_media_columns": op5_media_columns,
