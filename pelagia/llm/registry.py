@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontam import op2_benchmark_decontamination
 from .licenses import op7_license_scans
 from .media import op5_media_columns
+from .near_dedup import op10_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .token_output import op3_token_output
 
 QUERIES = {
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_output": op3_token_output,
     "op4_best_fit_packing": op4_best_fit_packing,
