@@ -7,9 +7,11 @@ from .licenses import op7_license_scans
 from .media import op5_media_columns
 from .near_dedup import op10_minhash_near_dedup
 from .packing import op4_best_fit_packing
+from .substring_dedup import op8_substring_dedup
 from .token_output import op3_token_output
 
 QUERIES = {
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_output": op3_token_output,
