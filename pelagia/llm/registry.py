@@ -9,10 +9,12 @@ from .near_dedup import op10_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .substring_dedup import op8_substring_dedup
 from .token_output import op3_token_output
+from .toxicity import op6_toxicity
 from .url_filter import op9_url_filters
 
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op9_url_filters": op9_url_filters,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
