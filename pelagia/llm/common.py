@@ -36,6 +36,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Ids that may be broadcast (16 bytes each in the hash table); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` (long) is among the staged ``ids``; broadcast only after they are counted."""
+    ids = staged(ids.select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def folded_words(text: bytes | None) -> list[bytes]:
     """Lower-cased runs of 0-9, a-z and non-ASCII characters."""
     return text.translate(FOLD_WORDS).split() if text else []
@@ -131,7 +141,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star contraction as Spark joins and grouped minima; each round
     is staged in the shared folder, so lineage stays short and nothing is gathered on the driver.
-    Nodes without an edge to another node have no row. Null ends are ignored.
+    Nodes without an edge to another node have no row, all others have one. Null ends are ignored.
     """
     spark = edges.sparkSession
     edges = staged(
@@ -163,4 +173,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("component"))
+    found = edges.groupBy("u").agg(F.min("v").alias("component"))
+    return found.union(found.select(F.col("component").alias("u"), "component").distinct())

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hash_texts, mix, staged, text_runs
+from .common import components, hash_texts, mix, narrowed, staged, text_runs
 
-MINIMA, BANDS, ROWS, BITS = 128, 16, 4, 4
+MINIMA, BANDS, ROWS, BITS = 256, 16, 4, 4
 _FACTORS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
 
@@ -129,7 +129,7 @@ def _alike(percent: int):
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of ids whose full sets reach the similarity. ``pairs`` is staged by the caller."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    named = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    named = narrowed(texts, ids).select("doc_id", "text")
     sets = staged(named.mapInArrow(_sets(width), "id long, values binary"), "sets")
     right = pairs.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
     both = right.join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
@@ -140,6 +140,61 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
+def link_groups(member: DataFrame, sketches: DataFrame, verify, near: float, found: list[DataFrame] | None = None) -> DataFrame:
+    """Components (u, component) of the ids that are alike and share a group: every such link is accounted for.
+
+    ``member`` (key, id) and ``sketches`` (id, sketch) are staged; ``verify`` gives the true links among staged
+    pairs (a, b). Each id is first compared with the smallest id and with the hub of its groups, the member that
+    shares groups with most others (the original, where there are edited copies of one). Then groups
+    whose members still lie in several components compare members of different ones: first the likeliest
+    pair of each two components, then all that are left above the estimate ``near``.
+    """
+    found = list(found or [])
+    done = None
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+        b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+        likely = pairs.join(b, "b").join(a, "a").filter(estimate(F.col("sa"), F.col("sb")) >= near)
+        return staged(likely.select("a", "b").distinct(), "stars")
+
+    def add(pairs: DataFrame) -> DataFrame:
+        good = verify(pairs)
+        found.append(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return staged(components(reduce(DataFrame.union, found)), "labels")
+
+    sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = staged(member.join(sizes, "key"), "groups")
+    reach = sized.groupBy("id").agg(F.sum("size").alias("reach"))
+    hubs = sized.join(reach, "id").groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("reach", "id")).alias("hub"))
+    ends = sized.join(hubs.select("key", "low", F.col("hub.id").alias("hub")), "key")
+    stars = ends.select(*_ordered("id", "low")).union(ends.select(*_ordered("id", "hub"))).filter("a <> b").distinct()
+    done = tested(stars)
+    labels = add(done)
+    for best_only in (True, False):
+        named = sized.select("id", "key").join(labels.withColumnRenamed("u", "id"), "id", "left")
+        named = named.withColumn("component", F.coalesce("component", "id"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+        rest = staged(named.join(mixed.select("key"), "key").join(sketches, "id"), "mixed")
+        x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "component", "sketch")]) for s in "xy")
+        pairs = x.join(y, "key").filter(F.col("componentx") < F.col("componenty"))
+        alike = estimate(F.col("sketchx"), F.col("sketchy"))
+        pairs = pairs.filter(alike >= near).select("idx", "idy", "componentx", "componenty", alike.alias("alike"))
+        if best_only:
+            pairs = pairs.groupBy("componentx", "componenty").agg(F.max(F.struct("alike", "idx", "idy")).alias("best")).select("best.idx", "best.idy")
+        todo = staged(pairs.select(*_ordered("idx", "idy")).distinct().join(done, ["a", "b"], "left_anti"), "todo")
+        if todo.limit(1).count():
+            done = done.union(todo)
+            labels = add(todo)
+    return labels
+
+
+def least_estimate(percent: int) -> float:
+    """Estimates below this, five standard deviations under the threshold, are not compared in full."""
+    p = percent / 100
+    return p - 5 * (p * (1 - p) / MINIMA) ** 0.5
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is that id).
 
@@ -159,42 +214,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     links = staged(own.join(sets.select(*of_set, "id"), of_set).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "copies")
     several = own.select("doc_id", *of_set).distinct().groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     found = [links.select(F.col("a").alias("u"), F.col("b").alias("v"))] if several else []
-    sketches = sets.select("id", "sketch")
-    near = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
-    member = sets.select("id", F.posexplode("bands").alias("band", "key"))
-
-    def tested(pairs: DataFrame, name: str) -> DataFrame:
-        a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-        likely = pairs.join(b, "b").join(a, "a").filter(estimate(F.col("sa"), F.col("sb")) >= near)
-        return staged(likely.select("a", "b").distinct(), name)
-
-    ends = member.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    ends = staged(member.join(ends, ["band", "key"]), "groups")
-    stars = ends.select(*_ordered("id", "low")).union(ends.select(*_ordered("id", "high"))).filter("a <> b").distinct()
-    done = tested(stars, "stars")
-    good = verified(done, texts, width, percent)
-    found.append(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = staged(components(reduce(DataFrame.union, found)), "labels")
-
-    for best_only in (True, False):
-        # groups whose members are not all in one component
-        named = ends.select("id", "band", "key").join(labels.withColumnRenamed("u", "id"), "id", "left")
-        named = named.withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-        rest = staged(named.join(mixed.select("band", "key"), ["band", "key"]).join(sketches, "id"), "mixed")
-        x, y = (rest.select("band", "key", *[F.col(c).alias(c + s) for c in ("id", "component", "sketch")]) for s in "xy")
-        pairs = x.join(y, ["band", "key"]).filter(F.col("componentx") < F.col("componenty"))
-        pairs = pairs.withColumn("alike", estimate(F.col("sketchx"), F.col("sketchy"))).filter(F.col("alike") >= near)
-        if best_only:
-            pairs = pairs.groupBy("idx", "componenty").agg(F.max_by("idy", F.struct("alike", "idy")).alias("idy"))
-        todo = staged(pairs.select(*_ordered("idx", "idy")).distinct().join(done, ["a", "b"], "left_anti"), "todo")
-        if not todo.limit(1).count():
-            continue
-        done = done.union(todo)
-        good = verified(todo, texts, width, percent)
-        found.append(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labels = staged(components(reduce(DataFrame.union, found)), "labels")
+    member = sets.select(F.posexplode("bands").alias("band", "h"), "id").select(F.xxhash64("band", "h").alias("key"), "id")
+    labels = link_groups(member, sets.select("id", "sketch"), lambda pairs: verified(pairs, texts, width, percent), least_estimate(percent), found)
 
     named = sets.select(*of_set, "id").join(labels.withColumnRenamed("u", "id"), "id", "left")
     named = named.select(*of_set, F.coalesce("component", "id").alias("component"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op2_benchmark_decontamination
 from .licenses import op7_license_scans
+from .line_dedup import op1_line_dedup
 from .media import op5_media_columns
 from .near_dedup import op10_minhash_near_dedup
 from .packing import op4_best_fit_packing
@@ -14,6 +15,7 @@ from .url_filter import op9_url_filters
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op9_url_filters": op9_url_filters,
     "op8_substring_dedup": op8_substring_dedup,
