@@ -46,6 +46,13 @@ def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` (long) is not among ``ids``; rows with a null id stay. Broadcast only after a count."""
+    ids = staged(ids.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct(), "gone")
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(small, docs["doc_id"] == small["gone_id"], "left_anti")
+
+
 def folded_words(text: bytes | None) -> list[bytes]:
     """Lower-cased runs of 0-9, a-z and non-ASCII characters."""
     return text.translate(FOLD_WORDS).split() if text else []

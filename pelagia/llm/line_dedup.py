@@ -172,7 +172,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct()
     whole = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     done = whole.join(gone, "key", "left").select("row", "text", "gone")
-    schema = f"row {whole.schema['row'].dataType.simpleString()}, n_lines long, n_removed long, kept string"
+    schema = whole.select("row").schema
+    for name, kind in (("n_lines", "long"), ("n_removed", "long"), ("kept", "string")):
+        schema = schema.add(name, kind)
     return done.mapInArrow(_without, schema)
 
 

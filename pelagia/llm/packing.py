@@ -155,8 +155,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offsets[rows] = offset[k] + nth % times[k] * n
             yield df.drop(columns=["rank"]).assign(sequence_id=pd.Series(bins, index=df.index), offset=pd.Series(offsets, index=df.index))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInPandas(place, ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

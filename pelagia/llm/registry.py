@@ -7,12 +7,14 @@ from .licenses import op7_license_scans
 from .line_dedup import op1_line_dedup
 from .media import op5_media_columns
 from .near_dedup import op10_minhash_near_dedup
+from .oracle import ORACLE_SQL
 from .packing import op4_best_fit_packing
 from .substring_dedup import op8_substring_dedup
 from .token_output import op3_token_output
 from .toxicity import op6_toxicity
 from .url_filter import op9_url_filters
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -26,5 +28,3 @@ QUERIES = {
     "op5_media_columns": op5_media_columns,
     "op7_license_scans": op7_license_scans,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -280,5 +280,30 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     )
 
 
+def _rejects(model: np.ndarray, weights: dict[str, float], bias: float, reject_at: float):
+    score = _scores(model, weights, bias)
+
+    def run(batches):
+        for batch in batches:
+            (found,) = score([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "text"])])
+            yield batch.select(["row"]).filter(pa.array([x < reject_at for x in found.column(1).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, reject_at: float = REJECT_AT) -> DataFrame:
+    """The rows of ``docs`` that :func:`toxicity_scores` does not predict as toxic, all columns unchanged.
+
+    Each row is judged by its own text, whatever its id; null and empty texts are kept unless there are
+    only toxic labels. Texts pass through Python once more than the model's counts need.
+    """
+    model = character_model(docs)
+    weights, bias = train(docs, labels, model, sample_rows)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    kept = rows.mapInArrow(_rejects(model, weights, bias, reject_at), rows.select("row").schema)
+    return kept.select("row.*")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
