@@ -4,10 +4,10 @@ One pass gives each document's set size, a 128-bit digest of its set, band keys
 4 bits of 128 minima packed into 512 bits. Documents with equal sets fold into one representative.
 Representatives that share a band key are candidates; the packed bits give a similarity estimate,
 corrected for chance agreement, and only pairs far below the threshold are dropped by it; the others are
-compared on their full sets. Pairs inside a band group are not all formed: a first round links each member
-to the group's ends, later rounds compare only members whose components still differ, until no
-pair of different components that shares a band is left untested. A link of similarity 0.8 shares no band
-with probability 2e-4, and is dropped by the estimate with probability under 1e-5.
+compared on their full sets. Pairs inside a band group are not all formed: a first round compares each document
+with two others, later rounds compare only members whose components still differ, until no
+likely pair of different components that shares a band is left untested. A link of similarity 0.8 shares no band
+with probability 2e-4, and is dropped by the estimate with probability under 5e-5.
 """
 
 from __future__ import annotations
@@ -144,8 +144,8 @@ def link_groups(member: DataFrame, sketches: DataFrame, verify, near: float, fou
     """Components (u, component) of the ids that are alike and share a group: every such link is accounted for.
 
     ``member`` (key, id) and ``sketches`` (id, sketch) are staged; ``verify`` gives the true links among staged
-    pairs (a, b). Each id is first compared with the smallest id and with the hub of its groups, the member that
-    shares groups with most others (the original, where there are edited copies of one). Then groups
+    pairs (a, b). Each id is first compared with two: the smallest id in its groups, and of their hubs (members that
+    share groups with most others: the original, where there are edited copies of one) the greatest. Then groups
     whose members still lie in several components compare members of different ones: first the likeliest
     pair of each two components, then all that are left above the estimate ``near``.
     """
@@ -167,7 +167,8 @@ def link_groups(member: DataFrame, sketches: DataFrame, verify, near: float, fou
     sized = staged(member.join(sizes, "key"), "groups")
     reach = sized.groupBy("id").agg(F.sum("size").alias("reach"))
     hubs = sized.join(reach, "id").groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("reach", "id")).alias("hub"))
-    ends = sized.join(hubs.select("key", "low", F.col("hub.id").alias("hub")), "key")
+    ends = sized.join(hubs, "key").groupBy("id").agg(F.min("low").alias("low"), F.max("hub").alias("hub"), F.collect_set("key").alias("keys"))
+    ends = staged(ends.select("id", "low", F.col("hub.id").alias("hub"), "keys"), "ends")
     stars = ends.select(*_ordered("id", "low")).union(ends.select(*_ordered("id", "hub"))).filter("a <> b").distinct()
     done = tested(stars)
     labels = add(done)
@@ -175,11 +176,12 @@ def link_groups(member: DataFrame, sketches: DataFrame, verify, near: float, fou
         named = sized.select("id", "key").join(labels.withColumnRenamed("u", "id"), "id", "left")
         named = named.withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-        rest = staged(named.join(mixed.select("key"), "key").join(sketches, "id"), "mixed")
-        x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "component", "sketch")]) for s in "xy")
-        pairs = x.join(y, "key").filter(F.col("componentx") < F.col("componenty"))
+        rest = staged(named.join(mixed.select("key"), "key").join(sketches, "id").join(ends.select("id", "keys"), "id"), "mixed")
+        x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "component", "sketch", "keys")]) for s in "xy")
         alike = estimate(F.col("sketchx"), F.col("sketchy"))
-        pairs = pairs.filter(alike >= near).select("idx", "idy", "componentx", "componenty", alike.alias("alike"))
+        # a pair is made in one of the groups that it shares, and only if it is likely
+        once = F.col("key") == F.array_min(F.array_intersect("keysx", "keysy"))
+        pairs = x.join(y, "key").filter((F.col("componentx") < F.col("componenty")) & (alike >= near) & once).select("idx", "idy", "componentx", "componenty", alike.alias("alike"))
         if best_only:
             pairs = pairs.groupBy("componentx", "componenty").agg(F.max(F.struct("alike", "idx", "idy")).alias("best")).select("best.idx", "best.idy")
         todo = staged(pairs.select(*_ordered("idx", "idy")).distinct().join(done, ["a", "b"], "left_anti"), "todo")
@@ -190,9 +192,9 @@ def link_groups(member: DataFrame, sketches: DataFrame, verify, near: float, fou
 
 
 def least_estimate(percent: int) -> float:
-    """Estimates below this, five standard deviations under the threshold, are not compared in full."""
+    """Estimates below this, four standard deviations under the threshold, are not compared in full."""
     p = percent / 100
-    return p - 5 * (p * (1 - p) / MINIMA) ** 0.5
+    return p - 4 * (p * (1 - p) / MINIMA) ** 0.5
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
