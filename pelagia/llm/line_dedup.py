@@ -2,7 +2,7 @@
 
 Lines that are equal after stripping share a 64-bit digest and count as one. Each line gets 10 band keys of 4
 minima; lines that share a key are candidates, linked when the Jaccard similarity of their shingle sets is
-reached in full, and distributed union-find keeps the first occurrence of each component. A pair of similarity
+reached in full (sets of up to ``CARRIED`` shingles travel with the candidates, so that pairs that are not alike are never written), and distributed union-find keeps the first occurrence of each component. A pair of similarity
 0.8 shares no band with probability 0.5 %, one of 0.9 with 2e-5.
 """
 
@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, narrowed, shuffle_width, staged
-from .near_dedup import least_estimate, link_groups, minima, sketch
+from .near_dedup import link_groups
 from .substring_dedup import _batch, _shared_anchors
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
+#: Shingles of a line's set that goes with each of its band keys; larger sets are joined to their candidate pairs.
+CARRIED = 512
 _FACTORS = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -92,7 +94,6 @@ def _band_rows(batches):
         known = ~alone
         yield _batch(
             known=np.concatenate([np.zeros(first.sum(), bool), np.ones(known.sum(), bool)]),
-            deal=np.concatenate([key[first], mix(line[known].view(np.uint64))]),
             h=np.concatenate([key[first], key[known]]), doc_id=np.concatenate([line[first], line[known]]),
         )
 
@@ -105,21 +106,19 @@ def _chosen_lines(batches):
             for i in places:
                 if i < len(lines) and (x := lines[i].strip()):
                     found[line_digest(x)] = x
-        bits = [sketch(minima(character_shingles([x])[0])).view(np.int64).tolist() for x in found.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string()), pa.array(bits, pa.list_(pa.int64()))], ["id", "text", "sketch"])
+        sets = [np.empty(0, np.uint64)]
+        if found:
+            values, starts = character_shingles(list(found.values()))
+            sets += [np.unique(x) for x in np.split(values, starts[1:])]
+        offsets = np.cumsum([len(x) for x in sets]).astype(np.int32)
+        values = pa.array(np.concatenate(sets).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "set"])
 
 
-def _alike_lines(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = (np.unique(character_shingles([z])[0]) for z in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _alike(a: str, b: str, percent: int):
+    """Whether two sets reach the similarity; sizes that can't are told first."""
+    n, m, both = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))
 
 
 def _without(batches):
@@ -148,20 +147,27 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     places = named.mapInArrow(_occurrences, "line long, doc_id long, place int")
     firsts = staged(places.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")), "lines")
 
-    rows = named.select("text").mapInArrow(_band_rows, "known boolean, deal long, h long, doc_id long")
-    shared = rows.repartition(shuffle_width(spark), "deal").sortWithinPartitions("known", "h", "doc_id").mapInArrow(_shared_anchors, "doc_id long, h long")
+    rows = named.select("text").mapInArrow(_band_rows, "known boolean, h long, doc_id long")
+    deal = F.when(F.col("known"), F.col("doc_id")).otherwise(F.col("h"))
+    shared = rows.repartition(shuffle_width(spark), deal).sortWithinPartitions("known", "h", "doc_id").mapInArrow(_shared_anchors, "doc_id long, h long")
     member = staged(shared.select(F.col("h").alias("key"), F.col("doc_id").alias("id")).distinct(), "members")
     wanted = firsts.join(member.select(F.col("id").alias("line")).distinct(), "line").groupBy("first.doc_id").agg(F.collect_list("first.place").alias("places"))
     wanted = staged(wanted, "wanted")
     chosen = narrowed(named, wanted).join(wanted, "doc_id").select("text", "places")
-    chosen = staged(chosen.mapInArrow(_chosen_lines, "id long, text string, sketch array<long>").dropDuplicates(["id"]), "chosen")
+    chosen = staged(chosen.mapInArrow(_chosen_lines, "id long, set array<long>").dropDuplicates(["id"]), "chosen")
+    marks = chosen.select("id", F.size("set").alias("n"), F.when(F.size("set") <= CARRIED, F.col("set")).alias("set"))
+
+    def likely(x: str, y: str):
+        n, m = F.col("n" + x), F.col("n" + y)
+        sized = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+        return sized & F.coalesce(_alike("set" + x, "set" + y, percent), F.lit(True))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        both = both.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return staged(both.mapInArrow(_alike_lines(percent), "a long, b long").distinct(), "links")
+        both = pairs.join(chosen.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        both = both.join(chosen.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+        return staged(both.filter(_alike("sa", "sb", percent)).select("a", "b"), "links")
 
-    labels = link_groups(member, chosen.select("id", "sketch"), verify, least_estimate(percent))
+    labels = link_groups(member, marks, verify, likely)
     linked = firsts.join(labels.withColumnRenamed("u", "line"), "line")
     kept = linked.groupBy("component").agg(F.min("first").alias("keep"))
     repeated = firsts.join(labels.withColumnRenamed("u", "line"), "line", "left").filter("n > 1 or component is not null")

@@ -12,6 +12,7 @@ with probability 2e-4, and is dropped by the estimate with probability under 5e-
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -140,55 +141,48 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def link_groups(member: DataFrame, sketches: DataFrame, verify, near: float, found: list[DataFrame] | None = None) -> DataFrame:
+def link_groups(member: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column], found: list[DataFrame] | None = None) -> DataFrame:
     """Components (u, component) of the ids that are alike and share a group: every such link is accounted for.
 
-    ``member`` (key, id) and ``sketches`` (id, sketch) are staged; ``verify`` gives the true links among staged
-    pairs (a, b). Each id is first compared with two: the smallest id in its groups, and of their hubs (members that
+    ``member`` (key, id) and ``marks`` (id, ...) are staged; ``likely(x, y)`` says by the marks' columns with these
+    suffixes which pairs are worth a comparison, and ``verify`` gives the true links among staged pairs (a, b).
+    Each id is first compared with two: the smallest id in its groups, and of their hubs (members that
     share groups with most others: the original, where there are edited copies of one) the greatest. Then groups
-    whose members still lie in several components compare members of different ones: first the likeliest
-    pair of each two components, then all that are left above the estimate ``near``.
+    whose members still lie in several components compare all likely pairs of different ones.
     """
     found = list(found or [])
-    done = None
+    columns = [c for c in marks.columns if c != "id"]
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-        likely = pairs.join(b, "b").join(a, "a").filter(estimate(F.col("sa"), F.col("sb")) >= near)
-        return staged(likely.select("a", "b").distinct(), "stars")
-
-    def add(pairs: DataFrame) -> DataFrame:
-        good = verify(pairs)
-        found.append(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        return staged(components(reduce(DataFrame.union, found)), "labels")
+    def marked(df: DataFrame, name: str, suffix: str) -> DataFrame:
+        return df.join(marks.select(F.col("id").alias(name), *[F.col(c).alias(c + suffix) for c in columns]), name)
 
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     sized = staged(member.join(sizes, "key"), "groups")
-    reach = sized.groupBy("id").agg(F.sum("size").alias("reach"))
-    hubs = sized.join(reach, "id").groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("reach", "id")).alias("hub"))
-    ends = sized.join(hubs, "key").groupBy("id").agg(F.min("low").alias("low"), F.max("hub").alias("hub"), F.collect_set("key").alias("keys"))
-    ends = staged(ends.select("id", "low", F.col("hub.id").alias("hub"), "keys"), "ends")
+    reach = sized.groupBy("id").agg(F.sum("size").alias("reach"), F.collect_set("key").alias("keys"))
+    reach = staged(reach, "reach")
+    hubs = sized.join(reach.drop("keys"), "id").groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("reach", "id")).alias("hub"))
+    ends = sized.join(hubs, "key").groupBy("id").agg(F.min("low").alias("low"), F.max("hub").alias("hub"))
+    ends = staged(ends.select("id", "low", F.col("hub.id").alias("hub")), "ends")
     stars = ends.select(*_ordered("id", "low")).union(ends.select(*_ordered("id", "hub"))).filter("a <> b").distinct()
-    done = tested(stars)
-    labels = add(done)
-    for best_only in (True, False):
-        named = sized.select("id", "key").join(labels.withColumnRenamed("u", "id"), "id", "left")
-        named = named.withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-        rest = staged(named.join(mixed.select("key"), "key").join(sketches, "id").join(ends.select("id", "keys"), "id"), "mixed")
-        x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "component", "sketch", "keys")]) for s in "xy")
-        alike = estimate(F.col("sketchx"), F.col("sketchy"))
-        # a pair is made in one of the groups that it shares, and only if it is likely
-        once = F.col("key") == F.array_min(F.array_intersect("keysx", "keysy"))
-        pairs = x.join(y, "key").filter((F.col("componentx") < F.col("componenty")) & (alike >= near) & once).select("idx", "idy", "componentx", "componenty", alike.alias("alike"))
-        if best_only:
-            pairs = pairs.groupBy("componentx", "componenty").agg(F.max(F.struct("alike", "idx", "idy")).alias("best")).select("best.idx", "best.idy")
-        todo = staged(pairs.select(*_ordered("idx", "idy")).distinct().join(done, ["a", "b"], "left_anti"), "todo")
-        if todo.limit(1).count():
-            done = done.union(todo)
-            labels = add(todo)
-    return labels
+    stars = staged(marked(marked(stars, "b", "y"), "a", "x").filter(likely("x", "y")).select("a", "b"), "stars")
+    good = verify(stars)
+    found.append(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = staged(components(reduce(DataFrame.union, found)), "labels")
+
+    named = sized.select("id", "key").join(labels.withColumnRenamed("u", "id"), "id", "left")
+    named = staged(named.withColumn("component", F.coalesce("component", "id")), "named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+    rest = named.join(mixed.select("key"), "key").join(reach.select("id", "keys"), "id").join(marks, "id")
+    rest = staged(rest, "mixed")
+    x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "component", "keys", *columns)]) for s in "xy")
+    # a pair is made in one of the groups that it shares, and only if it is likely
+    once = F.col("key") == F.array_min(F.array_intersect("keysx", "keysy"))
+    pairs = x.join(y, "key").filter((F.col("componentx") < F.col("componenty")) & likely("x", "y") & once)
+    todo = staged(pairs.select(*_ordered("idx", "idy")).join(stars, ["a", "b"], "left_anti"), "todo")
+    if not todo.limit(1).count():
+        return labels
+    more = verify(todo).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return staged(components(labels.select("u", F.col("component").alias("v")).union(more)), "labels")
 
 
 def least_estimate(percent: int) -> float:
@@ -217,7 +211,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     several = own.select("doc_id", *of_set).distinct().groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     found = [links.select(F.col("a").alias("u"), F.col("b").alias("v"))] if several else []
     member = sets.select(F.posexplode("bands").alias("band", "h"), "id").select(F.xxhash64("band", "h").alias("key"), "id")
-    labels = link_groups(member, sets.select("id", "sketch"), lambda pairs: verified(pairs, texts, width, percent), least_estimate(percent), found)
+    near = least_estimate(percent)
+    likely = lambda x, y: estimate(F.col("sketch" + x), F.col("sketch" + y)) >= near
+    labels = link_groups(staged(member, "member"), sets.select("id", "sketch"), lambda pairs: verified(pairs, texts, width, percent), likely, found)
 
     named = sets.select(*of_set, "id").join(labels.withColumnRenamed("u", "id"), "id", "left")
     named = named.select(*of_set, F.coalesce("component", "id").alias("component"))

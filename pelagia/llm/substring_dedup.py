@@ -83,8 +83,8 @@ def _shared_anchors(batches):
     """Rows sorted by (known, h, doc_id): those known to be shared, and neighbours of one hash and two documents."""
     held = None
     for batch in batches:
-        known = batch.column(0).to_numpy(zero_copy_only=False)
-        h, doc = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        h, doc = batch.column("h").to_numpy(), batch.column("doc_id").to_numpy()
         hit = known.copy()
         if held is not None:
             known, h, doc, hit = (np.concatenate([[x], y]) for x, y in zip(held, (known, h, doc, hit), strict=True))
