@@ -97,13 +97,12 @@ def get(df: DataFrame, names: list[str], **where) -> DataFrame:
 
 
 def put(df: DataFrame, changes: DataFrame, index: list[str]) -> DataFrame:
-    """A setter: attributes written by index; an index that the table lacks raises when the result is used."""
+    """A setter: attributes written by index. Indices that the table lacks change nothing; :func:`outside` gives them."""
     from .operators.channels import copy
-    from pyspark.sql import functions as F
-
-    unknown = changes.join(df.select(*index), index, "left_anti").select(*index, F.lit(True).alias("__unknown"))
-    out = copy(changes, df, index, [c for c in changes.columns if c not in index])
-    # rows of unknown indices join no cell: they are added, and their flag fails the row
-    out = out.withColumn("__unknown", F.lit(False)).unionByName(unknown, allowMissingColumns=True)
-    guard = F.when(F.col("__unknown"), F.raise_error(F.lit("an index is outside the grid")).cast("boolean")).otherwise(F.lit(True))
-    return out.where(guard).drop("__unknown")
+
+    return copy(changes, df, index, [c for c in changes.columns if c not in index])
+
+
+def outside(df: DataFrame, changes: DataFrame, index: list[str]) -> DataFrame:
+    """Rows of ``changes`` whose index the table lacks."""
+    return changes.join(df.select(*index), index, "left_anti")
