@@ -226,3 +226,21 @@ def sum_of_radii(eddies: DataFrame, factor: float = 1.15, time: str = "snapshot"
     near = near.where(F.col("distance") <= factor * (F.col("ra") + F.col("rb")))
     area = lambda r: F.lit(math.pi) * F.col(r) * F.col(r)
     return near.select("sign", time, "old", "new", "distance", similarity(area("ra"), area("rb"), F.col("pa"), F.col("pb"), F.col("distance")).alias("dx"))
+
+
+# Columns of a track file: name, source, factor, unit.
+_OUTPUT = (
+    ("track", "track", None, ""), ("n", "n", None, ""), ("j1", "snapshot", None, ""), ("cyc", "sign", None, ""), ("lon", "lon", 1.0, "deg"), ("lat", "lat", 1.0, "deg"),
+    ("A", "amplitude", 1.0, "cm"), ("L", "radius_s", 1e-3, "km"), ("U", "swirl", 1e2, "cm/s"), ("Teke", "teke", 1.0, "m**2/s**2"), ("radius_e", "radius_e", 1e-3, "km"),
+)
+
+
+def write_tracks(tracked: DataFrame, path: str) -> None:
+    """Tracks as Parquet with the usual names and units (km, cm, cm/s; 32-bit), a track's rows together and in order."""
+    from .. import units
+
+    out = tracked.select(*[F.col(s).alias(n) if f is None else (F.col(s) * f).cast("float").alias(n) for n, s, f, _ in _OUTPUT])
+    for name, _, factor, unit in _OUTPUT:
+        if factor is not None:
+            out = units.with_unit(out, name, units.named(unit))
+    out.repartition("track").sortWithinPartitions("track", "n").write.parquet(path)
