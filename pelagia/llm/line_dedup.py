@@ -2,7 +2,7 @@
 
 Lines that are equal after stripping share a 64-bit digest and count as one. Each line gets 10 band keys of 4
 minima; lines that share a key are candidates, linked when the Jaccard similarity of their shingle sets is
-reached in full (sets of up to ``CARRIED`` shingles travel with the candidates, so that pairs that are not alike are never written), and distributed union-find keeps the first occurrence of each component. A pair of similarity
+reached in full (sets of up to ``CARRIED`` shingles travel with the candidates of mixed groups, so that pairs that are not alike are not written), and distributed union-find keeps the first occurrence of each component. A pair of similarity
 0.8 shares no band with probability 0.5 %, one of 0.9 with 2e-5.
 """
 
@@ -20,7 +20,7 @@ from .near_dedup import link_groups
 from .substring_dedup import _batch, _shared_anchors
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
-#: Shingles of a line's set that goes with each of its band keys; larger sets are joined to their candidate pairs.
+#: Shingles of a line's set that goes with each of its band keys; pairs of larger ones are compared after the join.
 CARRIED = 512
 _FACTORS = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -106,13 +106,41 @@ def _chosen_lines(batches):
             for i in places:
                 if i < len(lines) and (x := lines[i].strip()):
                     found[line_digest(x)] = x
-        sets = [np.empty(0, np.uint64)]
-        if found:
-            values, starts = character_shingles(list(found.values()))
-            sets += [np.unique(x) for x in np.split(values, starts[1:])]
-        offsets = np.cumsum([len(x) for x in sets]).astype(np.int32)
-        values = pa.array(np.concatenate(sets).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["id", "text"])
+
+
+def _line_sets(batches):
+    """Sizes of lines' shingle sets, and those of up to ``CARRIED`` shingles (32 bits of hash each)."""
+    for batch in batches:
+        lines = batch.column(1).to_pylist()
+        sets = []
+        if lines:
+            values, starts = character_shingles(lines)
+            sets = [np.unique(x.astype(np.uint32)) for x in np.split(values, starts[1:])]
+        small = [x.view(np.int32) if len(x) <= CARRIED else None for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(small, pa.list_(pa.int32()))], ["id", "n", "set"])
+
+
+def _shingle_set(line: str) -> set[str]:
+    line = line.ljust(SHINGLE, "\0")
+    return {line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1)}
+
+
+def _alike_lines(percent: int):
+    """Pairs whose full shingle sets reach the similarity; a batch makes each line's set once."""
+
+    def run(batches):
+        for batch in batches:
+            keep, sets = [], {}
+            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
+            for i, j, s, t in zip(a, b, x, y, strict=True):
+                p = sets.get(i) or sets.setdefault(i, _shingle_set(s))
+                q = sets.get(j) or sets.setdefault(j, _shingle_set(t))
+                both = len(p & q)
+                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _alike(a: str, b: str, percent: int):
@@ -154,8 +182,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     wanted = firsts.join(member.select(F.col("id").alias("line")).distinct(), "line").groupBy("first.doc_id").agg(F.collect_list("first.place").alias("places"))
     wanted = staged(wanted, "wanted")
     chosen = narrowed(named, wanted).join(wanted, "doc_id").select("text", "places")
-    chosen = staged(chosen.mapInArrow(_chosen_lines, "id long, set array<long>").dropDuplicates(["id"]), "chosen")
-    marks = chosen.select("id", F.size("set").alias("n"), F.when(F.size("set") <= CARRIED, F.col("set")).alias("set"))
+    chosen = staged(chosen.mapInArrow(_chosen_lines, "id long, text string"), "chosen")
+    if chosen.groupBy("id").count().filter("count > 1").limit(1).count():  # rows that share an id
+        chosen = staged(chosen.dropDuplicates(["id"]), "chosen")
+
+    def marks(ids: DataFrame) -> DataFrame:
+        return staged(chosen.join(ids, "id").select("id", "text").mapInArrow(_line_sets, "id long, n int, set array<int>"), "sets")
 
     def likely(x: str, y: str):
         n, m = F.col("n" + x), F.col("n" + y)
@@ -163,9 +195,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return sized & F.coalesce(_alike("set" + x, "set" + y, percent), F.lit(True))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(chosen.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        both = both.join(chosen.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-        return staged(both.filter(_alike("sa", "sb", percent)).select("a", "b"), "links")
+        both = pairs.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        both = both.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        return staged(both.mapInArrow(_alike_lines(percent), "a long, b long"), "links")
 
     labels = link_groups(member, marks, verify, likely)
     linked = firsts.join(labels.withColumnRenamed("u", "line"), "line")

@@ -141,21 +141,20 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def link_groups(member: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column], found: list[DataFrame] | None = None) -> DataFrame:
+def link_groups(
+    member: DataFrame, marks: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column],
+    first: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, found: list[DataFrame] | None = None,
+) -> DataFrame:
     """Components (u, component) of the ids that are alike and share a group: every such link is accounted for.
 
-    ``member`` (key, id) and ``marks`` (id, ...) are staged; ``likely(x, y)`` says by the marks' columns with these
-    suffixes which pairs are worth a comparison, and ``verify`` gives the true links among staged pairs (a, b).
+    ``member`` (key, id) is staged. ``verify`` gives the true links among staged pairs (a, b). ``marks`` gives rows (id, ...) for
+    staged ids; ``likely(x, y)`` says by their columns with these suffixes which pairs are worth a comparison. ``first`` thins
+    out the first comparisons.
     Each id is first compared with two: the smallest id in its groups, and of their hubs (members that
     share groups with most others: the original, where there are edited copies of one) the greatest. Then groups
     whose members still lie in several components compare all likely pairs of different ones.
     """
     found = list(found or [])
-    columns = [c for c in marks.columns if c != "id"]
-
-    def marked(df: DataFrame, name: str, suffix: str) -> DataFrame:
-        return df.join(marks.select(F.col("id").alias(name), *[F.col(c).alias(c + suffix) for c in columns]), name)
-
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     sized = staged(member.join(sizes, "key"), "groups")
     reach = sized.groupBy("id").agg(F.sum("size").alias("reach"), F.collect_set("key").alias("keys"))
@@ -164,7 +163,7 @@ def link_groups(member: DataFrame, marks: DataFrame, verify: Callable[[DataFrame
     ends = sized.join(hubs, "key").groupBy("id").agg(F.min("low").alias("low"), F.max("hub").alias("hub"))
     ends = staged(ends.select("id", "low", F.col("hub.id").alias("hub")), "ends")
     stars = ends.select(*_ordered("id", "low")).union(ends.select(*_ordered("id", "hub"))).filter("a <> b").distinct()
-    stars = staged(marked(marked(stars, "b", "y"), "a", "x").filter(likely("x", "y")).select("a", "b"), "stars")
+    stars = staged(first(stars), "stars")
     good = verify(stars)
     found.append(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = staged(components(reduce(DataFrame.union, found)), "labels")
@@ -172,8 +171,10 @@ def link_groups(member: DataFrame, marks: DataFrame, verify: Callable[[DataFrame
     named = sized.select("id", "key").join(labels.withColumnRenamed("u", "id"), "id", "left")
     named = staged(named.withColumn("component", F.coalesce("component", "id")), "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-    rest = named.join(mixed.select("key"), "key").join(reach.select("id", "keys"), "id").join(marks, "id")
-    rest = staged(rest, "mixed")
+    rest = staged(named.join(mixed.select("key"), "key").join(reach.select("id", "keys"), "id"), "mixed")
+    known = marks(staged(rest.select("id").distinct(), "open"))
+    columns = [c for c in known.columns if c != "id"]
+    rest = rest.join(known, "id")
     x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "component", "keys", *columns)]) for s in "xy")
     # a pair is made in one of the groups that it shares, and only if it is likely
     once = F.col("key") == F.array_min(F.array_intersect("keysx", "keysy"))
@@ -213,7 +214,14 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     member = sets.select(F.posexplode("bands").alias("band", "h"), "id").select(F.xxhash64("band", "h").alias("key"), "id")
     near = least_estimate(percent)
     likely = lambda x, y: estimate(F.col("sketch" + x), F.col("sketch" + y)) >= near
-    labels = link_groups(staged(member, "member"), sets.select("id", "sketch"), lambda pairs: verified(pairs, texts, width, percent), likely, found)
+    sketches = sets.select("id", "sketch")
+
+    def first(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketchy")), "b")
+        both = both.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketchx")), "a")
+        return both.filter(likely("x", "y")).select("a", "b")
+
+    labels = link_groups(staged(member, "member"), lambda ids: sketches, lambda pairs: verified(pairs, texts, width, percent), likely, first, found)
 
     named = sets.select(*of_set, "id").join(labels.withColumnRenamed("u", "id"), "id", "left")
     named = named.select(*of_set, F.coalesce("component", "id").alias("component"))
