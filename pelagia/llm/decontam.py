@@ -5,6 +5,7 @@ is a set of positioned 2-word shingles, ordered by how rare they are in the corp
 needs every shingle, so the necessary prefix is the rarest one alone: document shingles are joined with
 those prefix shingles by hash, the shingle's offset gives the only place where the window can stand,
 length and position bounds drop places outside the text, and the words there are compared in full.
+A window of one word has no shingle: it is joined with the single words of the documents.
 """
 
 from __future__ import annotations
@@ -66,11 +67,11 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
     ``docs`` has doc_key and words; each of its rows also gives a row with a null start. ``windows`` is read
     more than once: stage it. Documents are scanned once for the shingle counts and once for each block
-    of at most ``BLOCK_BYTES`` of windows.
+    of at most ``BLOCK_BYTES`` of windows, and once more for each block if there are windows of one word.
     """
-    total = windows.agg(F.sum(F.length("wtext")), F.count("*")).first()
+    total = windows.agg(F.sum(F.length("wtext")), F.count("*"), F.count_if(F.col("len") == 1)).first()
     blocks = 1 + int((total[0] or 0) + 64 * total[1]) // BLOCK_BYTES
-    parts = _shingles(windows, "wtext")
+    parts = _shingles(windows.filter("len > 1"), "wtext")
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
 
     # rarity: occurrences of the windows' shingles in all documents
@@ -98,7 +99,14 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
         found = found.filter(F.col("w").isNull() | (inside & (there == F.col("w.wtext"))))
         return found.select("doc_key", n_words.alias("n_words"), "start", F.col("w.len").alias("len"), F.col("w.items").alias("items"))
 
-    return reduce(DataFrame.unionByName, [block(b) for b in range(blocks)])
+    def single_words(b: int) -> DataFrame:
+        single = windows.filter((F.col("len") == 1) & (block_of("wtext") == b)).select("wtext", "len", "items")
+        places = docs.select("doc_key", F.posexplode("words").alias("start", "word"))
+        found = places.join(F.broadcast(single), F.translate("word", UPPER, LOWER) == F.col("wtext"))
+        return found.select("doc_key", F.lit(None).cast("long").alias("n_words"), "start", "len", "items")
+
+    found = [block(b) for b in range(blocks)] + [single_words(b) for b in range(blocks if total[2] else 0)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5) -> DataFrame:

@@ -186,6 +186,17 @@ def test_decontamination_in_blocks(spark, sample, monkeypatch):
     assert Counter(tuple(r) for r in decontam.decontaminate(sample, bench).collect()) == whole
 
 
+def test_decontamination_by_one_word(spark, monkeypatch):
+    texts = ["in Paris today", "we saw PARIS", "Paris.", "(paris)", "Paris, Paris and paris", "Parish", "paris", "in Rome today", "é", "no é, no", "", None, "x " * 30 + "paris"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])]
+    items = [(1, "Paris"), (2, "é"), (3, "in Paris"), (4, "paris!"), (5, "and"), (6, "...")]
+    df, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(tuple(r) for r in decontam.decontaminate(df, bench).collect()) == contaminated(rows, items)
+    assert Counter(tuple(r) for r in decontam.decontaminate(df, bench, width=1).collect()) == contaminated(rows, items, 1)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    assert Counter(tuple(r) for r in decontam.decontaminate(df, bench).collect()) == contaminated(rows, items)
+
+
 # ---- 3, 4
 
 
