@@ -218,11 +218,11 @@ def births(eddies: DataFrame, links: DataFrame, time: str = "snapshot") -> DataF
     return eddies.join(links.select("sign", time, F.col("new").alias("eddy")), ["sign", time, "eddy"], "left_anti")
 
 
-def sum_of_radii(eddies: DataFrame, factor: float = 1.15, time: str = "snapshot", cell_deg: float = 4.0) -> DataFrame:
+def sum_of_radii(eddies: DataFrame, factor: float = 1.15, time: str = "snapshot") -> DataFrame:
     """Candidate pairs by the other separation rule: distance at most ``factor`` times the sum of radii (itself within 200 km)."""
     a = eddies.select((F.col(time) + 1).alias(time), "sign", F.col("eddy").alias("old"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("radius_e").alias("ra"), F.col("amplitude").alias("pa"))
-    b = eddies.select(F.col(time).alias("__t"), F.col("sign").alias("__s"), F.col("eddy").alias("new"), F.col("lon").alias("bx"), F.col("lat").alias("by"), F.col("radius_e").alias("rb"), F.col("amplitude").alias("pb"))
-    near = pairs_within(a, b, haversine("ay", "ax", "by", "bx", EDDY_EARTH_M), cell_deg, RANGE_M).where((F.col(time) == F.col("__t")) & (F.col("sign") == F.col("__s")))
+    b = eddies.select(time, "sign", F.col("eddy").alias("new"), F.col("lon").alias("bx"), F.col("lat").alias("by"), F.col("radius_e").alias("rb"), F.col("amplitude").alias("pb"))
+    near = pairs_within(a, b, haversine("ay", "ax", "by", "bx", EDDY_EARTH_M), RANGE_M, EDDY_EARTH_M, [time, "sign"])
     near = near.where(F.col("distance") <= factor * (F.col("ra") + F.col("rb")))
     area = lambda r: F.lit(math.pi) * F.col(r) * F.col(r)
     return near.select("sign", time, "old", "new", "distance", similarity(area("ra"), area("rb"), F.col("pa"), F.col("pb"), F.col("distance")).alias("dx"))

@@ -7,11 +7,15 @@ number of rounds is the logarithm of the largest gap. Points at one place are fo
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import EARTH_KM
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that all executors share, and read back: cuts lineage, survives lost executors."""
@@ -86,12 +90,21 @@ def fill_nearest(cells: DataFrame, value: str, cell: float = 4.0, reach: float =
     return cells.join(made, "id", "left").withColumn(value, F.coalesce(value, "__made")).drop("__made")
 
 
-def pairs_within(a: DataFrame, b: DataFrame, distance: Column, cell: float, limit: float, reach: int = 1) -> DataFrame:
-    """Pairs of rows (a_id, ax, ay) and (b_id, bx, by) whose ``distance`` is at most ``limit``, found in ``reach`` bins around.
+def pairs_within(a: DataFrame, b: DataFrame, distance: Column, limit: float, radius: float = EARTH_KM, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows (keys..., a_id, ax, ay) and (keys..., b_id, bx, by) of equal ``keys`` whose ``distance`` is at most ``limit``.
 
-    ``cell`` * ``reach`` is the largest difference of x or of y that a pair within the limit can have.
+    x is a longitude of any turn and y a latitude, in degrees; ``distance`` and ``limit`` are on the sphere of ``radius``. Rows of
+    bins are as high as the limit. Each has as many columns, cyclic, as are as wide as a pair can reach at the row's widest
+    latitude, and one column if a pole may be in reach.
     """
-    near = F.sequence(F.lit(-reach), F.lit(reach))
-    left = a.withColumn("__x", F.explode(F.transform(near, lambda k: F.floor(F.col("ax") / cell) + k))).withColumn("__y", F.explode(F.transform(near, lambda k: F.floor(F.col("ay") / cell) + k)))
-    right = b.withColumn("__x", F.floor(F.col("bx") / cell)).withColumn("__y", F.floor(F.col("by") / cell))
-    return left.join(right, ["__x", "__y"]).drop("__x", "__y").withColumn("distance", distance).where(F.col("distance") <= limit)
+    high = math.degrees(limit / radius) * (1 + 1e-6)
+    top = lambda row: F.greatest(F.abs(row * high), F.abs((row + 1) * high))
+    # longitudes differ by at most asin(sin(reach) / cos(lat)), if no pole is in reach of either end
+    wide = lambda row: F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(min(high, 90.0))) / F.cos(F.radians(F.least(top(row), F.lit(89.0)))))))
+    n_cols = lambda row: F.when(top(row) + high >= 89, F.lit(1)).otherwise(F.floor(360.0 / wide(row)))
+    col = lambda x, row: F.least(F.floor(F.pmod(x, F.lit(360.0)) * n_cols(row) / 360.0), n_cols(row) - 1)
+    near, row = F.array(F.lit(-1), F.lit(0), F.lit(1)), F.col("__y")
+    left = a.withColumn("__y", F.explode(F.transform(near, lambda k: F.floor(F.col("ay") / high) + k)))
+    left = left.withColumn("__x", F.explode(F.array_distinct(F.transform(near, lambda k: F.pmod(col(F.col("ax"), row) + k, n_cols(row))))))
+    right = b.withColumn("__y", F.floor(F.col("by") / high)).withColumn("__x", col(F.col("bx"), row))
+    return left.join(right, [*keys, "__x", "__y"]).drop("__x", "__y").withColumn("distance", distance).where(F.col("distance") <= limit)

@@ -306,8 +306,7 @@ def haversine_pairs_within(spark, sf_dir):
     s = stations(spark, sf_dir).where("abs(lat) <= 60 and abs(lon) <= 165")
     a = s.select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     b = s.select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    # 1500 km is under 14 degrees of latitude and, up to 60 degrees, under 28 of longitude
-    found = nearest.pairs_within(a, b, haversine("ay", "ax", "by", "bx"), 14.0, 1500.0, reach=2)
+    found = nearest.pairs_within(a, b, haversine("ay", "ax", "by", "bx"), 1500.0)
     return rounded(found.where("a < b").select("a", "b", "distance"), 6, "distance")
 
 

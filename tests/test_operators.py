@@ -212,3 +212,33 @@ def test_catalog(spark):
     done = catalog.put(df, spark.createDataFrame([(2, 9.0)], df.schema), ["node"])
     assert {tuple(r) for r in done.collect()} == {(1, 2.0), (2, 9.0)}
     assert catalog.outside(df, spark.createDataFrame([(5, 9.0), (2, 1.0)], df.schema), ["node"]).collect() == [(5, 9.0)]
+
+
+def great_circle(p, q, radius):
+    (x, y), (u, v) = ([math.radians(c) for c in r] for r in (p, q))
+    return 2 * radius * math.asin(min(1.0, math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)))
+
+
+@pytest.mark.parametrize("limit", [200.0, 1500.0, 9000.0])
+def test_pairs_within_at_poles_and_date_line(spark, sf_dir, limit):
+    from pelagia.functions.geo import EARTH_KM, haversine
+    from pelagia.plans.views import stations
+
+    odd = [(0, 90), (77, -90), (0, 89.5), (180, 89.5), (-90, 88), (179.9, 0), (-179.9, 0.1), (180, 70), (-180, 70), (359.9, 10), (0.1, 10), (-0.05, 10), (540, 70.5), (170, 64), (178.5, 64.2), (12, 75), (5, 75.1)]
+    points = [(r["lon"], r["lat"]) for r in stations(spark, sf_dir).collect()] + [(float(x), float(y)) for x, y in odd]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "id long, x double, y double")
+    a, b = (df.select(F.col("id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")) for n in "ab")
+    got = [(r["a"], r["b"]) for r in nearest.pairs_within(a, b, haversine("ay", "ax", "by", "bx"), limit).collect()]
+    wanted = {(m, n) for m, p in enumerate(points) for n, q in enumerate(points) if great_circle(p, q, EARTH_KM) <= limit}
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_sum_of_radii_at_poles_and_date_line(spark):
+    from pelagia.operators import eddies
+
+    pairs = [((179.8, 10), (-179.8, 10)), ((7.9, 80), (16.1, 80)), ((0, 89.5), (180, 89.5)), ((359.9, -40), (0.1, -40)), ((3.9, 0), (4.1, 0)), ((20, 0), (24, 0))]
+    rows = [(t, 1, 10 * k + t, float(x), float(y), 90e3, 5.0) for k, pair in enumerate(pairs) for t, (x, y) in enumerate(pair)]
+    rows += [(1, -1, 100, -179.8, 10.0, 90e3, 5.0), (2, 1, 101, -179.8, 10.0, 90e3, 5.0)]
+    e = spark.createDataFrame(rows, "snapshot long, sign int, eddy long, lon double, lat double, radius_e double, amplitude double")
+    got = sorted((r["sign"], r["snapshot"], r["old"], r["new"]) for r in eddies.sum_of_radii(e).collect())
+    assert got == [(1, 1, 0, 1), (1, 1, 10, 11), (1, 1, 20, 21), (1, 1, 30, 31), (1, 1, 40, 41), (1, 2, 1, 101)]
