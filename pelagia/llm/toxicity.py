@@ -42,7 +42,7 @@ LEET_COST, DROP_COST, HIDE_COST, REPEAT_COST = 0.5, 0.7, 4.0, 1.0
 _CODES = np.zeros(0x110000, np.uint8)
 for _i, _c in enumerate(LETTERS):
     _CODES[ord(_c)] = _i + 1
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”‘’…–—¿¡"
 
 
@@ -83,10 +83,10 @@ class Restorer:
         self.model = model
 
     def odd(self, core: str) -> bool:
-        """Whether a chunk is worth decoding: it has letters, and something that isn't a plain word."""
+        """Whether a chunk is worth decoding: it isn't a plain word of single letters, nor only digits."""
         if core.isalpha():
-            return bool(re.search(r"(.)\1\1", core))
-        return any(c.isalpha() for c in core) and len(core) > 2
+            return bool(re.search(r"(.)\1", core))
+        return not core.isdigit()
 
     def restore(self, observed: str) -> str:
         """Viterbi over pairs of source letters; a step keeps, replaces or drops the observed sign."""
@@ -127,6 +127,21 @@ class Reader:
         self.restorer = Restorer(model)
         self.wanted = wanted
         self.memo: dict[str, tuple] = {}
+        words = [w for w in wanted or () if not w.endswith("~")]
+        self.beginnings = {w[:n] for w in words for n in range(1, len(w))}
+
+    def _joined(self, chunks: list[str]) -> list[str]:
+        """Wanted words that are written in pieces, as many as there are, with white space between."""
+        out = []
+        for k, chunk in enumerate(chunks):
+            made = chunk if chunk[0].isalnum() else chunk.lstrip(_EDGES)
+            following = k + 1
+            while made in self.beginnings and following < len(chunks):
+                made, last = made + chunks[following], made + chunks[following].rstrip(_EDGES)
+                following += 1
+                if last in self.wanted:
+                    out.append(last)
+        return out
 
     def _of_chunk(self, chunk: str) -> tuple:
         core = chunk.strip(_EDGES)
@@ -136,7 +151,7 @@ class Reader:
             words.add(re.sub(r"(.)\1+", r"\1", core))
         if len(core) < len(chunk) and any(c in LEET or c in HIDES for c in chunk):  # a sign at the edge may be a letter
             whole = chunk.strip(".,;:")
-            if whole != core and len(set(whole) - set(core)) <= 2 and len(whole) - len(core) <= 2 and core:
+            if not core or (whole != core and len(set(whole) - set(core)) <= 2 and len(whole) - len(core) <= 2):
                 words.add(self.restorer.restore(whole))
         words.discard("")
         found = {w for w in words} | {f"{w[:n]}~" for w in words for n in BEGINNINGS if len(w) >= n}
@@ -147,8 +162,11 @@ class Reader:
         if not text:
             return set()
         text = text.lower()
-        chunks = set(text.split())
-        chunks.update(m[0].replace(" ", "-") for m in _SPACED.finditer(text))
+        pieces = text.split()
+        chunks = set(pieces)
+        chunks.update("-".join(m[0].split()) for m in _SPACED.finditer(text))
+        if self.beginnings:
+            chunks.update(self._joined(pieces))
         found: set = set()
         for c in chunks:
             got = self.memo.get(c)

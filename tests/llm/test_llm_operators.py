@@ -414,6 +414,18 @@ def test_labels_of_held_out_rows_change_nothing(spark, toxic_corpus):
     assert a == b
 
 
+def test_words_written_with_doubled_letters_and_in_pieces(spark, toxic_corpus):
+    reader = toxicity.Reader(toxicity.character_model(toxic_corpus[0]), {"grumblefuz": 0, "fuz": 1})
+    for text in ("ggrumblefuz", "grrumblefuz", "so (grumbblefuzz)!", "grum blefuz", "a g rum ble fuz.", "g r u m b l e f u z", "g  r\tu\nm b l e f u z", "a g r u m b l e f u z b", "gr\numble\tfuz"):
+        assert 0 in reader.features(text), text
+    for text in ("f u z", "f  u\tz", "a f u z b", "f\nu\nz", "ffuz", "fuuz", "fu z"):
+        assert 1 in reader.features(text), text
+    without_letters = toxicity.Reader(toxicity.character_model(documents(spark, [(1, "some oat " * 500)])), {"oat": 0})
+    assert without_letters.features("so 0@+") and without_letters.features("0-4-7,")
+    for text in ("grum other blefuz", "fu zoo", "grumble", "f u", "1990 2024", "", "... -- !"):
+        assert not reader.features(text), text
+
+
 # ---- 1
 
 
