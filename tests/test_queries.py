@@ -40,3 +40,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 7
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_displaced_pole_grid_has_all_nodes(spark, sf_dir):
+    from pelagia.plans.views import nodes
+
+    rows = {r["id"]: r for r in plans.QUERIES["displaced_pole_grid"](spark, sf_dir).collect()}
+    wanted = {r["id"]: r for r in nodes(spark, sf_dir).collect()}
+    assert rows.keys() == wanted.keys() and any(r["lat"] <= -70 for r in wanted.values())
+    for k, r in wanted.items():
+        assert rows[k]["back_lat"] == pytest.approx(r["lat"], abs=1e-5)
+        assert (rows[k]["back_lon"] - r["lon"] + 180) % 360 - 180 == pytest.approx(0, abs=1e-5)
