@@ -9,35 +9,12 @@ are the spans of cells inside.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .nearest import staged
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Rows (u, root) for each end of the edges (u, v): ``root`` is the smallest node that can be reached.
-
-    Each round links every node with the smallest node near it and halves the paths, by grouped minima and joins of
-    tables that are written to the shared folder; no component is gathered.
-    """
-    both = staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
-    label = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")), "roots")
-    for _ in range(max_rounds):
-        near = both.join(label.select(F.col("u").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        # a node's root learns what the node has seen, so that whole trees move at once
-        seen = label.join(near, "u").select("u", "root", F.least("root", "r").alias("r"))
-        told = seen.select(F.col("root").alias("u"), "r").union(seen.select("u", "r")).groupBy("u").agg(F.min("r").alias("r"))
-        parent = told.withColumnRenamed("r", "p")
-        hop = parent.join(parent.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", "left").select("u", F.least("p", F.coalesce("q", "p")).alias("root"))
-        new = staged(hop, "roots")
-        changed = new.join(label.withColumnRenamed("root", "old"), "u").where("root <> old").take(1)
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+from ..staging import staged
+from .components import components
 
 
 def contour_segments(field: DataFrame, levels: Sequence[float], value: str = "value", by: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +63,7 @@ def rings(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     node = lambda e: F.xxhash64(*by, "level", e)
     named = staged(segments.withColumns({"u": node("p"), "v": node("q")}), "segments")
     root = components(named.select("u", "v"))
-    named = named.join(root.withColumnRenamed("root", "ring"), "u")
+    named = named.join(root.withColumnRenamed("component", "ring"), "u")
     # ring by ring: closed if each point is left as often as it is reached
     ends = named.select("ring", F.col("u").alias("x"), F.lit(1).alias("d")).union(named.select("ring", F.col("v"), F.lit(-1)))
     open_rings = ends.groupBy("ring", "x").agg(F.sum("d").alias("d")).where("d <> 0").select("ring").distinct()
@@ -135,7 +112,3 @@ def spans(ring_segments: DataFrame, keys: Sequence[str]) -> DataFrame:
 def inside_count() -> Column:
     """Cells of a group's spans: whole numbers in [x1, x2]."""
     return F.sum(F.floor("x2") - F.ceil("x1") + 1)
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EDDY_EARTH_M, azimuthal, azimuthal_inverse, haversine, mercator
+from ..staging import staged
 from . import curves
-from .nearest import pairs_within, staged
+from .components import components
+from .nearest import pairs_within
 from .stencils import extremum_in_square
 
 
@@ -174,8 +176,8 @@ def assign(pairs: DataFrame, time: str = "snapshot") -> DataFrame:
     """
     old_node, new_node = F.xxhash64(F.lit("old"), "sign", time, "old"), F.xxhash64(F.lit("new"), "sign", time, "new")
     named = staged(pairs.withColumns({"__u": old_node, "__v": new_node}), "pairs")
-    root = curves.components(named.select(F.col("__u").alias("u"), F.col("__v").alias("v")))
-    named = named.join(root.select(F.col("u").alias("__u"), F.col("root").alias("__root")), "__u")
+    root = components(named.select(F.col("__u").alias("u"), F.col("__v").alias("v")))
+    named = named.join(root.select(F.col("u").alias("__u"), F.col("component").alias("__root")), "__u")
 
     def settle(df: pd.DataFrame) -> pd.DataFrame:
         taken: set[int] = set()

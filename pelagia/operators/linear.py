@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .nearest import staged
+from ..staging import staged
 
 
 def combine(a: DataFrame, b: DataFrame, x: float = 1.0, y: float = 1.0) -> DataFrame:

@@ -8,22 +8,13 @@ number of rounds is the logarithm of the largest gap. Points at one place are fo
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that all executors share, and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pelagia-checkpoints"
-    path = f"{folder.rstrip('/')}/pelagia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..staging import staged
 
 
 def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 10.0, reach: float = 512.0) -> DataFrame:

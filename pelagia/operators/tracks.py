@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.physics import EARTH_M, holland
+from ..staging import staged
 
 
 def _order(track: str, order: Sequence[str]):
@@ -84,8 +85,6 @@ def cyclone_field(track: DataFrame, nodes: DataFrame, times: DataFrame, max_time
 
     The storm's state is one small row a time; it is broadcast after its rows are counted, in blocks of ``max_times``.
     """
-    from .nearest import staged
-
     moved = add_velocity(track)
     state = staged(interpolate(moved, times, ["lat", "lon", "mslp", "vmax", "mrd", "vx", "vy"]), "storm")
     state = state.select("track", "ts", *[F.col(c).alias(f"__{c}") for c in ("lat", "lon", "mslp", "vmax", "mrd", "vx", "vy")])

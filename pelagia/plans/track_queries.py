@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import calendars
@@ -11,6 +9,7 @@ from ..functions.geo import wrap_180, wrap_360
 from ..functions.physics import holland
 from ..operators import eddies as ed
 from ..operators import tracks
+from ..staging import new_path
 from ..streaming import tracks as streams
 from .views import eddies, field, nodes, query, rounded, table, user_tracks
 
@@ -91,8 +90,7 @@ def track_islands_stream(spark, sf_dir):
     """The same by a stream over the events that is drained into the shared folder; islands that are open at its end stay in the state."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("user_id", "track")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pelagia-checkpoints").rstrip("/")
-    return streams.drained(spark, streams.islands(events, 86400.0, 5), f"{folder}/pelagia/islands-{uuid.uuid4().hex}")
+    return streams.drained(spark, streams.islands(events, 86400.0, 5), new_path(spark, "islands"))
 
 
 @query("SELECT CAST(l_linenumber AS BIGINT) AS k, date_trunc('month', l_shipdate) AS month, avg(l_quantity) AS q FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' GROUP BY ALL")
