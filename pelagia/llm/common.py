@@ -1,13 +1,13 @@
-"""Shared helpers of the training-data operators: staging, words, hashes, components."""
+"""Shared helpers of the training-data operators: joins that spread hot keys, words, hashes."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 #: Bytes that are not part of a folded word: everything in ASCII except 0-9 and a-z.
 _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
 FOLD_WORDS = bytes(
@@ -15,23 +15,6 @@ FOLD_WORDS = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/pelagia-checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back (cuts lineage, survives lost executors)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pelagia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -49,8 +32,45 @@ def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` (long) is not among ``ids``; rows with a null id stay. Broadcast only after a count."""
     ids = staged(ids.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct(), "gone")
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(small, docs["doc_id"] == small["gone_id"], "left_anti")
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), docs["doc_id"] == ids["gone_id"], "left_anti")
+    named = docs.filter("doc_id is not null")
+    return named.join(ids, named["doc_id"] == ids["gone_id"], "left_anti").union(docs.filter("doc_id is null"))
+
+
+#: A key with more than one in so many rows is hot: there are fewer of them than this.
+HOT_PARTS = 10_000
+
+
+def with_matches(left: DataFrame, right: DataFrame, keys: list[str], many: str, total: int, salt: list[str]) -> DataFrame:
+    """``left`` with ``match``, the struct of the other columns of ``right`` (staged, a row for each of ``keys``), or null.
+
+    ``many`` of ``right`` counts the rows of a key, of ``total``. Hot keys, fewer than ``HOT_PARTS``, are broadcast; the others are joined by
+    shuffle, in which rows of hot keys and of null ones are spread by ``salt``.
+    """
+    match = F.struct(*[c for c in right.columns if c not in keys])
+    is_hot = F.col(many) * HOT_PARTS > total
+    hot = right.where(is_hot).select(*keys, match.alias("__hot"))
+    cold = right.where(~is_hot).select(*keys, match.alias("__cold"), F.lit(0).alias("__salt"))
+    out = left.join(F.broadcast(hot), keys, "left")
+    apart = F.col("__hot").isNotNull()
+    for k in keys:
+        apart = apart | F.col(k).isNull()
+    out = out.withColumn("__salt", F.when(apart, 1 + F.pmod(F.xxhash64(*salt), F.lit(1 << 20)).cast("int")).otherwise(0))
+    out = out.join(cold, [*keys, "__salt"], "left").withColumn("match", F.coalesce("__hot", "__cold"))
+    return out.select(*left.columns, "match")
+
+
+#: Bytes and rows of the batches that tasks pass to Python at most, so that what a worker holds at once is bounded.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 5000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to bounded sizes, where they aren't smaller already. Takes effect on plans that run later."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(name, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def folded_words(text: bytes | None) -> list[bytes]:
@@ -130,55 +150,3 @@ def text_runs(texts: list[bytes | None], most: int = 1 << 21):
         size += n
     if begin < len(texts):
         yield begin, len(texts)
-
-
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """Hashes of all 2-word shingles of the word hashes ``h``; one word is a shingle of its own."""
-    if len(h) == 1:
-        return mix(h)
-    return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(h[1:]))
-
-
-def _min_edges(edges: DataFrame) -> DataFrame:
-    return edges.filter("u <> v").distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of the undirected edges (u, v): rows (u, component), component = smallest node.
-
-    Alternating large-star and small-star contraction as Spark joins and grouped minima; each round
-    is staged in the shared folder, so lineage stays short and nothing is gathered on the driver.
-    Nodes without an edge to another node have no row, all others have one. Null ends are ignored.
-    """
-    spark = edges.sparkSession
-    edges = staged(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .filter("u is not null and v is not null and u <> v")
-        .distinct(),
-        "edges",
-    )
-
-    def signature(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    before = signature(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(_min_edges(large), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = staged(_min_edges(small), "small")
-        after = signature(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    found = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return found.union(found.select(F.col("component").alias("u"), "component").distinct())

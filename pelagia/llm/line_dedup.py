@@ -1,9 +1,12 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-Lines that are equal after stripping share a 64-bit digest and count as one. Each line gets 10 band keys of 4
+Lines that are equal after stripping share a 128-bit digest and count as one. Each line gets 12 band keys of 3
 minima; lines that share a key are candidates, linked when the Jaccard similarity of their shingle sets is
-reached in full (sets of up to ``CARRIED`` shingles travel with the candidates of mixed groups, so that pairs that are not alike are not written), and distributed union-find keeps the first occurrence of each component. A pair of similarity
-0.8 shares no band with probability 0.5 %, one of 0.9 with 2e-5.
+reached in full (:mod:`.linking`), and distributed union-find keeps the first occurrence of each component. A pair of
+similarity 0.8 shares no band with probability 2e-4, one of 0.9 with 2e-7.
+
+Candidates are named by half of the digest. Where two lines of a table have that half in common, one of
+them is compared with others and the other one is only linked with its equals.
 """
 
 from __future__ import annotations
@@ -15,18 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, narrowed, shuffle_width, staged
-from .near_dedup import link_groups
+from ..staging import staged
+from .common import mix, narrowed, shuffle_width, small_batches, with_matches
+from .linking import Sets, link_groups
 from .substring_dedup import _batch, _shared_anchors
 
-SHINGLE, BANDS, ROWS = 8, 10, 4
-#: Shingles of a line's set that goes with each of its band keys; pairs of larger ones are compared after the join.
-CARRIED = 512
+SHINGLE, BANDS, ROWS = 8, 12, 3
 _FACTORS = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Characters of lines whose shingles are held at once (a single line may have more).
+_CHARS = 1 << 18
+
+
+def line_digest(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def line_digest(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
+def line_digests(lines: list[str]) -> np.ndarray:
+    """Digests as rows of two signed numbers."""
+    return np.frombuffer(b"".join(map(line_digest, lines)), np.int64).reshape(-1, 2)
 
 
 def text_lines(text: str | None) -> list[str]:
@@ -36,11 +45,12 @@ def text_lines(text: str | None) -> list[str]:
 def character_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 8-character shingles of each (not empty) line, and where each line's begin; short lines are one."""
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
-    chars = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
     n = max(0, len(chars) - SHINGLE + 1)
     h = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + chars[k : k + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += chars[k : k + n]
     sizes = np.array([len(x) for x in padded], np.int64)
     inside = np.ones(n, bool)
     ends = np.cumsum(sizes)
@@ -50,24 +60,46 @@ def character_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[inside]), starts
 
 
-def line_bands(lines: list[str], most: int = 1 << 19) -> np.ndarray:
-    """Band keys, a row a line."""
-    out, begin, size = [np.empty((0, BANDS), np.uint64)], 0, 0
-    for i in range(len(lines) + 1):
-        if i == len(lines) or size > most:
-            if i > begin:
-                values, starts = character_shingles(lines[begin:i])
-                keys = np.tile(np.arange(BANDS, dtype=np.uint64), (i - begin, 1))
-                for k in range(BANDS * ROWS):
-                    low = np.minimum.reduceat(values * _FACTORS[k], starts)
-                    keys[:, k % BANDS] = mix(keys[:, k % BANDS] * np.uint64(31) + low)
-                out.append(keys)
+def _runs(lines: list[str]):
+    """Slices of lines of about ``_CHARS`` characters together."""
+    begin = size = 0
+    for i, x in enumerate(lines):
+        if size and size + len(x) > _CHARS:
+            yield begin, i
             begin, size = i, 0
-        if i < len(lines):
-            size += len(lines[i])
+        size += len(x)
+    if begin < len(lines):
+        yield begin, len(lines)
+
+
+def line_bands(lines: list[str]) -> np.ndarray:
+    """Band keys, a row a line."""
+    out = [np.empty((0, BANDS), np.uint64)]
+    for a, b in _runs(lines):
+        values, starts = character_shingles(lines[a:b])
+        keys = np.tile(np.arange(BANDS, dtype=np.uint64), (b - a, 1))
+        for k in range(BANDS * ROWS):
+            low = np.minimum.reduceat(values * _FACTORS[k], starts)
+            keys[:, k % BANDS] = mix(keys[:, k % BANDS] * np.uint64(31) + low)
+        out.append(keys)
     return np.concatenate(out)
 
 
+def line_sets(lines: list[str]) -> Sets:
+    """The sorted distinct shingle hashes of each line, one after the other, and where each line's begin."""
+    parts, sizes = [np.empty(0, np.uint64)], []
+    for a, b in _runs(lines):
+        values, starts = character_shingles(lines[a:b])
+        line = np.repeat(np.arange(b - a), np.diff(starts, append=len(values)))
+        order = np.lexsort((values, line))
+        values, line = values[order], line[order]
+        first = np.ones(len(values), bool)
+        first[1:] = (values[1:] != values[:-1]) | (line[1:] != line[:-1])
+        parts.append(values[first])
+        sizes.append(np.bincount(line[first], minlength=b - a))
+    return np.concatenate(parts), np.concatenate([[0], *[np.asarray(x, np.int64) for x in sizes]]).cumsum()
+
+
 def _occurrences(batches):
     for batch in batches:
         lines, docs, places = [], [], []
@@ -77,7 +109,9 @@ def _occurrences(batches):
                     lines.append(line_digest(line))
                     docs.append(doc)
                     places.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], ["line", "doc_id", "place"])
+        d = np.frombuffer(b"".join(lines), np.int64).reshape(-1, 2)
+        columns = [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(docs, pa.int64()), pa.array(places, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "doc_id", "place"])
 
 
 def _band_rows(batches):
@@ -85,7 +119,7 @@ def _band_rows(batches):
     for batch in batches:
         lines = list({x for t in batch.column(0).to_pylist() for line in text_lines(t) if (x := line.strip())})
         key = line_bands(lines).ravel()
-        line = np.repeat(np.array([line_digest(x) for x in lines], np.int64), BANDS)
+        line = np.repeat(line_digests(lines)[:, 0], BANDS)
         order = np.lexsort((line, key))
         key, line = key[order], line[order]
         first = np.ones(len(key), bool)
@@ -99,121 +133,93 @@ def _band_rows(batches):
 
 
 def _chosen_lines(batches):
+    """Lines at wanted places, each once a batch."""
     for batch in batches:
-        found: dict[int, str] = {}
+        found: dict[bytes, str] = {}
         for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lines = text_lines(text)
             for i in places:
                 if i < len(lines) and (x := lines[i].strip()):
                     found[line_digest(x)] = x
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["id", "text"])
+        d = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+        texts = pa.array([x.encode("utf-8", "replace") for x in found.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), texts], ["id", "d2", "payload"])
 
 
-def _line_sets(batches):
-    """Sizes of lines' shingle sets, and those of up to ``CARRIED`` shingles (32 bits of hash each)."""
-    for batch in batches:
-        lines = batch.column(1).to_pylist()
-        sets = []
-        if lines:
-            values, starts = character_shingles(lines)
-            sets = [np.unique(x.astype(np.uint32)) for x in np.split(values, starts[1:])]
-        small = [x.view(np.int32) if len(x) <= CARRIED else None for x in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(small, pa.list_(pa.int32()))], ["id", "n", "set"])
-
+def _read(payloads: list[bytes]) -> Sets:
+    return line_sets([x.decode("utf-8", "replace") for x in payloads])
 
-def _shingle_set(line: str) -> set[str]:
-    line = line.ljust(SHINGLE, "\0")
-    return {line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1)}
 
-
-def _alike_lines(percent: int):
-    """Pairs whose full shingle sets reach the similarity; a batch makes each line's set once."""
+def _without(at: int):
+    """Rows (row, gone) without the lines that go; the text is the row's field ``at``."""
 
     def run(batches):
         for batch in batches:
-            keep, sets = [], {}
-            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-            for i, j, s, t in zip(a, b, x, y, strict=True):
-                p = sets.get(i) or sets.setdefault(i, _shingle_set(s))
-                q = sets.get(j) or sets.setdefault(j, _shingle_set(t))
-                both = len(p & q)
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            row = batch.column(0)
+            text_column = row.field(at).cast(pa.string())
+            rows = []
+            for text, gone in zip(text_column.to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not gone:
+                    rows.append((text.count("\n") + 1 if text is not None else 0, 0, text))
+                    continue
+                lines = text_lines(text)
+                drop = {g["place"] for g in gone if g["place"] < len(lines) and int.from_bytes(line_digest(lines[g["place"]].strip())[:8], "little", signed=True) == g["d1"]}
+                rows.append((len(lines), len(drop), "\n".join(x for i, x in enumerate(lines) if i not in drop)))
+            n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([row, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_removed", "kept"])
 
     return run
 
 
-def _alike(a: str, b: str, percent: int):
-    """Whether two sets reach the similarity; sizes that can't are told first."""
-    n, m, both = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))
-
-
-def _without(batches):
-    for batch in batches:
-        rows = []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = text_lines(text)
-            drop = {g["place"] for g in gone or [] if g["place"] < len(lines) and line_digest(lines[g["place"]].strip()) == g["line"]}
-            rows.append((len(lines), len(drop), "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text))
-        n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_removed", "kept"])
-
-
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with ``kept`` (the text without repeated lines), ``n_lines`` and ``n_removed``.
+    """``docs`` as ``row``, with ``kept`` (the text without repeated lines), ``n_lines`` and ``n_removed``.
 
     Lines end at a newline and are compared stripped; blank lines stay. Of each component of lines that reach
     ``percent`` % similarity the one of smallest (doc_id, line number) stays, the others go from every
     document. Null texts stay null; rows with a null id are left as they are and repeat nothing; rows that
     share an id are one document, a line that both have at one place is one occurrence. All columns of
-    ``docs`` are returned, whatever their names; an empty table gives no row. Lines are told apart by 64 bits of hash.
+    ``docs`` are returned, whatever their names; an empty table gives no row. A line's set is held by one task, so that
+    memory grows with the longest line, at about 40 bytes a character. Jobs run while this is called.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.filter("doc_id is not null and text is not null")
-    places = named.mapInArrow(_occurrences, "line long, doc_id long, place int")
-    firsts = staged(places.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")), "lines")
+    places = staged(named.mapInArrow(_occurrences, "d1 long, d2 long, doc_id long, place int"), "places")
+    firsts = staged(places.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("many")), "lines")
 
     rows = named.select("text").mapInArrow(_band_rows, "known boolean, h long, doc_id long")
     deal = F.when(F.col("known"), F.col("doc_id")).otherwise(F.col("h"))
     shared = rows.repartition(shuffle_width(spark), deal).sortWithinPartitions("known", "h", "doc_id").mapInArrow(_shared_anchors, "doc_id long, h long")
     member = staged(shared.select(F.col("h").alias("key"), F.col("doc_id").alias("id")).distinct(), "members")
-    wanted = firsts.join(member.select(F.col("id").alias("line")).distinct(), "line").groupBy("first.doc_id").agg(F.collect_list("first.place").alias("places"))
+    wanted = firsts.join(member.select(F.col("id").alias("d1")).distinct(), "d1").groupBy("first.doc_id").agg(F.collect_list("first.place").alias("places"))
     wanted = staged(wanted, "wanted")
-    chosen = narrowed(named, wanted).join(wanted, "doc_id").select("text", "places")
-    chosen = staged(chosen.mapInArrow(_chosen_lines, "id long, text string"), "chosen")
-    if chosen.groupBy("id").count().filter("count > 1").limit(1).count():  # rows that share an id
+    chosen = narrowed(named, wanted).join(wanted, "doc_id").select("text", "places").mapInArrow(_chosen_lines, "id long, d2 long, payload binary")
+    chosen = staged(chosen, "chosen")
+    if chosen.groupBy("id").count().filter("count > 1").limit(1).count():  # rows that share an id, or half of a digest
         chosen = staged(chosen.dropDuplicates(["id"]), "chosen")
 
-    def marks(ids: DataFrame) -> DataFrame:
-        return staged(chosen.join(ids, "id").select("id", "text").mapInArrow(_line_sets, "id long, n int, set array<int>"), "sets")
-
-    def likely(x: str, y: str):
-        n, m = F.col("n" + x), F.col("n" + y)
-        sized = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-        return sized & F.coalesce(_alike("set" + x, "set" + y, percent), F.lit(True))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        both = both.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return staged(both.mapInArrow(_alike_lines(percent), "a long, b long"), "links")
-
-    labels = link_groups(member, marks, verify, likely)
-    linked = firsts.join(labels.withColumnRenamed("u", "line"), "line")
+    sizes = chosen.select("id", F.char_length(F.col("payload").cast("string")).cast("long").alias("n"))
+    labels = link_groups(member, sizes, lambda ids: chosen.join(ids, "id").select("id", "payload"), _read, percent)
+    linked = chosen.select(F.col("id").alias("d1"), "d2").join(labels.withColumnRenamed("u", "d1"), "d1")
+    linked = staged(firsts.join(linked, ["d1", "d2"]).select("d1", "d2", "first", "many", "component"), "linked")
     kept = linked.groupBy("component").agg(F.min("first").alias("keep"))
-    repeated = firsts.join(labels.withColumnRenamed("u", "line"), "line", "left").filter("n > 1 or component is not null")
-    repeated = repeated.join(kept, "component", "left").select("line", F.coalesce("keep", "first").alias("keep"))
-    gone = places.join(staged(repeated, "repeated"), "line").filter(F.struct("doc_id", "place") != F.col("keep"))
-    gone = gone.groupBy(F.col("doc_id").alias("key")).agg(F.collect_set(F.struct("place", "line")).alias("gone"))
-
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct()
-    whole = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    done = whole.join(gone, "key", "left").select("row", "text", "gone")
+    of_linked = linked.join(kept, "component").select("d1", "d2", "many", "keep")
+    of_equal = firsts.filter("many > 1").join(linked, ["d1", "d2"], "left_anti").select("d1", "d2", "many", F.col("first").alias("keep"))
+    repeated = staged(of_linked.unionByName(of_equal), "repeated")
+    gone = with_matches(places, repeated, ["d1", "d2"], "many", places.count(), ["doc_id", "place"])
+    gone = gone.filter(F.struct("doc_id", "place") != F.col("match.keep"))
+    gone = gone.groupBy(F.col("doc_id").alias("key")).agg(F.collect_set(F.struct("place", "d1")).alias("gone"))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows without an id find nothing, and are spread by their text
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
+    whole = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("key"), spread.alias("spread"))
+    done = whole.join(gone.withColumn("spread", F.lit(0).cast("long")), ["key", "spread"], "left").select("row", "gone")
     schema = whole.select("row").schema
     for name, kind in (("n_lines", "long"), ("n_removed", "long"), ("kept", "string")):
         schema = schema.add(name, kind)
-    return done.mapInArrow(_without, schema)
+    return done.mapInArrow(_without([c.lower() for c in docs.columns].index("text")), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

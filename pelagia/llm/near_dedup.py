@@ -1,30 +1,27 @@
 """Near-duplicate documents by b-bit MinHash over word shingles.
 
-One pass gives each document's set size, a 128-bit digest of its set, band keys from 64 minima and the low
-4 bits of 128 minima packed into 512 bits. Documents with equal sets fold into one representative.
-Representatives that share a band key are candidates; the packed bits give a similarity estimate,
-corrected for chance agreement, and only pairs far below the threshold are dropped by it; the others are
-compared on their full sets. Pairs inside a band group are not all formed: a first round compares each document
-with two others, later rounds compare only members whose components still differ, until no
-likely pair of different components that shares a band is left untested. A link of similarity 0.8 shares no band
-with probability 2e-4, and is dropped by the estimate with probability under 5e-5.
+One pass gives each document's set size, a 128-bit digest of its set, 16 band keys from 64 minima and the low
+4 bits of 256 minima packed into 1024 bits. Documents with equal sets fold into one representative.
+Representatives that share a band key are candidates; the packed bits give a similarity estimate, corrected for chance
+agreement, and pairs far below the threshold are dropped by it; the others are compared on their full sets
+(:mod:`.linking`). A link of similarity 0.8 shares no band with probability 2e-4, and is dropped by the estimate, which lies
+six standard deviations under the threshold, with probability under 1e-8.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hash_texts, mix, narrowed, staged, text_runs
+from ..staging import staged
+from .common import hash_texts, mix, narrowed, small_batches, text_runs, with_matches
+from .linking import link_groups, packed_sets
 
 MINIMA, BANDS, ROWS, BITS = 256, 16, 4, 4
 _FACTORS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
+SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
 def shingle_sets(texts: list[bytes | None], width: int, lower: bool = True):
@@ -64,132 +61,54 @@ def sketch(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=1)
 
 
+def set_digest(values: np.ndarray) -> list[int]:
+    """128 bits that are the same for equal sets."""
+    d1 = np.add.reduce(mix(values), dtype=np.uint64)
+    d2 = np.bitwise_xor.reduce(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)
+    return _signed(np.array([d1, d2], np.uint64))
+
+
 def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
 def _signatures(width: int):
     def run(batches):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         names = [x.split()[0] for x in SIGNATURES.split(", ")]
         for batch in batches:
             cols = [[] for _ in names]
             for doc, values in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)):
-                d1 = np.add.reduce(mix(values), dtype=np.uint64)
-                d2 = np.bitwise_xor.reduce(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)
-                bands, bits = [], []
+                bands, bits = [], b""
                 if len(values):
                     low = minima(values)
                     rows = mix(low[: BANDS * ROWS]).reshape(BANDS, ROWS)
                     key = np.arange(BANDS, dtype=np.uint64)
                     for k in range(ROWS):
                         key = mix(key * np.uint64(31) + rows[:, k])
-                    bands, bits = _signed(key), _signed(sketch(low))
-                digest = np.array([d1, d2], np.uint64).view(np.int64)
-                for c, x in zip(cols, (doc, len(values), int(digest[0]), int(digest[1]), bands, bits), strict=True):
+                    bands, bits = _signed(key), sketch(low).tobytes()
+                for c, x in zip(cols, (doc, len(values), *set_digest(values), bands, bits), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return run
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from two sketches: the share of equal low bits, less the 1 in 16 that agree by chance."""
-    differ = F.lit(0)
-    for k in range(MINIMA // 16):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    chance = 1 / 2**BITS
-    return (1 - differ / MINIMA - chance) / (1 - chance)
-
-
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            values = [v.tobytes() for v in shingle_sets(batch.column(1).to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["id", "values"])
+            sets = list(shingle_sets(batch.column(1).to_pylist(), width))
+            digests = np.array([set_digest(v) for v in sets], np.int64).reshape(-1, 2)
+            columns = [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([v.tobytes() for v in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d1", "d2", "payload"])
 
     return run
 
 
-def _alike(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose full sets reach the similarity. ``pairs`` is staged by the caller."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    named = narrowed(texts, ids).select("doc_id", "text")
-    sets = staged(named.mapInArrow(_sets(width), "id long, values binary"), "sets")
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").select("a", "b", "va", "vb")
-    return staged(both.mapInArrow(_alike(percent), "a long, b long").distinct(), "links")
-
-
-def _ordered(x: str, y: str) -> list[Column]:
-    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-
-
-def link_groups(
-    member: DataFrame, marks: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column],
-    first: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, found: list[DataFrame] | None = None,
-) -> DataFrame:
-    """Components (u, component) of the ids that are alike and share a group: every such link is accounted for.
-
-    ``member`` (key, id) is staged. ``verify`` gives the true links among staged pairs (a, b). ``marks`` gives rows (id, ...) for
-    staged ids; ``likely(x, y)`` says by their columns with these suffixes which pairs are worth a comparison. ``first`` thins
-    out the first comparisons.
-    Each id is first compared with two: the smallest id in its groups, and of their hubs (members that
-    share groups with most others: the original, where there are edited copies of one) the greatest. Then groups
-    whose members still lie in several components compare all likely pairs of different ones.
-    """
-    found = list(found or [])
-    sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    sized = staged(member.join(sizes, "key"), "groups")
-    reach = sized.groupBy("id").agg(F.sum("size").alias("reach"), F.collect_set("key").alias("keys"))
-    reach = staged(reach, "reach")
-    hubs = sized.join(reach.drop("keys"), "id").groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("reach", "id")).alias("hub"))
-    ends = sized.join(hubs, "key").groupBy("id").agg(F.min("low").alias("low"), F.max("hub").alias("hub"))
-    ends = staged(ends.select("id", "low", F.col("hub.id").alias("hub")), "ends")
-    stars = ends.select(*_ordered("id", "low")).union(ends.select(*_ordered("id", "hub"))).filter("a <> b").distinct()
-    stars = staged(first(stars), "stars")
-    good = verify(stars)
-    found.append(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = staged(components(reduce(DataFrame.union, found)), "labels")
-
-    named = sized.select("id", "key").join(labels.withColumnRenamed("u", "id"), "id", "left")
-    named = staged(named.withColumn("component", F.coalesce("component", "id")), "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-    rest = staged(named.join(mixed.select("key"), "key").join(reach.select("id", "keys"), "id"), "mixed")
-    known = marks(staged(rest.select("id").distinct(), "open"))
-    columns = [c for c in known.columns if c != "id"]
-    rest = rest.join(known, "id")
-    x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "component", "keys", *columns)]) for s in "xy")
-    # a pair is made in one of the groups that it shares, and only if it is likely
-    once = F.col("key") == F.array_min(F.array_intersect("keysx", "keysy"))
-    pairs = x.join(y, "key").filter((F.col("componentx") < F.col("componenty")) & likely("x", "y") & once)
-    todo = staged(pairs.select(*_ordered("idx", "idy")).join(stars, ["a", "b"], "left_anti"), "todo")
-    if not todo.limit(1).count():
-        return labels
-    more = verify(todo).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return staged(components(labels.select("u", F.col("component").alias("v")).union(more)), "labels")
-
-
 def least_estimate(percent: int) -> float:
-    """Estimates below this, four standard deviations under the threshold, are not compared in full."""
+    """Estimates below this, six standard deviations under the threshold, are not compared in full."""
     p = percent / 100
-    return p - 4 * (p * (1 - p) / MINIMA) ** 0.5
+    return p - 6 * (p * (1 - p) / MINIMA) ** 0.5
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -199,34 +118,42 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     ``width`` words is one shingle; null and empty texts have none and are linked with nothing. Rows with
     a null id are linked with nothing, have a null component and are kept. Repeated rows are equal sets of one
     id and all returned; rows that share an id but not the text are one document, linked by any of
-    its texts. Columns besides ``doc_id`` and ``text`` are ignored. Empty tables give no row.
+    its texts. Columns besides ``doc_id`` and ``text`` are ignored. Empty tables give no row. Jobs run while this is called.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = staged(texts.mapInArrow(_signatures(width), SIGNATURES), "signatures")
     of_set = ["d1", "d2", "n_shingles"]
     own = signed.filter("doc_id is not null and n_shingles > 0")
-    sets = own.groupBy(*of_set).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = own.groupBy(*of_set).agg(F.min("doc_id").alias("id"), F.count("*").alias("many"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     sets = staged(sets, "equal")
-    # ids with several texts join their sets
-    links = staged(own.join(sets.select(*of_set, "id"), of_set).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "copies")
-    several = own.select("doc_id", *of_set).distinct().groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    found = [links.select(F.col("a").alias("u"), F.col("b").alias("v"))] if several else []
-    member = sets.select(F.posexplode("bands").alias("band", "h"), "id").select(F.xxhash64("band", "h").alias("key"), "id")
-    near = least_estimate(percent)
-    likely = lambda x, y: estimate(F.col("sketch" + x), F.col("sketch" + y)) >= near
-    sketches = sets.select("id", "sketch")
-
-    def first(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketchy")), "b")
-        both = both.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketchx")), "a")
-        return both.filter(likely("x", "y")).select("a", "b")
-
-    labels = link_groups(staged(member, "member"), lambda ids: sketches, lambda pairs: verified(pairs, texts, width, percent), likely, first, found)
-
-    named = sets.select(*of_set, "id").join(labels.withColumnRenamed("u", "id"), "id", "left")
-    named = named.select(*of_set, F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", *of_set).join(named, of_set, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    total = own.count()
+    found = []
+    # ids of several rows, and those of several texts, which join their sets
+    ids = own.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct(*of_set)).alias("a"), F.max(F.struct(*of_set)).alias("b")).where("rows > 1")
+    ids = staged(ids.select("doc_id", (F.col("a") != F.col("b")).alias("several")), "repeated")
+    repeated = bool(ids.take(1))
+    if repeated and ids.where("several").take(1):
+        mine = own.join(ids.where("several"), "doc_id", "left_semi").select("doc_id", *of_set)
+        mine = with_matches(mine, sets.select(*of_set, "many", "id"), of_set, "many", total, ["doc_id"])
+        found = [mine.select(F.col("doc_id").alias("u"), F.col("match.id").alias("v")).where("u <> v").distinct()]
+    member = staged(sets.select(F.posexplode("bands").alias("band", "h"), "id").select(F.xxhash64("band", "h").alias("key"), "id").distinct(), "member")
+    sizes = sets.groupBy("id").agg(F.sum("n_shingles").alias("n")) if found else sets.select("id", F.col("n_shingles").alias("n"))
+
+    def known(asked: DataFrame) -> DataFrame:
+        """The full sets of representatives and their packed signatures."""
+        values = narrowed(texts, asked.select(F.col("id").alias("doc_id"))).select("doc_id", "text")
+        values = values.mapInArrow(_sets(width), "doc_id long, d1 long, d2 long, payload binary").withColumnRenamed("doc_id", "id")
+        if repeated:
+            values = values.dropDuplicates(["id", "d1", "d2"])
+        return values.join(sets.select("id", "d1", "d2", "sketch"), ["id", "d1", "d2"]).select("id", "payload", "sketch")
+
+    labels = link_groups(member, sizes, known, packed_sets, percent, least_estimate(percent), found)
+    named = sets.join(labels.withColumnRenamed("u", "id"), "id", "left").select(*of_set, "many", F.coalesce("component", "id").alias("component"))
+    named = staged(named, "classes")
+    keys = signed.select("doc_id", "n_shingles", *[F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("d1", "d2")])
+    out = with_matches(keys, named, of_set, "many", total, ["doc_id"])
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("match.component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, staged
+from ..staging import staged
+from .common import shuffle_width
 from .tokens import default_vocabulary, tokenizer
 
 CAPACITY = 2048

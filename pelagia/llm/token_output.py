@@ -10,14 +10,14 @@ leave no half-written files and readers need nothing but Spark's readers.
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width
+from ..staging import new_path
+from .common import shuffle_width
 from .tokens import default_vocabulary, tokenizer
 
 #: (values, bits) of selectors 0 to 12, fixed by the format; 60 zero bits are left for none of them.
@@ -154,6 +154,6 @@ def token_digest(tokens: DataFrame) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/pelagia/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return token_digest(read_tokens(spark, path))

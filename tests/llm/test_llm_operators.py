@@ -10,8 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontam, licenses, line_dedup, media, near_dedup, packing, substring_dedup, token_output, tokens, toxicity, url_filter
-from pelagia.llm.common import components
+from pelagia.llm import decontam, licenses, line_dedup, linking, media, near_dedup, packing, substring_dedup, token_output, tokens, toxicity, url_filter
+from pelagia.operators.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 FOLDED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -101,13 +101,43 @@ def test_near_duplicates(spark, sample, sample_rows, corners, width):
     assert near_dedup.near_duplicates(sample.limit(0)).count() == 0
 
 
-def test_estimate_is_corrected(spark):
+def test_estimate_is_corrected():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 2**63, 900).astype(np.uint64)
     sets = [np.unique(np.concatenate([both, rng.integers(0, 2**63, 50).astype(np.uint64)])) for _ in range(2)]
-    a, b = (near_dedup.sketch(near_dedup.minima(s)).view(np.int64).tolist() for s in sets)
-    got = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(near_dedup.estimate(F.col("a"), F.col("b"))).first()[0]
-    assert got == pytest.approx(0.9, abs=0.1)
+    sketches = np.stack([near_dedup.sketch(near_dedup.minima(s)) for s in sets])
+    got = linking.agreement(sketches)(0, np.array([1]))
+    pieces = [[int(w) >> 4 * k & 15 for w in row for k in range(16)] for row in sketches]
+    agree = sum(p == q for p, q in zip(*pieces, strict=True)) / near_dedup.MINIMA
+    assert got[0] == pytest.approx((agree - 1 / 16) / (15 / 16)) and got[0] == pytest.approx(0.9, abs=0.1)
+
+
+def test_links_of_blocks_equal_all_pairs(spark, monkeypatch):
+    """A group of edited copies that a hub leaves apart, in many small blocks and beside a third of the rows in one text."""
+    monkeypatch.setattr(linking, "BLOCK_MEMBERS", 7)
+    rng = np.random.default_rng(11)
+    base = words(120, 3)
+    rows = []
+    for k in range(90):
+        own = list(base)
+        for at in rng.choice(120, int(rng.integers(3, 16)), replace=False):
+            own[at] = f"new{rng.integers(0, 9)}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, rows[0][1]) for k in range(45)]
+    rows.append((200, " ".join([*base[:100], *words(1500, 5)])))
+    sets = {d: shingles(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = smallest(links, sets)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root and 3 < len(set(root.values())) < 90
+
+
+def test_hot_keys_are_spread(spark):
+    """Equal texts, empty texts and null ids with a third of the rows each, past the limit at which a key counts as hot."""
+    rows = [(k, "the same few words in many rows") for k in range(40)] + [(100 + k, "") for k in range(40)] + [(None, "lost words")] * 40 + [(300, "one of its own kind")]
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter({(k, 6, 0, k == 0): 1 for k in range(40)}) + Counter({(100 + k, 0, 100 + k, True): 1 for k in range(40)})
+    assert got == want + Counter({(None, 1, None, True): 40, (300, 4, 300, True): 1})
 
 
 # ---- 8
@@ -468,6 +498,42 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_line_at_the_threshold_and_very_long_lines(spark):
+    """A pair of exactly 80 % that shares a band by its construction, one just below, and lines of five million characters."""
+    rng = np.random.default_rng(2)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    size = line_dedup.SHINGLE
+
+    def grams(x):
+        return {x[k : k + size] for k in range(len(x) - size + 1)}
+
+    text = lambda n: "x" + "".join(rng.choice(alphabet, n)).strip() + "x"
+    pairs, at = [], 0
+    while at < 3:  # 72 shingles in common, 9 of its own each: 72 / 90
+        common, ends = text(77)[:79], (text(20)[1:10], text(20)[1:10])
+        a, b = (common + e for e in ends)
+        if len(grams(a) & grams(b)) * 100 == 80 * len(grams(a) | grams(b)):
+            at += 1
+            pairs.append((a, b))
+    below = (text(77)[:78],) * 2
+    pairs.append((below[0] + "0123456789", below[1] + "9876543210"))
+    rows = [(10 * k + i, x) for k, p in enumerate(pairs) for i, x in enumerate(p)]
+    long = "".join(rng.choice(alphabet, 5_000_000)).strip()
+    rows += [(900, long), (901, long[:2_500_000] + "!" + long[2_500_000:]), (902, long[: 2_000_000])]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_removed")
+    got = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+    assert got[901] == 1 and got[900] == got[902] == 0
+    assert not any(got[d] for d in (0, 10, 20, 30, 31))
+    bands = [line_dedup.line_bands(list(p)) for p in pairs[:3]]
+    assert [got[10 * k + 1] for k in range(3)] == [int((b[0] == b[1]).any()) for b in bands] == [1, 1, 1]
+
+
+def test_a_line_with_a_third_of_all_rows(spark):
+    rows = [(k, f"a very common line of the corpus\nits own line number {k} {k * 7919}") for k in range(60)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_lines", "n_removed", "kept")
+    assert Counter(tuple(r) for r in out.collect()) == lines_kept(rows)
+
+
 def test_line_dedup_of_a_corpus(spark, sample, sample_rows):
     small = [r for r in sample_rows if r[0] < 60]
     out = line_dedup.dedup_lines(sample.where("doc_id < 60")).select("row.doc_id", "n_lines", "n_removed", "kept")
