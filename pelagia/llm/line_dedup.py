@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..staging import staged
 from .common import mix, narrowed, shuffle_width, small_batches, with_matches
-from .linking import Sets, link_groups
+from .linking import Sets, link_groups, numbered
 from .substring_dedup import _batch, _shared_anchors
 
 SHINGLE, BANDS, ROWS = 8, 12, 3
@@ -86,18 +86,16 @@ def line_bands(lines: list[str]) -> np.ndarray:
 
 
 def line_sets(lines: list[str]) -> Sets:
-    """The sorted distinct shingle hashes of each line, one after the other, and where each line's begin."""
-    parts, sizes = [np.empty(0, np.uint64)], []
-    for a, b in _runs(lines):
-        values, starts = character_shingles(lines[a:b])
-        line = np.repeat(np.arange(b - a), np.diff(starts, append=len(values)))
-        order = np.lexsort((values, line))
-        values, line = values[order], line[order]
-        first = np.ones(len(values), bool)
-        first[1:] = (values[1:] != values[:-1]) | (line[1:] != line[:-1])
-        parts.append(values[first])
-        sizes.append(np.bincount(line[first], minlength=b - a))
-    return np.concatenate(parts), np.concatenate([[0], *[np.asarray(x, np.int64) for x in sizes]]).cumsum()
+    """The distinct shingles of each line as numbers."""
+    parts = [character_shingles(lines[a:b]) for a, b in _runs(lines)]
+    values = np.concatenate([v for v, _ in parts])
+    sizes = np.concatenate([np.diff(starts, append=len(v)) for v, starts in parts])
+    code = numbered(values).astype(np.int64)
+    several = int(code.max()) + 1
+    # a line's number in front makes one sort do for all lines
+    own = np.sort(np.repeat(np.arange(len(lines)), sizes) * several + code)
+    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+    return (own % several).astype(np.int32), np.concatenate([[0], np.bincount(own // several, minlength=len(lines)).cumsum()])
 
 
 def _occurrences(batches):
@@ -200,7 +198,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         chosen = staged(chosen.dropDuplicates(["id"]), "chosen")
 
     sizes = chosen.select("id", F.char_length(F.col("payload").cast("string")).cast("long").alias("n"))
-    labels = link_groups(member, sizes, lambda ids: chosen.join(ids, "id").select("id", "payload"), _read, percent)
+    labels = link_groups(member, sizes, lambda ids: chosen.join(ids, "id").select("id", "payload"), _read, 1, percent)
     linked = chosen.select(F.col("id").alias("d1"), "d2").join(labels.withColumnRenamed("u", "d1"), "d1")
     linked = staged(firsts.join(linked, ["d1", "d2"]).select("d1", "d2", "first", "many", "component"), "linked")
     kept = linked.groupBy("component").agg(F.min("first").alias("keep"))

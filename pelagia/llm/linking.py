@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,30 +25,32 @@ from .common import shuffle_width
 #: Members of a block at most on average, and shingles of their sets together.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 19
 
-#: Sets as task code holds them: hashes of all members' shingles in one array, each member's sorted and distinct, and where they begin.
+#: Sets as task code holds them: numbers of all members' shingles in one array, distinct in each member, and where each one's begin.
 Sets = tuple[np.ndarray, np.ndarray]
 
 
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Small numbers in place of hashes."""
+    return np.unique(values, return_inverse=True)[1].astype(np.int32)
+
+
 def packed_sets(payloads: list[bytes]) -> Sets:
-    """Sets that come as packed 64-bit hashes."""
+    """Sets that come as packed distinct 64-bit hashes."""
     sizes = np.array([len(x) // 8 for x in payloads], np.int64)
-    return np.frombuffer(b"".join(payloads), np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    return numbered(np.frombuffer(b"".join(payloads), np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def cell_links(ids: np.ndarray, side: np.ndarray, root: np.ndarray, sets: Sets, percent: int, near: Callable[[int, np.ndarray], np.ndarray] | None) -> list[tuple[int, int]]:
+def cell_links(ids: np.ndarray, side: np.ndarray, root: np.ndarray, codes: np.ndarray, starts: np.ndarray, seen: np.ndarray, percent: int, near: Callable[[int, np.ndarray], np.ndarray] | None) -> list[tuple[int, int]]:
     """Links (a, b) between a cell's members whose sets reach the similarity and whose components were still apart.
 
-    ``side`` is 0 for the left block, 1 for the right one and 2 where both are the same. ``near(x, others)`` tells which others
-    are worth the comparison of full sets.
+    Member k has the distinct shingle numbers ``codes[starts[k]:starts[k + 1]]``; ``seen`` is a cleared flag for each number. ``side``
+    is 0 for the left block, 1 for the right one and 2 where both are the same. ``near(x, others)`` tells which others are
+    worth the comparison of full sets.
     """
-    values, starts = sets
-    sizes = np.diff(starts)
-    codes = np.unique(values, return_inverse=True)[1].astype(np.int32)
-    seen = np.zeros(int(codes.max()) + 1, bool)
-    root = np.unique(root, return_inverse=True)[1]
+    sizes, root = np.diff(starts), root.copy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out = []
-    for x in left:
+    base, out = starts[0], []
+    for x in left.tolist():
         others = right[right > x] if side[x] == 2 else right
         n, m = sizes[x], sizes[others]
         others = others[(root[others] != root[x]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
@@ -57,60 +60,99 @@ def cell_links(ids: np.ndarray, side: np.ndarray, root: np.ndarray, sets: Sets,
             continue
         own = codes[starts[x] : starts[x + 1]]
         seen[own] = True
-        if 4 * len(others) > len(sizes):
-            both = np.add.reduceat(seen[codes], starts[:-1], dtype=np.int64)[others]
+        if len(others) > 8 and 4 * len(others) > len(sizes):
+            both = np.add.reduceat(seen[codes[base : starts[-1]]], starts[:-1] - base, dtype=np.int64)[others]
         else:
-            both = np.array([np.count_nonzero(seen[codes[starts[k] : starts[k + 1]]]) for k in others])
+            both = np.array([np.count_nonzero(seen[codes[starts[k] : starts[k + 1]]]) for k in others.tolist()])
         seen[own] = False
-        for y in others[100 * both >= percent * (n + sizes[others] - both)]:
+        for y in others[100 * both >= percent * (n + sizes[others] - both)].tolist():
             if root[x] != root[y]:
                 out.append((int(ids[x]), int(ids[y])))
                 root[root == root[y]] = root[x]
     return out
 
 
-def agreement(sketches: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Share of the 4-bit pieces of packed sketches (a row a member) that agree, less what agrees by chance."""
-
-    def share(x: int, others: np.ndarray) -> np.ndarray:
-        d = sketches[others] ^ sketches[x]
-        d |= d >> np.uint64(2)
-        d |= d >> np.uint64(1)
-        differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
-        return (1 - differ / (16 * sketches.shape[1]) - 1 / 16) / (15 / 16)
-
-    return share
-
+def pair_links(at: np.ndarray, ids: np.ndarray, side: np.ndarray, root: np.ndarray, codes: np.ndarray, starts: np.ndarray, percent: int, sketches: np.ndarray | None, least: float | None) -> list[tuple[int, int]]:
+    """What :func:`cell_links` gives for cells of two members, at ``at`` and behind it, all at once."""
+    sizes = np.diff(starts)
+    n, m = sizes[at], sizes[at + 1]
+    keep = (root[at] != root[at + 1]) & ((side[at] != side[at + 1]) | (side[at] == 2)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    at, n, m = at[keep], n[keep], m[keep]
+    if sketches is not None and len(at):
+        keep = share_of(sketches[at] ^ sketches[at + 1]) >= least
+        at, n, m = at[keep], n[keep], m[keep]
+    if not len(at):
+        return []
+    # both members' shingles stand side by side; numbered by pair and sorted, common ones are neighbours
+    pair, ends = np.repeat(np.arange(len(at)), n + m), np.cumsum(n + m)
+    place = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - n - m), n + m)
+    several = int(codes.max()) + 1
+    key = np.sort(pair * several + codes[place])
+    both = np.bincount(key[1:][key[1:] == key[:-1]] // several, minlength=len(at))
+    good = at[100 * both >= percent * (n + m - both)]
+    return list(zip(ids[good].tolist(), ids[good + 1].tolist(), strict=True))
+
+
+def share_of(differing: np.ndarray) -> np.ndarray:
+    """Share of the 4-bit pieces without a set bit, of rows of 64-bit words, less what agrees by chance."""
+    d = differing | differing >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
+    return (1 - differ / (16 * differing.shape[1]) - 1 / 16) / (15 / 16)
 
-def _cells(read: Callable[[list], Sets], percent: int, least: float | None):
-    """Rows (cell, side, id, component, payload[, sketch]) sorted by cell, as links (a, b)."""
 
-    def solve(tables: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        whole = pa.Table.from_batches(tables)
-        side = whole.column("side").to_numpy()
-        if len(side) < 2:
-            return []
-        near = None
-        if least is not None:
-            share = agreement(np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1))
-            near = lambda x, others: share(x, others) >= least
-        sets = read(whole.column("payload").to_pylist())
-        return cell_links(whole.column("id").to_numpy(), side, whole.column("component").to_numpy(), sets, percent, near)
+def agreement(sketches: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The estimated similarity of one member and others by their packed sketches (a row a member)."""
+    return lambda x, others: share_of(sketches[others] ^ sketches[x])
+
+
+def _cells(read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None):
+    """Rows (cell, side, id, component, payload[, sketch]) sorted by cell, as links (a, b). A few cells are read at once."""
+
+    def solve(rows: pa.Table, cuts: np.ndarray) -> list[tuple[int, int]]:
+        codes, starts = read(rows.column("payload").to_pylist())
+        seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        ids, side, component = (rows.column(c).to_numpy() for c in ("id", "side", "component"))
+        sketches = None if least is None else np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        found = pair_links(cuts[:-1][np.diff(cuts) == 2], ids, side, component, codes, starts, percent, sketches, least)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 2:
+                near = None
+                if sketches is not None:
+                    share = agreement(sketches[a:b])
+                    near = lambda x, others, share=share: share(x, others) >= least
+                found += cell_links(ids[a:b], side[a:b], component[a:b], codes, starts[a : b + 1], seen, percent, near)
+        return found
+
+    def runs(rows: pa.Table, cuts: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        """Consecutive cells of about ``BLOCK_SHINGLES`` shingles together (one cell may have more)."""
+        ends = np.cumsum(pc.binary_length(rows.column("payload")).to_numpy().astype(np.int64)) // shingle_bytes
+        first = 0
+        for k in range(1, len(cuts)):
+            before = ends[cuts[first] - 1] if cuts[first] else 0
+            if k + 1 == len(cuts) or ends[cuts[k + 1] - 1] - before > BLOCK_SHINGLES:
+                yield solve(rows.slice(cuts[first], cuts[k] - cuts[first]), cuts[first : k + 1] - cuts[first])
+                first = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # rows of the last cell, which the next batch may go on with
         for batch in batches:
-            found: list[tuple[int, int]] = []
             cell = batch.column("cell").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]]) if len(cell) else []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if held and held[0].column("cell")[0].as_py() != cell[a]:
-                    found += solve(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-            yield _pairs(found)
+            if not len(cell):
+                continue
+            cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            if held and held[0].column("cell")[0].as_py() != cell[0]:
+                cuts = np.concatenate([[0], cuts])
+            if len(cuts):
+                rows = pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))])
+                before = sum(x.num_rows for x in held)
+                for found in runs(rows, np.unique(np.concatenate([[0], cuts + before]))):
+                    yield _pairs(found)
+                held = []
+            held.append(batch.slice(int(cuts[-1]) if len(cuts) else 0))
         if held:
-            yield _pairs(solve(held))
+            rows = pa.Table.from_batches(held)
+            yield _pairs(solve(rows, np.array([0, rows.num_rows])))
 
     return run
 
@@ -120,10 +162,10 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def compared(cells: DataFrame, known: DataFrame, read: Callable[[list], Sets], percent: int, least: float | None) -> DataFrame:
+def compared(cells: DataFrame, known: DataFrame, read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None) -> DataFrame:
     """Links (u, v) found in cells (cell, side, id, component) of the sets ``known`` (id, payload[, sketch]), staged."""
     rows = cells.join(known, "id").repartition(shuffle_width(cells.sparkSession), "cell").sortWithinPartitions("cell")
-    return staged(rows.mapInArrow(_cells(read, percent, least), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    return staged(rows.mapInArrow(_cells(read, shingle_bytes, percent, least), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
 def _blocks(weight: Column, members: Column) -> Column:
@@ -170,11 +212,11 @@ def group_cells(gathered: DataFrame, sizes: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("hub", low, high).alias("cell"), side.alias("side"), "id", "component")
 
 
-def link_groups(member: DataFrame, sizes: DataFrame, known: Callable[[DataFrame], DataFrame], read: Callable[[list], Sets], percent: int, least: float | None = None, found: list[DataFrame] | None = None) -> DataFrame:
+def link_groups(member: DataFrame, sizes: DataFrame, known: Callable[[DataFrame], DataFrame], read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None = None, found: list[DataFrame] | None = None) -> DataFrame:
     """Components (u, component) of the ids that reach the similarity and share a group: every such link is accounted for.
 
     ``member`` (key, id) and ``sizes`` (id, n: about the size of its set) are staged. ``known`` gives rows (id, payload[, sketch]) of staged
-    ids; ``read`` makes sets of payloads. Pairs whose sketches agree less than ``least`` are not compared in full.
+    ids; ``read`` makes sets of payloads of about ``shingle_bytes`` for each shingle. Pairs whose sketches agree less than ``least`` are not compared in full.
     ``found`` are links (u, v) known before. Ids without a link have no row. The result is staged; jobs run while this is called.
 
     Work inside tasks grows with the product of a group's members and those of them that its hubs leave apart;
@@ -192,14 +234,14 @@ def link_groups(member: DataFrame, sizes: DataFrame, known: Callable[[DataFrame]
     stars = ends.select("id", "low", F.col("hub.hub").alias("hub")).select(F.explode(F.array_distinct(F.array(pair("low"), pair("hub")))).alias("s")).select("s.*").where("hub <> id")
     stars = staged(stars, "stars")
     sets = staged(known(staged(stars.select(F.col("hub").alias("id")).union(stars.select("id")).distinct(), "asked")), "sets")
-    found.append(compared(star_cells(stars, sizes), sets, read, percent, least))
+    found.append(compared(star_cells(stars, sizes), sets, read, shingle_bytes, percent, least))
     labels = components(reduce(DataFrame.union, found))
 
     named = named.select("key", "id", "hub").join(labels.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = staged(named, "labelled")
     mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
     gathered = staged(named.join(mixed, "key").select("hub", "id", "component").distinct(), "gathered")
-    more = compared(group_cells(gathered, sizes), sets, read, percent, least)
+    more = compared(group_cells(gathered, sizes), sets, read, shingle_bytes, percent, least)
     if not more.take(1):
         return labels
     return components(labels.select("u", F.col("component").alias("v")).union(more))

@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
             values = values.dropDuplicates(["id", "d1", "d2"])
         return values.join(sets.select("id", "d1", "d2", "sketch"), ["id", "d1", "d2"]).select("id", "payload", "sketch")
 
-    labels = link_groups(member, sizes, known, packed_sets, percent, least_estimate(percent), found)
+    labels = link_groups(member, sizes, known, packed_sets, 8, percent, least_estimate(percent), found)
     named = sets.join(labels.withColumnRenamed("u", "id"), "id", "left").select(*of_set, "many", F.coalesce("component", "id").alias("component"))
     named = staged(named, "classes")
     keys = signed.select("doc_id", "n_shingles", *[F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("d1", "d2")])

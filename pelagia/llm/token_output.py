@@ -20,7 +20,7 @@ from ..staging import new_path
 from .common import shuffle_width
 from .tokens import default_vocabulary, tokenizer
 
-#: (values, bits) of selectors 0 to 12, fixed by the format; 60 zero bits are left for none of them.
+#: (values, bits) of selectors 0 to 13, fixed by the format; 60 zero bits are left for none of them.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
 

@@ -18,7 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staged
+from .common import small_batches
 
+#: Toxic texts that a feature needs at least; with fewer toxic texts nothing is learned and all scores are one.
+LEAST_TOXIC = 5
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
 #: Features that the classifier may use, at most.
@@ -243,9 +246,10 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, n_features: int, pen
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> tuple[dict[str, float], float]:
     """Weights by feature and the intercept, from at most ``sample_rows`` labelled documents that aren't held out.
 
-    Equal texts count once. Labels of one id count as toxic if any row says so; null labels are left out.
+    Equal texts count once. Labels of one id count as toxic if any row says so; labels other than 0 and 1 are left out. A feature
+    is learned from if ``LEAST_TOXIC`` toxic texts or a 200th of them have it, whichever is more.
     """
-    marked = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
+    marked = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -256,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: in
     if not pos or not neg:
         return {}, -6.0 if not pos else 6.0
     counts = sample.mapInArrow(_feature_counts(model), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = counts.filter((F.col("pos") >= max(5, pos // 200)) & (F.col("pos") * neg > 3 * F.col("neg") * pos))
+    counts = counts.filter((F.col("pos") >= max(LEAST_TOXIC, pos // 200)) & (F.col("pos") * neg > 3 * F.col("neg") * pos))
     gain = F.col("pos") * F.log(F.col("pos") / pos) - F.col("pos") * F.log((F.col("pos") + F.col("neg")) / (pos + neg))
     best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "feature").limit(features).select("feature").collect()
     wanted = {r["feature"]: k for k, r in enumerate(best)}
@@ -289,6 +293,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     repeated ids are rows like any other (a null id is not held out); columns of ``docs`` besides ``doc_id`` and
     ``text`` are ignored. Without labels of both kinds all scores are near the kind there is (near 0 with none).
     """
+    small_batches(docs.sparkSession)
     model = character_model(docs)
     weights, bias = train(docs, labels, model, sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -315,6 +320,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     Each row is judged by its own text, whatever its id; null and empty texts are kept unless there are
     only toxic labels. Texts pass through Python once more than the model's counts need.
     """
+    small_batches(docs.sparkSession)
     model = character_model(docs)
     weights, bias = train(docs, labels, model, sample_rows)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
