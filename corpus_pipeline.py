@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import staged, without
+from pelagia.llm.common import without
 from pelagia.llm.decontam import decontaminate
 from pelagia.llm.line_dedup import dedup_lines
 from pelagia.llm.near_dedup import near_duplicates
 from pelagia.llm.packing import pack_documents
 from pelagia.llm.toxicity import without_toxic
+from pelagia.staging import discard, new_path, scratch
 
 #: Words of a shingle and percentage of similarity of the near-duplicate stage.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -62,8 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of ``documents``. A stage's input and intermediate tables are deleted when its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

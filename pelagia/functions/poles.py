@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .geo import _c
 
-_PI = math.pi
+#: Halvings of the interval of a circle's radius: beyond a double's precision.
+_HALVINGS = 60
 
 
 class DisplacedPole:
@@ -23,61 +22,73 @@ class DisplacedPole:
     def __init__(self, join_lat: float = 10.0, pole_lat: float = 75.0, pole_lon: float = 320.0, centre: str = "parabolic"):
         if centre not in ("linear", "parabolic", "cubic"):
             raise ValueError(f"no centre function {centre!r}")
-        self.join, self.lon0, self.power = math.radians(join_lat), math.radians(pole_lon), ("linear", "parabolic", "cubic").index(centre) + 1
-        self.scale = math.tan(_PI / 2 - self.join)
-        self.a = math.tan(_PI / 2 - math.radians(pole_lat)) / self.scale
-
-    def _centre(self, r):
-        return self.a * (1 - r) ** self.power
-
-    def _integral(self, r, log):
-        """Minus the integral of centre'(r) / r."""
-        a = self.a
-        return {1: lambda: -a * log, 2: lambda: 2 * a * r - 2 * a * log, 3: lambda: 6 * a * r - 1.5 * a * r * r - 3 * a * log}[self.power]()
+        self.join_lat, self.pole_lon, self.power = join_lat, pole_lon, ("linear", "parabolic", "cubic").index(centre) + 1
+        # in the polar plane the joining latitude is the unit circle, and the circle of radius 0 is the moved pole
+        self.unit = math.tan(math.radians(90 - join_lat))
+        self.shift = math.tan(math.radians(90 - pole_lat)) / self.unit
+
+    def _radius(self, lat: Column) -> Column:
+        return F.tan(F.radians(90 - lat)) / self.unit
+
+    def _latitude(self, radius: Column) -> Column:
+        return 90 - F.degrees(F.atan(radius * self.unit))
+
+    def _centre(self, r: Column) -> Column:
+        """Where on the axis to the moved pole the circle of radius r has its centre: shift (1 - r)**power."""
+        return self.shift * F.pow(1 - r, F.lit(float(self.power)))
+
+    def _stretch(self, r: Column) -> Column:
+        """exp of the integral of -centre'(s) / s from r to 1: a line across all circles keeps tan(angle / 2) / stretch.
+
+        With n the power that is n shift (1 - s)**(n - 1) / s, a sum of powers of s, integrated term by term.
+        """
+        n, r = self.power, F.greatest(r, F.lit(1e-12))
+        terms = [(math.comb(n - 1, k) * (-1) ** k, k) for k in range(n)]
+        total = -F.log(r)
+        for c, k in terms[1:]:
+            total = total + c / k * (1 - F.pow(r, F.lit(float(k))))
+        return F.exp(n * self.shift * total)
+
+    @staticmethod
+    def _turned(angle: Column, factor: Column) -> Column:
+        """The angle whose half has ``factor`` times the tangent; it keeps its sign."""
+        return 2 * F.atan(F.tan(angle / 2) * factor)
+
+    def _from_axis(self, lon: Column) -> Column:
+        """Angle from the axis, in (-pi, pi]."""
+        turn = F.radians(lon - self.pole_lon)
+        return F.atan2(F.sin(turn), F.cos(turn))
+
+    def _longitude(self, angle: Column) -> Column:
+        return F.pmod(F.degrees(angle) + self.pole_lon, F.lit(360.0))
 
     def forward(self, lat, lon) -> tuple[Column, Column]:
         """(lat, lon) on the Earth of a grid point; points up to the joining latitude stay."""
         lat, lon = _c(lat), _c(lon)
-        moved = lat > math.degrees(self.join)
-        fi, la = F.radians(F.when(moved, lat).otherwise(math.degrees(self.join))), F.pmod(F.radians(lon), F.lit(2 * _PI))
-        r = F.tan(_PI / 2 - fi) / self.scale
-        turn = F.pmod(la - self.lon0, F.lit(2 * _PI))
-        edge = F.pmod(turn, F.lit(_PI)) == 0
-        at_one = self._integral(1.0, 0.0)
-        c = F.when(edge, 0.0).otherwise(at_one - F.log(F.abs(F.tan(turn / 2))))
-        swing = 2 * F.atan(F.exp(self._integral(r, F.log(r)) - c))
-        turn2 = F.when(edge, turn).when(turn < _PI, swing).otherwise(2 * _PI - swing)
-        x, y = self.a * F.pow(1 - r, F.lit(self.power)) + r * F.cos(turn2), r * F.sin(turn2)
-        out_lon = F.pmod(F.atan2(y, x) + self.lon0, F.lit(2 * _PI))
-        out_lat = _PI / 2 - F.atan(F.hypot(x, y) * self.scale)
-        return F.when(moved, F.degrees(out_lat)).otherwise(lat), F.when(moved, F.degrees(out_lon)).otherwise(lon)
-
-    def backward(self) -> Column:
-        """A function of two columns (lat, lon) that gives the grid's (lat, lon): the radius has no closed form, so a
-        fixed-point iteration runs in whole arrays."""
-        join, lon0, scale, centre, integral = self.join, self.lon0, self.scale, self._centre, self._integral
-
-        def run(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-            moved = lat.to_numpy() > math.degrees(join)
-            fi, la = np.radians(np.where(moved, lat, math.degrees(join))), np.radians(lon.to_numpy()) % (2 * _PI)
-            r3, turn3 = np.tan(_PI / 2 - fi) / scale, (la - lon0) % (2 * _PI)
-            x, y, r = r3 * np.cos(turn3), r3 * np.sin(turn3), r3
-            for _ in range(500):
-                new = np.hypot(y, x - centre(r))
-                done = np.all(np.abs(new - r) < 1e-15)
-                r = new
-                if done:
-                    break
-            turn2 = np.arctan2(y, x - centre(r)) % (2 * _PI)
-            edge = (turn2 % _PI) == 0
-            with np.errstate(divide="ignore"):
-                c = np.where(edge, 0.0, integral(r, np.log(r)) - np.log(np.abs(np.where(edge, 1.0, np.tan(turn2 / 2)))))
-            swing = 2 * np.arctan(np.exp(integral(1.0, 0.0) - c))
-            turn = np.where(edge, turn2, np.where(turn2 < _PI, swing, 2 * _PI - swing))
-            out_lon, out_lat = np.degrees((turn + lon0) % (2 * _PI)), np.degrees(_PI / 2 - np.arctan(r * scale))
-            return pd.DataFrame({"lat": np.where(moved, out_lat, lat), "lon": np.where(moved, out_lon, lon)})
-
-        return F.pandas_udf(run, "lat double, lon double")
+        r = self._radius(lat)
+        angle = self._turned(self._from_axis(lon), self._stretch(r))
+        x, y = self._centre(r) + r * F.cos(angle), r * F.sin(angle)
+        moved = lat > self.join_lat
+        return F.when(moved, self._latitude(F.hypot(x, y))).otherwise(lat), F.when(moved, self._longitude(F.atan2(y, x))).otherwise(lon)
+
+    def backward(self, lat, lon) -> tuple[Column, Column]:
+        """The grid's (lat, lon) of a point on the Earth. The radius of the circle through it has no closed form; the distance from a circle's
+        centre less its radius falls with the radius, so halving the interval from 0 to 1 finds it.
+        """
+        lat, lon = _c(lat), _c(lon)
+        far, angle = self._radius(lat), self._from_axis(lon)
+        x, y = far * F.cos(angle), far * F.sin(angle)
+
+        def halved(ends: Column, _: Column) -> Column:
+            middle = (ends["low"] + ends["high"]) / 2
+            beyond = F.hypot(x - self._centre(middle), y) > middle
+            return F.struct(F.when(beyond, middle).otherwise(ends["low"]).alias("low"), F.when(beyond, ends["high"]).otherwise(middle).alias("high"))
+
+        start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+        r = F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), start, halved)["high"]
+        angle = self._turned(F.atan2(y, x - self._centre(r)), 1 / self._stretch(r))
+        moved = lat > self.join_lat
+        return F.when(moved, self._latitude(r)).otherwise(lat), F.when(moved, self._longitude(angle)).otherwise(lon)
 
     def grid(self, spark: SparkSession, n: int = 10, m: int = 10, lat0: float = -80.0, lat1: float = 80.0, lon0: float = 0.0, lon1: float = 360.0) -> DataFrame:
         """Rows (i, j, grid_lat, grid_lon, lat, lon) of n x m points."""

@@ -1,7 +1,7 @@
 """Nearest neighbours in the plane by bins and widening rings: exact, without a cross join.
 
-Each round joins the queries that are not settled with the points of their own and nearby bins. A query is
-settled when its kth distance is within the ring; the ring doubles from round to round, so that the
+Each round joins the queries that are not settled with the points of their own and the eight nearby bins. A query is
+settled when its kth distance is within a bin's width, which doubles from round to round, so that the
 number of rounds is the logarithm of the largest gap. Points at one place are folded before the join.
 """
 
@@ -17,33 +17,39 @@ from ..functions.geo import EARTH_KM
 from ..staging import staged
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 10.0, reach: float = 512.0) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 10.0) -> DataFrame:
     """Rows (q, p, d2, rank): the k nearest ``points`` (p, x, y) of each of ``queries`` (q, x, y) by squared distance, ties
-    by smaller p. Rings end at ``reach``, the largest distance that can occur. Null positions are left out.
+    by smaller p. Queries have fewer rows only where there are fewer points. Null positions are left out.
+
+    A ring is 3 x 3 bins, whose size doubles from round to round until it spans all positions, so a query far from all points costs no
+    more probes than one among them. Jobs run while this is called.
     """
     usable = "x is not null and y is not null and not isnan(x) and not isnan(y)"
     # at most k points of a place can count
     place = Window.partitionBy("x", "y").orderBy("p")
     points = points.where(usable).select("p", "x", "y").withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n")
-    points = staged(points.withColumns({"bx": F.floor(F.col("x") / cell), "by": F.floor(F.col("y") / cell)}), "points")
+    points = staged(points.select("p", F.col("x").alias("px"), F.col("y").alias("py")), "points")
     # queries at one place have the same neighbours
     asked = queries.where(usable).select("q", "x", "y")
-    places = staged(asked.select("x", "y").distinct(), "places")
-    rest, ring, done = places, 1, []
+    rest, done = staged(asked.select("x", "y").distinct(), "places"), []
+    ends = points.select(F.col("px").alias("x"), F.col("py").alias("y")).union(rest)
+    ends = ends.agg(*[f(c) for f in (F.min, F.max) for c in ("x", "y")]).first()
+    extent = max(ends[2] - ends[0], ends[3] - ends[1]) if ends[0] is not None else 0.0
     order = Window.partitionBy("x", "y").orderBy("d2", "p")
+    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     while True:
-        near = F.sequence(F.lit(-ring), F.lit(ring))
+        bin_of = lambda c, size=cell: F.floor(F.col(c) / size)
         probe = rest.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-        probe = probe.select("x", "y", (F.floor(F.col("x") / cell) + F.col("dx")).alias("bx"), (F.floor(F.col("y") / cell) + F.col("dy")).alias("by"))
-        found = probe.join(points.select("p", F.col("x").alias("px"), F.col("y").alias("py"), "bx", "by"), ["bx", "by"])
+        probe = probe.select("x", "y", (bin_of("x") + F.col("dx")).alias("bx"), (bin_of("y") + F.col("dy")).alias("by"))
+        found = probe.join(points.withColumns({"bx": bin_of("px"), "by": bin_of("py")}), ["bx", "by"])
         d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
         ranked = found.select("x", "y", "p", d2.alias("d2")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        last = ring * cell >= reach
+        last = cell > extent  # two positions are in the same or in neighbouring bins
         if not last:
-            # every point nearer than the ring's width has been seen
+            # every point nearer than a bin's width has been seen
             whole = Window.partitionBy("x", "y")
             ranked = ranked.withColumns({"far": F.max("d2").over(whole), "full": F.count("*").over(whole)})
-            ranked = ranked.where((F.col("full") == k) & (F.col("far") < (ring * cell) ** 2)).drop("far", "full")
+            ranked = ranked.where((F.col("full") == k) & (F.col("far") < cell**2)).drop("far", "full")
         ranked = staged(ranked, "near")
         done.append(ranked)
         if last:
@@ -51,16 +57,16 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 1
         rest = staged(rest.join(ranked.select("x", "y").distinct(), ["x", "y"], "left_anti"), "unsettled")
         if not rest.take(1):
             break
-        ring *= 2
+        cell *= 2
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return asked.join(out, ["x", "y"]).select("q", "p", "d2", F.col("rank").cast("int").alias("rank"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, cell: float = 10.0, reach: float = 512.0) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, cell: float = 10.0) -> DataFrame:
     """Rows (q, p, d2): the nearest point of each query."""
-    return k_nearest(queries, points, 1, cell, reach).drop("rank")
+    return k_nearest(queries, points, 1, cell).drop("rank")
 
 
 def distance_weighted(neighbours: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -71,11 +77,11 @@ def distance_weighted(neighbours: DataFrame, values: DataFrame, value: str) -> D
     return both.groupBy("q").agg(F.coalesce(F.sum(d * F.col(value)) / F.nullif(F.sum(d), F.lit(0.0)), F.avg(value)).alias(value))
 
 
-def fill_nearest(cells: DataFrame, value: str, cell: float = 4.0, reach: float = 4096.0, k: int = 4) -> DataFrame:
+def fill_nearest(cells: DataFrame, value: str, cell: float = 4.0, k: int = 4) -> DataFrame:
     """Cells (id, x, y, value): null values become the mean of the equally nearest known ones among the ``k`` nearest."""
     good = cells.where(F.col(value).isNotNull()).select(F.col("id").alias("p"), "x", "y", value)
     bad = cells.where(F.col(value).isNull()).select(F.col("id").alias("q"), "x", "y")
-    near = k_nearest(bad, good.drop(value), k, cell, reach)
+    near = k_nearest(bad, good.drop(value), k, cell)
     least = near.groupBy("q").agg(F.min("d2").alias("least"))
     made = near.join(least, "q").where("d2 = least").join(good.select("p", value), "p").groupBy(F.col("q").alias("id")).agg(F.avg(value).alias("__made"))
     return cells.join(made, "id", "left").withColumn(value, F.coalesce(value, "__made")).drop("__made")

@@ -294,7 +294,7 @@ def knn4_weighted(spark, sf_dir):
 def fill_nearest(spark, sf_dir):
     i, j = F.col("i"), F.col("j")
     c = field(spark, sf_dir).select((i * 1000 + j).alias("id"), i.cast("double").alias("x"), j.cast("double").alias("y"), F.when((i * 7 + j * 3) % 5 != 0, F.col("v")).alias("v"))
-    return rounded(nearest.fill_nearest(c, "v", 4.0, 64.0), 6, "v")
+    return rounded(nearest.fill_nearest(c, "v", 4.0), 6, "v")
 
 
 _HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))"

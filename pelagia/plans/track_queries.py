@@ -85,12 +85,15 @@ def track_long_islands(spark, sf_dir):
     return tracks.long_islands(user_tracks(spark, sf_dir), 86400.0, 5)
 
 
-@query()
+@query(f"{_ISLANDS} SELECT track, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows FROM s GROUP BY track, island HAVING count(*) >= 5", "events_by_user")
 def track_islands_stream(spark, sf_dir):
-    """The same by a stream over the events that is drained into the shared folder; islands that are open at its end stay in the state."""
+    """The same by a stream over the events that is drained into the shared folder, with the islands that are open at its end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("user_id", "track")
-    return streams.drained(spark, streams.islands(events, 86400.0, 5), new_path(spark, "islands"))
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumnRenamed("user_id", "track")
+    path = new_path(spark, "islands")
+    ended = streams.drained(spark, streams.islands(events, 86400.0, 5), path)
+    out = ended.unionByName(streams.open_islands(spark, path, 5))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 
 @query("SELECT CAST(l_linenumber AS BIGINT) AS k, date_trunc('month', l_shipdate) AS month, avg(l_quantity) AS q FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' GROUP BY ALL")

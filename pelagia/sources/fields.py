@@ -24,21 +24,24 @@ VARIABLES = (
 _PROFILE_HEIGHTS = ("z", "zf", "zc", "zm")
 
 
+#: A name, an argument list that says it depends on height, and a unit in round or square brackets.
+_COLUMN = re.compile(r"(?P<name>[^\s,#()\[\]]+)(?:\(z\))?(?:[(\[](?P<unit>[^)\]]*)[)\]])?")
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """A profile text: names with units in brackets on the second line, numbers below; heights are named ``height``.
 
     Units that are known go to the columns' metadata.
     """
     lines = numbered_lines(spark, path)
-    head = lines.where("line = 1").first()["value"].lstrip("#").replace("(z)", "").replace(",", " ")
-    names = [re.split(r"[()\[\]]", x) for x in head.split()]
-    columns = ["height" if x[0] in _PROFILE_HEIGHTS else x[0] for x in names]
+    heads = list(_COLUMN.finditer(lines.where("line = 1").first()["value"]))
     f = F.split(F.trim("value"), r"\s+")
     rows = lines.where("line > 1 and trim(value) <> '' and not startswith(trim(value), '#')")
+    columns = {("height" if m["name"] in _PROFILE_HEIGHTS else m["name"]): m["unit"] for m in heads}
     df = rows.select(*[F.get(f, F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(columns)])
-    for x, c in zip(names, columns, strict=True):
-        if len(x) > 1 and x[1] in units.NAMED:
-            df = units.with_unit(df, c, units.named(x[1]))
+    for c, unit in columns.items():
+        if unit in units.NAMED:
+            df = units.with_unit(df, c, units.named(unit))
     return df
 
 

@@ -39,7 +39,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no plan will read any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -56,7 +57,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         for path in _written[begin:]:
             if path not in kept:
-                _delete(spark, path)
+                discard(spark, path)
         _written[begin:] = kept
 
 

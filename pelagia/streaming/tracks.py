@@ -63,8 +63,20 @@ def advance(snapshots: DataFrame, until, ts: str = "ts") -> DataFrame:
 def drained(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
     """Runs a stream over all that its source has now, into a folder, and reads it back.
 
-    Windows and islands that the watermark has not passed at the end of the input stay in the checkpoint beside it.
+    Windows and islands that the watermark has not passed at the end of the input stay in the checkpoint beside it,
+    where :func:`open_islands` finds the latter.
     """
     query = frame.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def open_islands(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
+    """The islands that a stream drained to ``path`` has not given out: with those it has, what a batch over the same rows gives.
+
+    They are read from the stream's state as it is; a stream that goes on from there may still extend them.
+    """
+    state = spark.read.format("statestore").load(f"{path}-checkpoint")
+    own = lambda c: F.col(f"value.groupState.{c}")
+    time = lambda c: F.timestamp_micros(own(c))
+    return state.where(own("n") >= least).select(F.col("key.track").alias("track"), time("first").alias("first_ts"), time("last").alias("last_ts"), own("n").alias("n_rows"))
