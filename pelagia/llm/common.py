@@ -23,9 +23,9 @@ def shuffle_width(spark: SparkSession) -> int:
 BROADCAST_IDS = 2_000_000
 
 
-def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` (long) is among the staged ``ids``; broadcast only after they are counted."""
-    ids = staged(ids.select("doc_id").distinct(), "ids")
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` (long) is in ``ids``, staged; broadcast only after they are counted."""
+    ids = ids.select("doc_id")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staged
-from .common import mix, narrowed, shuffle_width, small_batches, with_matches
+from .common import among, mix, shuffle_width, small_batches, with_matches
 from .linking import Sets, link_groups, numbered
 from .substring_dedup import _batch, _shared_anchors
 
@@ -140,8 +140,9 @@ def _chosen_lines(batches):
                 if i < len(lines) and (x := lines[i].strip()):
                     found[line_digest(x)] = x
         d = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+        sizes = pa.array([len(x) for x in found.values()], pa.int64())
         texts = pa.array([x.encode("utf-8", "replace") for x in found.values()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), texts], ["id", "d2", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), sizes, texts], ["id", "d2", "n", "payload"])
 
 
 def _read(payloads: list[bytes]) -> Sets:
@@ -192,13 +193,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     member = staged(shared.select(F.col("h").alias("key"), F.col("doc_id").alias("id")).distinct(), "members")
     wanted = firsts.join(member.select(F.col("id").alias("d1")).distinct(), "d1").groupBy("first.doc_id").agg(F.collect_list("first.place").alias("places"))
     wanted = staged(wanted, "wanted")
-    chosen = narrowed(named, wanted).join(wanted, "doc_id").select("text", "places").mapInArrow(_chosen_lines, "id long, d2 long, payload binary")
+    chosen = among(named, wanted).join(wanted, "doc_id").select("text", "places").mapInArrow(_chosen_lines, "id long, d2 long, n long, payload binary")
     chosen = staged(chosen, "chosen")
     if chosen.groupBy("id").count().filter("count > 1").limit(1).count():  # rows that share an id, or half of a digest
         chosen = staged(chosen.dropDuplicates(["id"]), "chosen")
 
-    sizes = chosen.select("id", F.char_length(F.col("payload").cast("string")).cast("long").alias("n"))
-    labels = link_groups(member, sizes, lambda ids: chosen.join(ids, "id").select("id", "payload"), _read, 1, percent)
+    labels = link_groups(member, chosen.select("id", "n"), lambda asked: chosen.select("id", "payload"), _read, 1, percent)
     linked = chosen.select(F.col("id").alias("d1"), "d2").join(labels.withColumnRenamed("u", "d1"), "d1")
     linked = staged(firsts.join(linked, ["d1", "d2"]).select("d1", "d2", "first", "many", "component"), "linked")
     kept = linked.groupBy("component").agg(F.min("first").alias("keep"))

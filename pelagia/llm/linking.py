@@ -40,14 +40,14 @@ def packed_sets(payloads: list[bytes]) -> Sets:
     return numbered(np.frombuffer(b"".join(payloads), np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def cell_links(ids: np.ndarray, side: np.ndarray, root: np.ndarray, codes: np.ndarray, starts: np.ndarray, seen: np.ndarray, percent: int, near: Callable[[int, np.ndarray], np.ndarray] | None) -> list[tuple[int, int]]:
-    """Links (a, b) between a cell's members whose sets reach the similarity and whose components were still apart.
+def cell_links(side: np.ndarray, root: np.ndarray, codes: np.ndarray, starts: np.ndarray, seen: np.ndarray, percent: int, near: Callable[[int, np.ndarray], np.ndarray] | None) -> list[tuple[int, int]]:
+    """Links (a, b) between the components of a cell's members whose sets reach the similarity, and that were still apart.
 
     Member k has the distinct shingle numbers ``codes[starts[k]:starts[k + 1]]``; ``seen`` is a cleared flag for each number. ``side``
     is 0 for the left block, 1 for the right one and 2 where both are the same. ``near(x, others)`` tells which others are
     worth the comparison of full sets.
     """
-    sizes, root = np.diff(starts), root.copy()
+    sizes, known, root = np.diff(starts), root, root.copy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     base, out = starts[0], []
     for x in left.tolist():
@@ -67,12 +67,12 @@ def cell_links(ids: np.ndarray, side: np.ndarray, root: np.ndarray, codes: np.nd
         seen[own] = False
         for y in others[100 * both >= percent * (n + sizes[others] - both)].tolist():
             if root[x] != root[y]:
-                out.append((int(ids[x]), int(ids[y])))
+                out.append((int(known[x]), int(known[y])))
                 root[root == root[y]] = root[x]
     return out
 
 
-def pair_links(at: np.ndarray, ids: np.ndarray, side: np.ndarray, root: np.ndarray, codes: np.ndarray, starts: np.ndarray, percent: int, sketches: np.ndarray | None, least: float | None) -> list[tuple[int, int]]:
+def pair_links(at: np.ndarray, side: np.ndarray, root: np.ndarray, codes: np.ndarray, starts: np.ndarray, percent: int, sketches: np.ndarray | None, least: float | None) -> list[tuple[int, int]]:
     """What :func:`cell_links` gives for cells of two members, at ``at`` and behind it, all at once."""
     sizes = np.diff(starts)
     n, m = sizes[at], sizes[at + 1]
@@ -90,7 +90,7 @@ def pair_links(at: np.ndarray, ids: np.ndarray, side: np.ndarray, root: np.ndarr
     key = np.sort(pair * several + codes[place])
     both = np.bincount(key[1:][key[1:] == key[:-1]] // several, minlength=len(at))
     good = at[100 * both >= percent * (n + m - both)]
-    return list(zip(ids[good].tolist(), ids[good + 1].tolist(), strict=True))
+    return list(zip(root[good].tolist(), root[good + 1].tolist(), strict=True))
 
 
 def share_of(differing: np.ndarray) -> np.ndarray:
@@ -107,21 +107,21 @@ def agreement(sketches: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
 
 
 def _cells(read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None):
-    """Rows (cell, side, id, component, payload[, sketch]) sorted by cell, as links (a, b). A few cells are read at once."""
+    """Rows (cell, side, component, payload[, sketch]) sorted by cell, as links (a, b) of components. A few cells are read at once."""
 
     def solve(rows: pa.Table, cuts: np.ndarray) -> list[tuple[int, int]]:
         codes, starts = read(rows.column("payload").to_pylist())
         seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
-        ids, side, component = (rows.column(c).to_numpy() for c in ("id", "side", "component"))
-        sketches = None if least is None else np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        found = pair_links(cuts[:-1][np.diff(cuts) == 2], ids, side, component, codes, starts, percent, sketches, least)
+        side, component = (rows.column(c).to_numpy() for c in ("side", "component"))
+        sketches = None if least is None else np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1)
+        found = pair_links(cuts[:-1][np.diff(cuts) == 2], side, component, codes, starts, percent, sketches, least)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a > 2:
                 near = None
                 if sketches is not None:
                     share = agreement(sketches[a:b])
                     near = lambda x, others, share=share: share(x, others) >= least
-                found += cell_links(ids[a:b], side[a:b], component[a:b], codes, starts[a : b + 1], seen, percent, near)
+                found += cell_links(side[a:b], component[a:b], codes, starts[a : b + 1], seen, percent, near)
         return found
 
     def runs(rows: pa.Table, cuts: np.ndarray) -> Iterator[list[tuple[int, int]]]:
@@ -163,8 +163,8 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def compared(cells: DataFrame, known: DataFrame, read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None) -> DataFrame:
-    """Links (u, v) found in cells (cell, side, id, component) of the sets ``known`` (id, payload[, sketch]), staged."""
-    rows = cells.join(known, "id").repartition(shuffle_width(cells.sparkSession), "cell").sortWithinPartitions("cell")
+    """Links (u, v) of components found in cells (cell, side, id, component) of the sets ``known`` (id, payload[, sketch]), staged."""
+    rows = cells.join(known, "id").drop("id").repartition(shuffle_width(cells.sparkSession), "cell").sortWithinPartitions("cell")
     return staged(rows.mapInArrow(_cells(read, shingle_bytes, percent, least), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
@@ -196,7 +196,7 @@ def group_cells(gathered: DataFrame, sizes: DataFrame) -> DataFrame:
         *[f(F.when(is_top, F.col(c)).otherwise(0)).alias(f"{c}_{name}") for is_top, name in ((F.col("component") == F.col("top"), "top"), (F.col("component") != F.col("top"), "rest")) for f, c in ((F.sum, "n"), (F.sum, "members"))]
     )
     count = lambda name: _blocks(F.col(f"n_{name}"), F.col(f"members_{name}"))
-    hubs = staged(split.select("hub", "top", "whole", count("rest").alias("rest"), count("top").alias("tops")), "hubs")
+    hubs = split.select("hub", "top", "whole", count("rest").alias("rest"), count("top").alias("tops"))
     # blocks are numbered: those of the rest first, then those of the largest component; one block if all fits
     small = F.col("whole") == 1
     dealt = sized.join(hubs, "hub")
@@ -212,11 +212,11 @@ def group_cells(gathered: DataFrame, sizes: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("hub", low, high).alias("cell"), side.alias("side"), "id", "component")
 
 
-def link_groups(member: DataFrame, sizes: DataFrame, known: Callable[[DataFrame], DataFrame], read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None = None, found: list[DataFrame] | None = None) -> DataFrame:
+def link_groups(member: DataFrame, sizes: DataFrame, known: Callable[[Callable[[], DataFrame]], DataFrame], read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None = None, found: list[DataFrame] | None = None) -> DataFrame:
     """Components (u, component) of the ids that reach the similarity and share a group: every such link is accounted for.
 
-    ``member`` (key, id) and ``sizes`` (id, n: about the size of its set) are staged. ``known`` gives rows (id, payload[, sketch]) of staged
-    ids; ``read`` makes sets of payloads of about ``shingle_bytes`` for each shingle. Pairs whose sketches agree less than ``least`` are not compared in full.
+    ``member`` (key, id) and ``sizes`` (id, n: about the size of its set) are staged. ``known`` gives staged rows (id, payload[, sketch]) of the
+    ids (id) that are asked for, or of more; ``read`` makes sets of payloads of about ``shingle_bytes`` for each shingle. Pairs whose sketches agree less than ``least`` are not compared in full.
     ``found`` are links (u, v) known before. Ids without a link have no row. The result is staged; jobs run while this is called.
 
     Work inside tasks grows with the product of a group's members and those of them that its hubs leave apart;
@@ -226,14 +226,14 @@ def link_groups(member: DataFrame, sizes: DataFrame, known: Callable[[DataFrame]
     groups = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     sized = staged(member.join(groups, "key"), "groups")
     # a hub shares groups with most others: the original, where there are edited copies of one
-    reach = staged(sized.groupBy("id").agg(F.sum("size").alias("reach")), "reach")
+    reach = sized.groupBy("id").agg(F.sum("size").alias("reach"))
     hubs = sized.join(reach, "id").groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("reach", "id")).alias("hub"))
     named = staged(sized.select("key", "id").join(hubs, "key").select("key", "id", "low", F.col("hub.id").alias("hub"), F.col("hub.reach").alias("reach")), "named")
     ends = named.groupBy("id").agg(F.min("low").alias("low"), F.max(F.struct("reach", "hub")).alias("hub"))
     pair = lambda c: F.struct(F.col(c).alias("hub"), "id")
     stars = ends.select("id", "low", F.col("hub.hub").alias("hub")).select(F.explode(F.array_distinct(F.array(pair("low"), pair("hub")))).alias("s")).select("s.*").where("hub <> id")
     stars = staged(stars, "stars")
-    sets = staged(known(staged(stars.select(F.col("hub").alias("id")).union(stars.select("id")).distinct(), "asked")), "sets")
+    sets = known(lambda: stars.select(F.col("hub").alias("id")).union(stars.select("id")).distinct())
     found.append(compared(star_cells(stars, sizes), sets, read, shingle_bytes, percent, least))
     labels = components(reduce(DataFrame.union, found))
 
@@ -244,4 +244,7 @@ def link_groups(member: DataFrame, sizes: DataFrame, known: Callable[[DataFrame]
     more = compared(group_cells(gathered, sizes), sets, read, shingle_bytes, percent, least)
     if not more.take(1):
         return labels
-    return components(labels.select("u", F.col("component").alias("v")).union(more))
+    # links of components join them; components of one id have no label yet
+    joined = components(more)
+    moved = labels.join(joined.select(F.col("u").alias("component"), F.col("component").alias("to")), "component", "left").select("u", F.coalesce("to", "component").alias("component"))
+    return staged(moved.union(joined.join(labels.select("u"), "u", "left_anti")), "labels")

@@ -10,13 +10,15 @@ six standard deviations under the threshold, with probability under 1e-8.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staged
-from .common import hash_texts, mix, narrowed, small_batches, text_runs, with_matches
+from .common import among, hash_texts, mix, small_batches, text_runs, with_matches
 from .linking import link_groups, packed_sets
 
 MINIMA, BANDS, ROWS, BITS = 256, 16, 4, 4
@@ -140,13 +142,14 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     member = staged(sets.select(F.posexplode("bands").alias("band", "h"), "id").select(F.xxhash64("band", "h").alias("key"), "id").distinct(), "member")
     sizes = sets.groupBy("id").agg(F.sum("n_shingles").alias("n")) if found else sets.select("id", F.col("n_shingles").alias("n"))
 
-    def known(asked: DataFrame) -> DataFrame:
-        """The full sets of representatives and their packed signatures."""
-        values = narrowed(texts, asked.select(F.col("id").alias("doc_id"))).select("doc_id", "text")
+    def known(asked: Callable[[], DataFrame]) -> DataFrame:
+        """The full sets of representatives and their packed signatures, staged."""
+        ids = staged(asked().select(F.col("id").alias("doc_id")), "asked")
+        values = among(texts, ids).select("doc_id", "text")
         values = values.mapInArrow(_sets(width), "doc_id long, d1 long, d2 long, payload binary").withColumnRenamed("doc_id", "id")
         if repeated:
             values = values.dropDuplicates(["id", "d1", "d2"])
-        return values.join(sets.select("id", "d1", "d2", "sketch"), ["id", "d1", "d2"]).select("id", "payload", "sketch")
+        return staged(values.join(sets.select("id", "d1", "d2", "sketch"), ["id", "d1", "d2"]).select("id", "payload", "sketch"), "sets")
 
     labels = link_groups(member, sizes, known, packed_sets, 8, percent, least_estimate(percent), found)
     named = sets.join(labels.withColumnRenamed("u", "id"), "id", "left").select(*of_set, "many", F.coalesce("component", "id").alias("component"))
