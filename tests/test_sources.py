@@ -157,6 +157,9 @@ def test_stream_islands(spark, tmp_path):
     stream = spark.readStream.schema("track long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = streams.drained(spark, streams.islands(stream, 7200.0), str(tmp_path / "out"))
     assert sorted((r["track"], r["n_rows"]) for r in out.collect()) == [(1, 1), (1, 2), (2, 1)]
+    still = streams.open_islands(spark, str(tmp_path / "out")).collect()
+    assert [(r["track"], r["first_ts"], r["last_ts"], r["n_rows"]) for r in still] == [(9, rows[-1][1], rows[-1][1], 1)]
+    assert streams.open_islands(spark, str(tmp_path / "out"), 2).count() == 0
     means = streams.slab_means(stream.withColumn("v", F.lit(2.0)), "track", "v")
     got = streams.drained(spark, means, str(tmp_path / "means"))
     assert sorted((r["track"] or 0, r["mean"], r["n"]) for r in got.collect()) == [(0, 2.0, 1), (1, 2.0, 3), (2, 2.0, 1)]
