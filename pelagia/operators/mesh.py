@@ -28,19 +28,31 @@ def neighbours(elements: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sort_array(F.collect_set("other")).alias("neighbours"))
 
 
+def _around(elements: DataFrame, *carried: str) -> DataFrame:
+    """Rows (node, elem, own, others): ``own`` is the struct (elem, *carried) of a triangle at the node, ``others`` those of the triangles there
+    that share exactly one more node with it. One shuffle, by node; a node's degree bounds the arrays.
+
+    A triangle that names a node twice is there once; null nodes and ends meet no other triangle.
+    """
+    corners = F.array(*_CORNERS)
+    at = elements.select(F.explode(F.array_distinct(corners)).alias("node"), *_CORNERS, F.struct("elem", *carried).alias("own")).repartition("node")
+    ends = at.select("node", "own", F.explode_outer(F.array_except(corners, F.array("node"))).alias("end"))
+    met = ends.groupBy("node", "end").agg(F.collect_list("own").alias("all")).select("node", "end", "all", F.explode("all").alias("own"))
+    shared = F.col("node").isNotNull() & F.col("end").isNotNull()
+    met = met.select("node", "own", F.filter("all", lambda o: shared & (o["elem"] != F.col("own.elem"))).alias("others"))
+    met = met.groupBy("node", F.col("own.elem").alias("elem")).agg(F.first("own").alias("own"), F.flatten(F.collect_list("others")).alias("all"))
+    once = F.filter("all", lambda o: F.size(F.filter("all", lambda x: x["elem"] == o["elem"])) == 1)
+    return met.select("node", "elem", "own", once.alias("others"))
+
+
 def cell_neighbours(elements: DataFrame) -> DataFrame:
     """Rows (node, elem, other): triangles at one node that share exactly one more node; ``other`` is null for those that have none."""
-    inc = incidence(elements).select("node", "elem")
-    sides = inc.join(elements, "elem").select("node", "elem", F.explode(F.array_except(F.array(*_CORNERS), F.array("node"))).alias("end"))
-    met = sides.alias("p").join(sides.alias("q"), ["node", "end"]).where("p.elem <> q.elem")
-    met = met.groupBy("node", F.col("p.elem").alias("elem"), F.col("q.elem").alias("other")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return inc.join(met, ["node", "elem"], "left")
+    return _around(elements).select("node", "elem", F.explode_outer("others.elem").alias("other"))
 
 
 def boundary_nodes(elements: DataFrame) -> DataFrame:
     """Rows (node, boundary): a node is on the boundary if a triangle there has fewer than two neighbours around it."""
-    counts = cell_neighbours(elements).groupBy("node", "elem").agg(F.count("other").alias("n"))
-    return counts.groupBy("node").agg((F.min("n") < 2).alias("boundary"))
+    return _around(elements).groupBy("node").agg((F.min(F.size("others")) < 2).alias("boundary"))
 
 
 def with_corners(elements: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -68,11 +80,11 @@ def nodes_from_elements(elements: DataFrame, value: str, area: str | None = None
 def nodes_gathered(elements: DataFrame, value: str, area: str) -> DataFrame:
     """Rows (node, value): area-weighted mean of values extrapolated into the corners of the triangles (Loubère & Shashkov
     2005): (1 + n/2) times a triangle's own value less half of each of its n neighbours around the node."""
-    own = elements.select("elem", value, area)
-    other = elements.select(F.col("elem").alias("other"), F.col(value).alias("__other"))
-    at = cell_neighbours(elements).join(other, "other", "left").groupBy("node", "elem").agg(F.count("other").alias("n"), F.coalesce(F.sum("__other"), F.lit(0.0)).alias("s"))
-    at = at.join(own, "elem").withColumn("__v", (1 + F.col("n") / 2) * F.col(value) - F.col("s") / 2)
-    return at.groupBy("node").agg((F.sum(F.col("__v") * F.col(area)) / F.nullif(F.sum(area), F.lit(0.0))).alias(value))
+    kept = elements.select("elem", *_CORNERS, F.col(value).cast("double").alias("__value"), F.col(area).cast("double").alias("__area"))
+    total = F.aggregate("others", F.lit(0.0), lambda s, o: s + F.coalesce(o["__value"], F.lit(0.0)))
+    v, w = (1 + F.size("others") / 2) * F.col("own.__value") - total / 2, F.col("own.__area")
+    at = _around(kept, "__value", "__area").select("node", v.alias("v"), w.alias("w"))
+    return at.groupBy("node").agg((F.sum(F.col("v") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias(value))
 
 
 def elements_from_nodes(elements: DataFrame, nodes: DataFrame, value: str) -> DataFrame:

@@ -59,26 +59,43 @@ def gradient(df: DataFrame, value: str, position: str, axis: str, out: str, by:
     return df.withColumn(out, (ends[0] - ends[1]) / F.nullif(ends[2] - ends[3], F.lit(0.0)))
 
 
-def metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds f (Coriolis, 1/s), gof (g / f) and the distances dx and dy (m) across each cell of (i, j, lon, lat)."""
-    for axis, out in (("i", "dx"), ("j", "dy")):
-        w = _along(axis, by)
-        nxt = [F.coalesce(F.lead(c).over(w), F.col(c)) for c in ("lat", "lon")]
-        prev = [F.coalesce(F.lag(c).over(w), F.col(c)) for c in ("lat", "lon")]
-        ends = F.lead("lat").over(w).isNotNull().cast("int") + F.lag("lat").over(w).isNotNull().cast("int")
-        df = df.withColumn(out, haversine(*prev, *nxt, EDDY_EARTH_M) / F.nullif(ends, F.lit(0)))
+def _ends(value: str, w) -> Column:
+    """How many neighbours with a value a cell has along a line; null for none."""
+    return F.nullif(F.lead(value).over(w).isNotNull().cast("int") + F.lag(value).over(w).isNotNull().cast("int"), F.lit(0))
+
+
+def _across(axis: str, by: Sequence[str]) -> Column:
+    """Distance (m) across a cell of (lon, lat) along an axis."""
+    w = _along(axis, by)
+    nxt = [F.coalesce(F.lead(c).over(w), F.col(c)) for c in ("lat", "lon")]
+    prev = [F.coalesce(F.lag(c).over(w), F.col(c)) for c in ("lat", "lon")]
+    return haversine(*prev, *nxt, EDDY_EARTH_M) / _ends("lat", w)
+
+
+def _with_coriolis(df: DataFrame) -> DataFrame:
     f = coriolis("lat")
     return df.withColumns({"f": f, "gof": F.lit(9.81) / F.nullif(f, F.lit(0.0))})
 
 
+def metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Adds f (Coriolis, 1/s), gof (g / f) and the distances dx and dy (m) across each cell of (i, j, lon, lat)."""
+    return _with_coriolis(df.withColumn("dx", _across("i", by)).withColumn("dy", _across("j", by)))
+
+
 def geostrophic(df: DataFrame, height: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds u, v and eke = (u2 + v2) / 2 from sea level (m) on the grid of :func:`metrics`; null next to missing cells at the equator."""
-    wi, wj = _along("i", by), _along("j", by)
-    slope = lambda w: F.coalesce(F.lead(height).over(w), F.col(height)) - F.coalesce(F.lag(height).over(w), F.col(height))
-    ends = lambda w: F.nullif(F.lead(height).over(w).isNotNull().cast("int") + F.lag(height).over(w).isNotNull().cast("int"), F.lit(0))
-    u = -F.col("gof") * slope(wj) / ends(wj) / F.col("dy")
-    v = F.col("gof") * slope(wi) / ends(wi) / F.col("dx")
-    return df.withColumns({"u": u, "v": v}).withColumn("eke", (F.col("u") * F.col("u") + F.col("v") * F.col("v")) / 2)
+    """Adds u, v and eke = (u2 + v2) / 2 from sea level (m); null next to missing cells and at the equator.
+
+    What :func:`metrics` adds is taken from the grid, or added in the same windows where it isn't there: each axis takes one shuffle.
+    """
+    bare = "dx" not in df.columns
+    for axis, out, slope in (("i", "dx", "__si"), ("j", "dy", "__sj")):
+        w = _along(axis, by)
+        step = F.coalesce(F.lead(height).over(w), F.col(height)) - F.coalesce(F.lag(height).over(w), F.col(height))
+        df = df.withColumns({slope: step / _ends(height, w)} | ({out: _across(axis, by)} if bare else {}))
+    if bare:
+        df = _with_coriolis(df)
+    u, v = -F.col("gof") * F.col("__sj") / F.col("dy"), F.col("gof") * F.col("__si") / F.col("dx")
+    return df.withColumns({"u": u, "v": v}).drop("__si", "__sj").withColumn("eke", (F.col("u") * F.col("u") + F.col("v") * F.col("v")) / 2)
 
 
 def okubo_weiss(df: DataFrame, x: str = "x", y: str = "y", by: Sequence[str] = ()) -> DataFrame:

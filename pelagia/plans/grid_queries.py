@@ -359,8 +359,7 @@ _SPAN = lambda a, b, c, d: f"2 * {_R} * asin(sqrt(least(1, sin(radians({c} - {a}
     "field",
 )
 def geostrophic_eke(spark, sf_dir):
-    placed = stencils.metrics(_placed(spark, sf_dir).withColumnRenamed("v", "height"))
-    out = stencils.geostrophic(placed, "height").select("i", "j", "u", "v", "eke")
+    out = stencils.geostrophic(_placed(spark, sf_dir).withColumnRenamed("v", "height"), "height").select("i", "j", "u", "v", "eke")
     return rounded(rounded(out, 6, "u", "v"), 4, "eke")
 
 
