@@ -33,6 +33,22 @@ def update_where(df: DataFrame, mask: Column, values: dict[str, Column | float])
     return df.withColumns({n: F.when(mask, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(n)) for n, v in values.items()})
 
 
+def set_flags(df: DataFrame, name: str, ranges: dict[str, int | slice | list[int]], value: bool = True) -> DataFrame:
+    """Boolean column ``name`` set to ``value`` for rows in all ranges (see :func:`block`); others keep theirs, false where it is new or null."""
+    inside = F.lit(True)
+    for index, r in ranges.items():
+        c = F.col(index)
+        if isinstance(r, slice):
+            first = r.start or 0
+            inside = inside & (c >= first) & ((c - first) % (r.step or 1) == 0)
+            if r.stop is not None:
+                inside = inside & (c < r.stop)
+        else:
+            inside = inside & (c.isin(r) if isinstance(r, list) else c == r)
+    before = F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+    return df.withColumn(name, F.when(inside, F.lit(value)).otherwise(before))
+
+
 def neighbour_mask(df: DataFrame, mask: str, line: str, along: str, out: str) -> DataFrame:
     """Adds the product of a 0/1 mask and that of the next cell along an axis (last cell: null)."""
     w = Window.partitionBy(line).orderBy(along)

@@ -37,6 +37,29 @@ def apply_links(source: DataFrame, links: DataFrame, target: DataFrame | None, n
     return target.select("dst").join(out, "dst", "left").select("dst", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
 
+def staggered(nodes: DataFrame, elements: DataFrame, target: DataFrame, links: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Attributes of a mesh remapped to another one over links of triangles: rows (elem, attributes) and (node, attributes).
+
+    Names that triangles have are remapped as they are; the other ones are averaged into the source's triangles, remapped and
+    averaged into the target's nodes. Null values are left out of these averages. Names that neither has raise KeyError.
+    """
+    corners = F.array("n1", "n2", "n3")
+    own = [n for n in names if n in elements.columns]
+    at_nodes = [n for n in names if n not in own]
+    if missing := [n for n in at_nodes if n not in nodes.columns]:
+        raise KeyError(f"no such attribute: {', '.join(missing)}")
+    cells = target.select(F.col("elem").alias("dst"))
+    of_cells = apply_links(elements.withColumnRenamed("elem", "src"), links, cells, own) if own else cells
+    of_cells = of_cells.withColumnRenamed("dst", "elem")
+    ends = target.select("elem", F.explode(corners).alias("node"))
+    if not at_nodes:
+        return of_cells, ends.select("node").distinct()
+    inside = elements.select("elem", F.explode(corners).alias("node")).join(nodes.select("node", *at_nodes), "node")
+    inside = inside.groupBy(F.col("elem").alias("src")).agg(*[F.avg(n).alias(n) for n in at_nodes])
+    moved = apply_links(inside, links, cells, at_nodes).withColumnRenamed("dst", "elem")
+    return of_cells, ends.join(moved, "elem").groupBy("node").agg(*[F.avg(n).alias(n) for n in at_nodes])
+
+
 def unlinked(target: DataFrame, links: DataFrame) -> DataFrame:
     """Destination cells that no link ends in."""
     return target.join(links, "dst", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geo import inside_polygon
-from ..operators import curves, linear, mesh
+from ..operators import curves, linear, mesh, remap
 from .views import elements, links, mesh_nodes, nodes, query, rounded, table
 
 _INC = "inc AS (SELECT elem, v, area, unnest([n1, n2, n3]) AS node, unnest([0, 1, 2]) AS corner FROM elements)"
@@ -119,3 +119,17 @@ def vector_combine(spark, sf_dir):
 
     a, b = (f(spark, sf_dir).select(F.col("id").alias("idx"), F.col("v").alias("value")) for f in (nodes, stations))
     return rounded(linear.combine(a, b, 2.0, -1.0), 6, "value")
+
+
+@query(
+    f"""WITH {_INC}, side AS (SELECT elem, avg(m.v) AS v FROM inc JOIN mesh_nodes m USING (node) GROUP BY elem),
+    moved AS (SELECT t.elem, coalesce(any_value(w.a), 0) AS a, coalesce(any_value(w.v), 0) AS v FROM elements t LEFT JOIN
+      (SELECT dst, sum(w1 * e.area) AS a, sum(w1 * s.v) AS v FROM links JOIN elements e ON src = e.elem JOIN side s ON src = s.elem GROUP BY dst) w ON t.elem = w.dst GROUP BY t.elem)
+    SELECT 'elem' AS kind, elem AS id, round(a, 5) AS value FROM moved UNION ALL SELECT 'node', node, round(avg(moved.v), 5) FROM inc JOIN moved USING (elem) GROUP BY node""",
+    "elements", "mesh_nodes", "links",
+)
+def staggered_remap(spark, sf_dir):
+    e = elements(spark, sf_dir)
+    of_cells, of_nodes = remap.staggered(mesh_nodes(spark, sf_dir), e.drop("v"), e, links(spark, sf_dir), ["area", "v"])
+    out = of_cells.select(F.lit("elem").alias("kind"), F.col("elem").alias("id"), F.col("area").alias("value"))
+    return rounded(out.union(of_nodes.select(F.lit("node"), "node", "v")), 5, "value")

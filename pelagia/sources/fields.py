@@ -187,6 +187,11 @@ def read_netcdf(spark: SparkSession, path: str, names: list[str], dims: list[str
     return df.withColumns({n: F.nanvl(F.col(n), F.lit(None).cast("double")) for n in names})
 
 
+def read_levels(spark: SparkSession, path: str, names: list[str] | None = None, dims: list[str] | None = None) -> DataFrame:
+    """A model's input by its kind: files ``.nc`` as :func:`read_netcdf` (``names`` on ``dims``), any other one as :func:`read_profile`."""
+    return read_netcdf(spark, path, names or [], dims or []) if path.endswith(".nc") else read_profile(spark, path)
+
+
 # ---- snapshots by time
 
 

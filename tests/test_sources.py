@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pelagia import units
 from pelagia.operators import mesh
-from pelagia.operators.projections import column_by_name
-from pelagia.sources import fields, lines, meshes, parameters, storms
+from pelagia.operators.projections import column_by_name, set_flags
+from pelagia.sources import fields, lines, meshes, parameters, reanalysis, storms
 
 
 def joined(path):
@@ -163,3 +163,32 @@ def test_stream_islands(spark, tmp_path):
     means = streams.slab_means(stream.withColumn("v", F.lit(2.0)), "track", "v")
     got = streams.drained(spark, means, str(tmp_path / "means"))
     assert sorted((r["track"] or 0, r["mean"], r["n"]) for r in got.collect()) == [(0, 2.0, 1), (1, 2.0, 3), (2, 2.0, 1)]
+
+
+def test_reanalysis_requests(spark, tmp_path):
+    assert reanalysis.product_type() == "reanalysis" and reanalysis.product_type(period="monthly", synoptic=True) == "monthly_averaged_reanalysis_by_hour_of_day"
+    assert reanalysis.product_type(True, statistics=True) == ["ensemble_members", "ensemble_mean", "ensemble_spread"]
+    assert reanalysis.span(datetime(2020, 2, 3, 4), "month") == (datetime(2020, 2, 1), datetime(2020, 2, 29, 23), 696)
+    t0 = datetime(2020, 1, 30)
+    rows = [(t0 + timedelta(hours=h), lat, 0.0, float(h)) for h in range(30) for lat in (0.0, 0.25, 1.0)]
+    store, cache = str(tmp_path / "s"), str(tmp_path / "cache")
+    fields.write_snapshots(spark.createDataFrame(rows, "ts timestamp_ntz, lat double, lon double, u10 double"), store)
+    day = reanalysis.dataset(spark, store, cache, "u10", t0, "day", grid=1.0)
+    assert day.count() == 48 and {r["lat"] for r in day.collect()} == {0.0, 1.0}
+    again = reanalysis.dataset(spark, str(tmp_path / "nothing"), cache, "u10", t0 + timedelta(hours=5), "day", grid=1.0)
+    assert again.count() == 48  # from the cache
+    assert [r["u10"] for r in reanalysis.dataset(spark, store, cache, "u10", t0 + timedelta(hours=3), area=(0.5, 0.0, 0.1, 1.0)).collect()] == [3.0]
+    with pytest.raises(ValueError):
+        reanalysis.dataset(spark, store, cache, "u10", t0 + timedelta(days=1), "day")
+    with pytest.raises(ValueError):
+        reanalysis.dataset(spark, store, cache, "u10", t0, grid=0.3)
+
+
+def test_input_by_kind_and_flags(spark, tmp_path):
+    (tmp_path / "f.nc").write_bytes(classic_file(1))
+    assert fields.read_levels(spark, str(tmp_path / "f.nc"), ["z"], ["y", "x"]).count() == 6
+    (tmp_path / "prof").write_text("# title\n# z thl\n10 290\n")
+    assert fields.read_levels(spark, str(tmp_path / "prof")).columns == ["height", "thl"]
+    df = set_flags(spark.range(6).withColumnRenamed("id", "i"), "on", {"i": slice(1, 5, 2)})
+    df = set_flags(set_flags(df, "on", {"i": [0, 3]}), "on", {"i": 1}, False)
+    assert sorted(r["i"] for r in df.where("on").collect()) == [0, 3] and df.where("on is null").count() == 0
