@@ -59,7 +59,24 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(componen
 FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON d.doc_id = x
 """
 
+#: Fixed value: terms of digits, letters and non-ASCII characters.
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_words(_TERMS)} AS w FROM documents),
+held AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+whole AS (SELECT count(*) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM held),
+asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_words(_TERMS)}) AS term FROM benchmark) GROUP BY ALL),
+found AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM held) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(N_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM found, whole GROUP BY term),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * N_docs) // L)))) AS BIGINT) AS score
+           FROM asked JOIN weights USING (term) JOIN found USING (term), whole WHERE doc_id IS NOT NULL GROUP BY ALL),
+placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
 ORACLE_SQL = {
+    "op13_ranked_lexical_search": SEARCH,
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op8_substring_dedup": SUBSTRINGS,
     "op10_minhash_near_dedup": NEAR,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op2_benchmark_decontamination
+from .lexical_search import op13_ranked_lexical_search
 from .licenses import op7_license_scans
 from .line_dedup import op1_line_dedup
 from .media import op5_media_columns
@@ -17,6 +18,7 @@ from .url_filter import op9_url_filters
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
     "op1_line_dedup": op1_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op9_url_filters": op9_url_filters,
