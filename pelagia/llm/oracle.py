@@ -75,7 +75,30 @@ placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY
 SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
 """
 
+#: Unsigned crc32 of a number's digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+         lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), CAST(4294967295 AS BIGINT))"""
+
+TRIE = f"""
+WITH rows AS (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), ':', coalesce(text, ''))) AS x, len({_words(_SPACED, lower=False)}) AS n
+              FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x) AS xs, list(n ORDER BY turn NULLS FIRST, x) AS ns, {_CRC} % 4 AS h FROM rows GROUP BY conv_id),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.xs[1:c.h], []), c.xs[c.h + 1:]) AS xs, list_concat(coalesce(b.ns[1:c.h], []), c.ns[c.h + 1:]) AS ns
+            FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+steps AS (SELECT conv_id, xs, ns, unnest(range(0, len(xs) + 1)) AS d FROM rebuilt),
+named AS (SELECT conv_id, d, xs[1:d] AS path, array_to_string(xs[1:d], ',') AS k, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, d = len(xs) AS ended FROM steps),
+nodes AS (SELECT k, d, any_value(path) AS path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM named GROUP BY k, d),
+kids AS (SELECT array_to_string(path[1:d - 1], ',') AS k, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k, d)),
+under AS (SELECT array_to_string(path[1:a], ',') AS k, a AS d, n_children, (n_convs - 1) * n AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM whole)),
+sums AS (SELECT k, d, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM under GROUP BY k, d)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN sums USING (k, d) LEFT JOIN nodes p ON w.d > 0 AND p.d = w.d - 1 AND p.k = array_to_string(w.path[1:w.d - 1], ',')
+"""
+
 ORACLE_SQL = {
+    "op11_conversation_prefix_trie": TRIE,
     "op13_ranked_lexical_search": SEARCH,
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op8_substring_dedup": SUBSTRINGS,

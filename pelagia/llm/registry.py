@@ -10,6 +10,7 @@ from .media import op5_media_columns
 from .near_dedup import op10_minhash_near_dedup
 from .oracle import ORACLE_SQL
 from .packing import op4_best_fit_packing
+from .prefix_trie import op11_conversation_prefix_trie
 from .quality import op12_quality_classifier
 from .substring_dedup import op8_substring_dedup
 from .token_output import op3_token_output
@@ -19,6 +20,7 @@ from .url_filter import op9_url_filters
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op12_quality_classifier": op12_quality_classifier,
     "op13_ranked_lexical_search": op13_ranked_lexical_search,
     "op1_line_dedup": op1_line_dedup,
