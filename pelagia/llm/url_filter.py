@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staged
+from .common import with_matches
 from .decontam import LOWER, UPPER
 
 
@@ -37,8 +38,8 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 DAMPING = 0.7
-ITERATIONS = 16
-STAGED_EVERY = 4
+#: Rounds end when no host is new and none changes by more than this share of its value.
+TOLERANCE = 1e-4
 #: A host without a rule is blocked if its distrust is over this many times its trust.
 DISTRUST_RATIO = 1.0
 _LINKED_HOST = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
@@ -63,30 +64,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust) after ``iterations`` rounds from ``seeds`` (host, trust, distrust), each summing to 1.
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, iterations: int | None = None) -> DataFrame:
+    """(host, trust, distrust) from ``seeds`` (host, trust, distrust), each summing to 1, when they have settled or after ``iterations`` rounds.
 
-    Trust runs from src to dst, distrust from dst to src, both shared by weight; mass that reaches a host
-    without a link ends there. Tables are small rows per host and link, joined and summed by Spark.
+    Trust runs from src to dst, distrust from dst to src, both shared by weight. They have settled when neither has come to a new host in a round,
+    however far from the seeds, and none has changed by more than ``tolerance`` of itself: the rounds grow with the longest way
+    from a seed and with log(tolerance) / log(damping). Mass that reaches a host without a link ends there; :func:`judge_urls` returns it to the seeds.
+    Rounds are staged; links of a host that has a large part of all are spread.
     """
     ahead = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     back = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
     share = (F.col("weight") / F.col("total")).alias("share")
     steps = edges.join(ahead, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit(True).alias("ahead"), share)
     steps = staged(steps.union(edges.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(False).alias("ahead"), share)), "steps")
-    seeds = staged(seeds, "seeds")
-    base = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    state = seeds
-    for k in range(iterations):
-        moved = state.join(steps, "host").select(
+    total = steps.count()
+    degrees = staged(steps.groupBy("host").agg(F.count("*").alias("many")), "degrees")
+    zero = F.lit(0.0)
+    base = staged(seeds, "seeds").select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
+    counted = lambda df: staged(df.join(degrees, "host", "left").withColumn("many", F.coalesce("many", F.lit(0).cast("long"))), "ranks")
+    state, done = counted(seeds.select("host", "trust", "distrust")), 0
+    while iterations is None or done < iterations:
+        moved = with_matches(steps, state.filter("many > 0"), ["host"], "many", total, ["to"]).filter("match is not null").select(
             F.col("to").alias("host"),
-            F.when(F.col("ahead"), F.col("trust") * F.col("share") * damping).otherwise(0.0).alias("trust"),
-            F.when(F.col("ahead"), 0.0).otherwise(F.col("distrust") * F.col("share") * damping).alias("distrust"),
+            F.when(F.col("ahead"), F.col("match.trust") * F.col("share") * damping).otherwise(zero).alias("trust"),
+            F.when(F.col("ahead"), zero).otherwise(F.col("match.distrust") * F.col("share") * damping).alias("distrust"),
         )
-        state = moved.union(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if (k + 1) % STAGED_EVERY == 0:
-            state = staged(state, "ranks")
-    return state
+        rows = moved.union(base).select("*", zero.alias("trust_was"), zero.alias("distrust_was"))
+        rows = rows.union(state.select("host", zero, zero, "trust", "distrust"))
+        state, done = counted(rows.groupBy("host").agg(*[F.sum(c).alias(c) for c in rows.columns[1:]])), done + 1
+        settled = lambda c: (F.col(c) == F.col(f"{c}_was")) | ((F.col(f"{c}_was") > 0) & (F.abs(F.col(c) - F.col(f"{c}_was")) <= tolerance * F.col(c)))
+        if not state.filter(~(settled("trust") & settled("distrust"))).limit(1).count():
+            break
+    return state.select("host", "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = DISTRUST_RATIO) -> DataFrame:
@@ -95,7 +104,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float =
     The longest fitting rule decides (host and path together; of equals the first by name). Else the page is
     blocked if its host's distrust is over ``ratio`` times its trust; hosts that nothing reaches are allowed.
     Null urls and those without ``://`` have an empty host and path, fit no rule and are allowed. Null html has no
-    links. Null and repeated ids are rows like any other; other columns are ignored; empty tables are fine.
+    links; html is read whole, however long. Null and repeated ids are rows like any other; other columns are ignored; empty tables are fine.
+    Trust and distrust are shares of all there is: what reaches a host without a link returns to the seeds, which scales all values alike. Jobs run while this is called.
     """
     host, path = url_parts(F.col("url").cast("string"))
     pages = pages.select("page_id", F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
@@ -112,7 +122,14 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float =
     seeds = counts.select("host", (F.col("good") / all_good).alias("trust"), (F.col("bad") / all_bad).alias("distrust"))
     ranks = spread(staged(host_edges(ruled.select("host", "html")), "host_edges"), seeds)
 
-    out = ruled.drop("html").join(ranks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    # pages without a host, and those of a host with a large part of all, are spread
+    pages_of = ruled.filter("host <> ''").groupBy("host").agg(F.count("*").alias("many"))
+    all_trust, all_distrust = (float(x or 1) for x in ranks.agg(F.sum("trust"), F.sum("distrust")).first())
+    shares = ranks.select(F.col("host").alias("of"), (F.col("trust") / all_trust).alias("trust"), (F.col("distrust") / all_distrust).alias("distrust"))
+    shares = staged(shares.join(pages_of.withColumnRenamed("host", "of"), "of"), "shares")
+    named = ruled.drop("html").withColumn("of", F.when(F.col("host") != "", F.col("host")))
+    out = with_matches(named, shares, ["of"], "many", ruled.count(), ["page_id", "path"])
+    out = out.withColumns({c: F.coalesce(f"match.{c}", F.lit(0.0)) for c in ("trust", "distrust")})
     verdict = F.coalesce("ruled", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 

@@ -1,0 +1,68 @@
+"""Corner cases of operators that earlier tests leave out."""
+
+from collections import defaultdict
+
+import numpy as np
+from test_llm_operators import documents, words
+
+from pelagia.llm import substring_dedup, url_filter
+
+
+def test_substrings_of_the_smallest_id_and_of_rows_without_one(spark):
+    text = " ".join(words(60, 3))
+    rows = [(-(1 << 63), text), (5, text), (None, text), (None, text), (None, None), (7, "other words")]
+    out = [(r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()]
+    want = [(-(1 << 63), 60, 0, text), (5, 60, 60, ""), (None, 60, 0, text), (None, 60, 0, text), (None, 0, 0, ""), (7, 2, 0, "other words")]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def chain(n):
+    """Host k links to host k - 1; host 0 has a blocked page."""
+    pages = [(0, "http://h0.com/de/1", "")]
+    return pages + [(k, f"http://h{k}.com/", f'<a href="http://h{k - 1}.com/">') for k in range(1, n)]
+
+
+def test_hosts_far_from_a_blocked_one_are_blocked(spark):
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(chain(25), "page_id long, url string, html string")).collect()}
+    assert len(out) == 25 and set(out.values()) == {"block"}
+
+
+def test_verdicts_against_plain_ranks(spark):
+    rng = np.random.default_rng(11)
+    pages = []
+    for k in range(120):
+        host = f"h{rng.integers(0, 12)}.com"
+        path = rng.choice(["/fr/1", "/de/1", "/x", "/x", "/x", "/x"])
+        html = "".join(f'<a href="http://h{rng.integers(0, 12)}.com/">' for _ in range(rng.integers(0, 4)))
+        pages.append((k, f"http://{host}{path}", html))
+    pages += [(1000 + k, None, "<p>") for k in range(60)] + [(0, *pages[0][1:])] * 2 + [(2000, "http://h1.com/x", "<p>" + "long " * 200_000)]
+    out = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(out) == len(pages)
+    weight, seeds = defaultdict(float), {"allow": defaultdict(float), "block": defaultdict(float)}
+    for _, url, html in pages:
+        if url:
+            host = url.split("/")[2]
+            for other in html.split("http://")[1:]:
+                if other.split("/")[0] != host:
+                    weight[host, other.split("/")[0]] += 1
+            for mark, verdict in (("/fr/", "allow"), ("/de/", "block")):
+                if mark in url:
+                    seeds[verdict][host] += 1
+    hosts = sorted({h for e in weight for h in e} | set(seeds["allow"]) | set(seeds["block"]))
+    ranks = {}
+    for verdict in ("allow", "block"):
+        start = np.array([seeds[verdict][h] for h in hosts]) / sum(seeds[verdict].values())
+        step = np.zeros((len(hosts), len(hosts)))
+        for (a, b), w in weight.items():
+            a, b = (a, b) if verdict == "allow" else (b, a)
+            step[hosts.index(b), hosts.index(a)] += w
+        total = step.sum(axis=0)
+        step = step / np.where(total > 0, total, 1)
+        for k in np.flatnonzero(total == 0):  # such mass returns to the seeds
+            step[:, k] = start
+        ranks[verdict] = np.linalg.solve(np.eye(len(hosts)) - 0.7 * step, 0.3 * start)
+    for r in out:
+        trust, distrust = (ranks[v][hosts.index(r["host"])] if r["host"] in hosts else 0.0 for v in ("allow", "block"))
+        assert abs(r["trust"] - trust) < 1e-3 and abs(r["distrust"] - distrust) < 1e-3
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if distrust > trust else "allow")
