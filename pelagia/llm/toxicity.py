@@ -4,6 +4,9 @@ A noisy channel writes words with leetspeak, marks or spaces between letters, hi
 A character trigram model, counted over all documents, and the channel's costs form a lattice for each
 odd-looking chunk; its best path (Viterbi) is the restored word. Documents are scored by a sparse logistic
 model over restored words and their beginnings, fitted on a bounded sample of the labelled documents.
+
+Decoding is bounded for any input: a run of more than ``RUN`` equal signs is read as one of ``RUN``, and a chunk that is then longer than ``LONGEST``
+signs is read in pieces between signs that stand for no letter; a piece that is still longer holds no word.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ FEATURES = 2_000
 BEGINNINGS = (4, 5, 6)
 REJECT_AT = 0.7
 MEMO_WORDS = 300_000
+#: Equal signs in a row that are looked at, and signs of a chunk that is decoded at once.
+RUN, LONGEST = 4, 64
 
 # Letters of the character model; everything else is a gap (symbol 0).
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -79,48 +84,87 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log((counts + 5 * backoff[None]) / (counts.sum(axis=2, keepdims=True) + 5))
 
 
+_DOUBLED = re.compile(r"(.)\1")
+
+
 class Restorer:
     """Best source word of an observed chunk under the channel and the character model."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
+        self.rows = model.reshape(SYMBOLS * SYMBOLS, SYMBOLS).tolist()
 
     def odd(self, core: str) -> bool:
         """Whether a chunk is worth decoding: it isn't a plain word of single letters, nor only digits."""
         if core.isalpha():
-            return bool(re.search(r"(.)\1", core))
+            return bool(_DOUBLED.search(core))
         return not core.isdigit()
 
+    def options(self, sign: str, previous: str) -> list[tuple[int, float]]:
+        """Codes of the letters that a sign may stand for, 0 for none, with their costs."""
+        code = int(_CODES[ord(sign)])
+        if code:
+            return [(code, 0.0), (0, REPEAT_COST)] if sign == previous else [(code, 0.0)]
+        out = [(int(_CODES[ord(c)]), LEET_COST) for c in LEET.get(sign, "")]
+        if sign in HIDES:
+            out += [(c, HIDE_COST) for c in range(1, 27)]
+        return [*out, (0, DROP_COST if not sign.isalnum() else 3 * DROP_COST + 2)]
+
     def restore(self, observed: str) -> str:
-        """Viterbi over pairs of source letters; a step keeps, replaces or drops the observed sign."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """Viterbi over pairs of source letters (at most ``LONGEST`` signs); a step keeps, replaces or drops the observed sign.
+
+        Each state points back to the one before, so that a path is written out once. Signs that may hide any letter are stepped over as arrays.
+        """
+        states: list[tuple[int, int]] = [(0, 0)]
+        costs: list[float] = [0.0]
+        back: list[tuple[list[int], list[int]]] = []
         previous = ""
         for sign in observed:
-            options: list[tuple[str, float]] = []
-            if _CODES[ord(sign)]:
-                options.append((sign, 0.0))
-                if sign == previous:
-                    options.append(("", REPEAT_COST))
-            else:
-                options += [(c, LEET_COST) for c in LEET.get(sign, "")]
-                if sign in HIDES:
-                    options += [(c, HIDE_COST) for c in LETTERS[:26]]
-                options.append(("", DROP_COST if not sign.isalnum() else 3 * DROP_COST + 2))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, made) in paths.items():
-                for c, extra in options:
-                    if c:
-                        code = int(_CODES[ord(c)])
-                        state, total, word = (b, code), cost + extra + float(self.model[a, b, code]), made + c
-                    else:
-                        # a dropped sign costs what a likely letter would, or short readings always win
-                        state, total, word = (a, b), cost + extra + 2.0, made
-                    if state not in new or total < new[state][0]:
-                        new[state] = (total, word)
-            paths = new
+            options = self.options(sign, previous)
+            step = self._many if len(options) > 8 else self._few
+            states, costs, origin, letter = step(states, costs, options)
+            back.append((origin, letter))
             previous = sign
-        ended = [(cost + float(self.model[a, b, 0]), word) for (a, b), (cost, word) in paths.items()]
-        return min(ended)[1]
+        ends = [c + self.rows[a * SYMBOLS + b][0] for (a, b), c in zip(states, costs, strict=True)]
+        at, made = ends.index(min(ends)), []
+        for origin, letter in reversed(back):
+            if letter[at]:
+                made.append(LETTERS[letter[at] - 1])
+            at = origin[at]
+        return "".join(reversed(made))
+
+    def _few(self, states: list, costs: list, options: list) -> tuple[list, list, list, list]:
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for k, ((a, b), cost) in enumerate(zip(states, costs, strict=True)):
+            row = self.rows[a * SYMBOLS + b]
+            for c, extra in options:
+                # a dropped sign costs what a likely letter would, or short readings always win
+                state, total = ((b, c), cost + extra + row[c]) if c else ((a, b), cost + extra + 2.0)
+                if state not in best or total < best[state][0]:
+                    best[state] = total, k, c
+        found, origin, letter = zip(*best.values(), strict=True)
+        return list(best), list(found), origin, letter
+
+    def _many(self, states: list, costs: list, options: list) -> tuple[list, list, list, list]:
+        first, second = np.array(states).T
+        letters, extra = (np.array(x) for x in zip(*options, strict=True))
+        total = np.array(costs)[:, None] + extra + np.where(letters > 0, self.model[first[:, None], second[:, None], letters], 2.0)
+        state = np.where(letters > 0, second[:, None] * SYMBOLS + letters, first[:, None] * SYMBOLS + second[:, None]).ravel()
+        order = np.lexsort((np.arange(total.size), total.ravel(), state))
+        best = order[np.concatenate([[True], np.diff(state[order]) > 0])]
+        pairs = list(zip((state[best] // SYMBOLS).tolist(), (state[best] % SYMBOLS).tolist(), strict=True))
+        return pairs, total.ravel()[best].tolist(), (best // len(letters)).tolist(), letters[best % len(letters)].tolist()
+
+
+_RUNS = re.compile(rf"(.)\1{{{RUN},}}", re.DOTALL)
+_NO_LETTER = re.compile("[^" + re.escape(LETTERS + "".join(LEET) + HIDES) + "]+")
+
+
+def pieces_of(chunk: str) -> list[str]:
+    """A chunk, or what is decoded of one that is too long."""
+    if len(chunk) > RUN:
+        chunk = _RUNS.sub(lambda m: m[1] * RUN, chunk)
+    return [chunk] if len(chunk) <= LONGEST else [x for x in dict.fromkeys(_NO_LETTER.split(chunk)) if 0 < len(x) <= LONGEST]
 
 
 class Reader:
@@ -134,28 +178,31 @@ class Reader:
         self.beginnings = {w[:n] for w in words for n in range(1, len(w))}
 
     def _joined(self, chunks: list[str]) -> list[str]:
-        """Wanted words that are written in pieces, as many as there are, with white space between."""
+        """Chunks that may be one wanted word in pieces, with a sign between them that stands for no letter."""
         out = []
         for k, chunk in enumerate(chunks):
             made = chunk if chunk[0].isalnum() else chunk.lstrip(_EDGES)
-            following = k + 1
-            while made in self.beginnings and following < len(chunks):
-                made, last = made + chunks[following], made + chunks[following].rstrip(_EDGES)
+            parts, following = [made], k + 1
+            while made in self.beginnings and following < len(chunks) and len(chunks[following]) <= LONGEST:
+                last = chunks[following].rstrip(_EDGES)
+                if made + last in self.wanted:
+                    out.append("-".join([*parts, last]))
+                made += chunks[following]
+                parts.append(chunks[following])
                 following += 1
-                if last in self.wanted:
-                    out.append(last)
         return out
 
     def _of_chunk(self, chunk: str) -> tuple:
-        core = chunk.strip(_EDGES)
-        words = {core}
-        if core and self.restorer.odd(core):
-            words.add(self.restorer.restore(core))
-            words.add(re.sub(r"(.)\1+", r"\1", core))
-        if len(core) < len(chunk) and any(c in LEET or c in HIDES for c in chunk):  # a sign at the edge may be a letter
-            whole = chunk.strip(".,;:")
-            if not core or (whole != core and len(set(whole) - set(core)) <= 2 and len(whole) - len(core) <= 2):
-                words.add(self.restorer.restore(whole))
+        """Numbers of what the restored words of a chunk have of the wanted features; a plain word is its own restored one."""
+        words = set()
+        for piece in pieces_of(chunk):
+            core = piece.strip(_EDGES)
+            if core:
+                words.add(self.restorer.restore(core) if self.restorer.odd(core) else core)
+            if len(core) < len(piece) and any(c in LEET or c in HIDES for c in piece):  # a sign at the edge may be a letter
+                whole = piece.strip(".,;:")
+                if not core or (whole != core and len(set(whole) - set(core)) <= 2 and len(whole) - len(core) <= 2):
+                    words.add(self.restorer.restore(whole))
         words.discard("")
         found = {w for w in words} | {f"{w[:n]}~" for w in words for n in BEGINNINGS if len(w) >= n}
         return tuple(found) if self.wanted is None else tuple(self.wanted[f] for f in found if f in self.wanted)
@@ -176,7 +223,9 @@ class Reader:
             if got is None:
                 if len(self.memo) > MEMO_WORDS:
                     self.memo.clear()
-                got = self.memo[c] = self._of_chunk(c)
+                got = self._of_chunk(c)
+                if len(c) <= LONGEST:  # longer ones are rare, and would fill the memory
+                    self.memo[c] = got
             if got:
                 found.update(got)
         return found

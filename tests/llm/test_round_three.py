@@ -1,11 +1,12 @@
 """Corner cases of operators that earlier tests leave out."""
 
+import time
 from collections import defaultdict
 
 import numpy as np
 from test_llm_operators import documents, words
 
-from pelagia.llm import substring_dedup, url_filter
+from pelagia.llm import substring_dedup, toxicity, url_filter
 
 
 def test_substrings_of_the_smallest_id_and_of_rows_without_one(spark):
@@ -66,3 +67,57 @@ def test_verdicts_against_plain_ranks(spark):
         assert abs(r["trust"] - trust) < 1e-3 and abs(r["distrust"] - distrust) < 1e-3
         if r["rule"] is None:
             assert r["verdict"] == ("block" if distrust > trust else "allow")
+
+
+def readings(restorer, observed):
+    """All source words that a lattice can give, with their costs."""
+    out = {}
+    ways = [("", 0, 0, 0.0)]
+    previous = ""
+    for sign in observed:
+        new = []
+        for word, a, b, cost in ways:
+            for c, extra in restorer.options(sign, previous):
+                if c:
+                    new.append((word + toxicity.LETTERS[c - 1], b, c, cost + extra + float(restorer.model[a, b, c])))
+                else:
+                    new.append((word, a, b, cost + extra + 2.0))
+        ways, previous = new, sign
+    for word, a, b, cost in ways:
+        cost += float(restorer.model[a, b, 0])
+        out[word] = min(cost, out.get(word, cost))
+    return out
+
+
+def test_decoder_finds_the_cheapest_of_all_readings():
+    rng = np.random.default_rng(2)
+    restorer = toxicity.Restorer(rng.random((64, 64, 64)) * 6)
+    for observed in ("1d10t", "h3||0", "f*o", "*#", "aabb", "a-b-c", "$€(", "7-#", "ß0", "9", "l33+", "!!", "…a", "x1x1x1"):
+        costs = readings(restorer, observed)
+        assert costs[restorer.restore(observed)] <= min(costs.values()) + 1e-9
+
+
+def test_very_long_runs_of_signs_are_read_in_time():
+    reader = toxicity.Reader(np.random.default_rng(3).random((64, 64, 64)), {"bad": 0, "badly": 1})
+    begin = time.monotonic()
+    for text in ("*" * 1_000_000, "#-" * 500_000, "a" * 1_000_000, "1* " * 300_000, "a b " * 250_000, "*a" * 32):
+        assert reader.features(text) == set()
+    assert reader.features("-" * 500_000 + "bad" + "-" * 500_000 + " " + "=" * 100 + "badly") == {0, 1}
+    assert time.monotonic() - begin < 30
+    assert toxicity.pieces_of("*" * 900) == ["****"] and toxicity.pieces_of("ab") == ["ab"]
+    assert toxicity.pieces_of("abc " * 50) == ["abc"] and toxicity.pieces_of("abcdefgh" * 9) == []
+
+
+def test_equal_and_very_long_texts_have_their_scores(spark):
+    toxic, clean = "some snarglefitz here", "some flower here"
+    texts = [(k, toxic if k % 3 == 0 else f"{clean} {k}") for k in range(120)] + [(500, "word " * 100_000 + "snarglefitz"), (501, "word " * 100_000), (0, toxic)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    # a word in texts that differ, so that it can be learned
+    texts += [(1000 + k, f"{toxic} {k} times") for k in range(60)]
+    labels = labels.union(spark.createDataFrame([(1000 + k, 1) for k in range(60)], "doc_id long, toxic int"))
+    out = toxicity.toxicity_scores(documents(spark, texts), labels).collect()
+    scores = defaultdict(set)
+    for r in out:
+        scores[r["doc_id"]].add(round(r["score"], 12))
+    assert len(out) == len(texts) and all(len(x) == 1 for x in scores.values())
+    assert min(scores[500]) >= 0.7 > max(scores[501])
