@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-import struct
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import units
 from ..operators.projections import column_by_name
+from . import arrays
 from .lines import numbered_lines
 
 # Variables of the reanalysis store: short name, long name, unit.
@@ -53,41 +53,41 @@ def write_profile(df: DataFrame, columns: list[str], path: str, title: str = "pr
     heads.union(body).orderBy("part", "n").select("value").write.text(path)
 
 
-def read_binary_grid(spark: SparkSession, path: str, nx: int, ny: int, names: tuple[str, ...] = ("lat", "lon", "htn", "hte", "hus", "huw", "angle")) -> DataFrame:
-    """Rows (i, j, names) of a big-endian file of double arrays (ny, nx), one after the other. A task a file."""
-
-    def run(frames):
-        for df in frames:
-            for content in df["content"]:
-                a = np.frombuffer(content, ">f8").astype(float).reshape(len(names), ny, nx)
-                j, i = np.mgrid[0:ny, 0:nx]
-                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{n: a[k].ravel() for k, n in enumerate(names)}})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+def read_binary_grid(spark: SparkSession, path: str, nx: int, ny: int, names: tuple[str, ...] = ("lat", "lon", "htn", "hte", "hus", "huw", "angle"), wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows (i, j, names) of a big-endian file of double arrays (ny, nx), one after the other; tasks read ranges of rows, of ``wanted`` arrays only."""
+    df = arrays.read_grid(spark, path, names, {"j": ny, "i": nx}, wanted)
+    return df.select("i", "j", *[n for n in names if wanted is None or n in wanted])
 
 
 _LINK = np.dtype([("src", "<i4"), ("dst", "<i4"), ("w1", "<f8"), ("w2", "<f8"), ("w3", "<f8")])
-#: Links of a stored block.
-LINK_BLOCK = 1 << 16
-
-
 def save_links(links: DataFrame, path: str) -> None:
     """Links as Parquet rows, sorted by destination inside files so that a range of cells reads a part of them."""
     links.sortWithinPartitions("dst").write.parquet(path)
 
 
 def read_packed_links(spark: SparkSession, path: str) -> DataFrame:
-    """Links of files of packed records (two 32-bit indices, three doubles, little-endian). A task a file."""
+    """Links of files of packed records (two 32-bit indices, three doubles, little-endian); tasks read ranges of records."""
+    return arrays.read_records(spark, path, _LINK).select(*_LINK.names)
 
-    def run(frames):
-        for df in frames:
-            for content in df["content"]:
-                a = np.frombuffer(content, _LINK)
-                for k in range(0, len(a), LINK_BLOCK):
-                    yield pd.DataFrame({n: a[n][k : k + LINK_BLOCK] for n in _LINK.names})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "src int, dst int, w1 double, w2 double, w3 double")
+def read_link_variables(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int | str]]:
+    """Links (src, dst, w1, w2 ...) of a classic NetCDF file of remapping weights, cells from 0, and what its header says: sizes of both grids, title and normalisation.
+
+    Fixed names of that format: variables src_address, dst_address (from 1) and remap_matrix on (num_links, num_wgts).
+    """
+    head = arrays.netcdf_header(path)
+    one = arrays.read_netcdf(spark, path, ["src_address", "dst_address"], ["num_links"]).select(F.col("num_links").alias("k"), (F.col("src_address") - 1).alias("src"), (F.col("dst_address") - 1).alias("dst"))
+    weights = arrays.read_netcdf(spark, path, ["remap_matrix"], ["num_links", "num_wgts"])
+    n = head.dims["num_wgts"]
+    wide = weights.groupBy(F.col("num_links").alias("k")).agg(*[F.max(F.when(F.col("num_wgts") == i, F.col("remap_matrix"))).alias(f"w{i + 1}") for i in range(n)])
+    about = {"n_src": head.dims["src_grid_size"], "n_dst": head.dims["dst_grid_size"], **{k: str(head.attributes[k]) for k in ("title", "normalization", "map_method") if k in head.attributes}}
+    return one.join(wide, "k").drop("k"), about
+
+
+def read_grid_masks(spark: SparkSession, path: str, side: str = "src") -> DataFrame:
+    """Cells (id, open) of one grid (``src`` or ``dst``) of a file of remapping weights: whether its mask lets the cell take part."""
+    df = arrays.read_netcdf(spark, path, [f"{side}_grid_imask"], [f"{side}_grid_size"])
+    return df.select(F.col(f"{side}_grid_size").alias("id"), (F.col(f"{side}_grid_imask") != 0).alias("open"))
 
 
 def link_sizes(links: DataFrame) -> DataFrame:
@@ -95,96 +95,40 @@ def link_sizes(links: DataFrame) -> DataFrame:
     return links.agg(F.count("*").alias("n_links"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"))
 
 
-# ---- classic NetCDF (format 1 and 2)
-
-# Types of the format by number: numpy type.
-_TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
-
-
-def netcdf_header(b: bytes) -> dict:
-    """Dimensions, attributes and variables of a classic NetCDF file's first bytes."""
-    if b[:3] != b"CDF" or b[3] not in (1, 2):
-        raise ValueError("not a classic NetCDF file")
-    wide, at = b[3] == 2, 4
-
-    def number() -> int:
-        nonlocal at
-        at += 4
-        return struct.unpack(">i", b[at - 4 : at])[0]
-
-    def text() -> str:
-        nonlocal at
-        n = number()
-        at += n + (-n % 4)
-        return b[at - n - (-n % 4) : at - (-n % 4)].decode()
-
-    def attributes() -> dict:
-        nonlocal at
-        out = {}
-        _, n = number(), number()
-        for _ in range(n):
-            name, kind, count = text(), number(), number()
-            size = np.dtype(_TYPES[kind]).itemsize * count
-            raw = b[at : at + size]
-            out[name] = raw.decode("utf-8", "replace") if kind == 2 else np.frombuffer(raw, _TYPES[kind]).tolist()
-            at += size + (-size % 4)
-        return out
-
-    records = number()
-    _, n = number(), number()
-    dims = [(text(), number()) for _ in range(n)]
-    found = {"records": records, "dims": dims, "attributes": attributes(), "variables": {}}
-    _, n = number(), number()
-    for _ in range(n):
-        name = text()
-        ids = [number() for _ in range(number())]
-        attrs, kind, size = attributes(), number(), number()
-        begin = struct.unpack(">q" if wide else ">i", b[at : at + (8 if wide else 4)])[0]
-        at += 8 if wide else 4
-        found["variables"][name] = {"dims": ids, "attributes": attrs, "kind": kind, "size": size, "begin": begin}
-    return found
-
-
-def netcdf_array(b: bytes, head: dict, name: str) -> np.ndarray:
-    """One variable as doubles with fill values as NaN, scaled as its attributes say."""
-    v = head["variables"][name]
-    lengths = [head["dims"][d][1] for d in v["dims"]]
-    kind = np.dtype(_TYPES[v["kind"]])
-    if lengths and lengths[0] == 0:  # the record dimension: records of all such variables take turns
-        step = sum(x["size"] for x in head["variables"].values() if x["dims"] and head["dims"][x["dims"][0]][1] == 0)
-        shape = [head["records"], *lengths[1:]]
-        one = int(np.prod(lengths[1:])) * kind.itemsize
-        raw = b"".join(b[v["begin"] + k * step : v["begin"] + k * step + one] for k in range(shape[0]))
-    else:
-        shape, raw = lengths, b[v["begin"] : v["begin"] + int(np.prod(lengths)) * kind.itemsize]
-    a = np.frombuffer(raw, kind).astype(float).reshape(shape)
-    for key in ("_FillValue", "missing_value"):
-        for x in v["attributes"].get(key, []):
-            a = np.where(a == x, np.nan, a)
-    return a * v["attributes"].get("scale_factor", [1.0])[0] + v["attributes"].get("add_offset", [0.0])[0]
-
-
-def read_netcdf(spark: SparkSession, path: str, names: list[str], dims: list[str]) -> DataFrame:
-    """Rows (file, an index per dimension, names) of variables on one list of dimensions, whatever their order in the file.
-
-    Files are snapshots: each is read by one task, which holds one file. Fill values are null.
+# ---- NetCDF
+
+
+def read_netcdf(spark: SparkSession, path: str, names: list[str], dims: list[str], ranges: dict[str, tuple[int, int]] | None = None, coordinates: Sequence[str] = ()) -> DataFrame:
+    """Rows (file, an index per dimension, names) of variables of classic NetCDF files on one list of dimensions, whatever their order in the file.
+
+    Tasks read ranges of records. ``ranges`` slices dimensions; ``coordinates`` are variables on one dimension, such as heights or times, given as ``name_at``.
+    Fill values are null; units are in the columns' metadata.
     """
+    return arrays.read_netcdf(spark, path, names, dims, ranges, coordinates)
+
+
+def netcdf_attributes(path: str, name: str | None = None) -> dict[str, str | list]:
+    """Attributes of a classic NetCDF file, or of one variable of it."""
+    head = arrays.netcdf_header(path)
+    return head.attributes if name is None else head.variables[name]
 
-    def run(frames):
-        for df in frames:
-            for file, content in zip(df["path"], df["content"], strict=True):
-                head = netcdf_header(content)
-                out = {}
-                for n in names:
-                    own = [head["dims"][d][0] for d in head["variables"][n]["dims"]]
-                    a = netcdf_array(content, head, n).transpose([own.index(d) for d in dims])
-                    out[n] = a.ravel()
-                index = np.indices(a.shape).reshape(len(dims), -1)
-                yield pd.DataFrame({"file": file, **{d: index[k] for k, d in enumerate(dims)}, **{n: pd.Series(x).where(~np.isnan(x)) for n, x in out.items()}})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    df = files.mapInPandas(run, "file string, " + ", ".join([*(f"`{d}` int" for d in dims), *(f"`{n}` double" for n in names)]))
-    return df.withColumns({n: F.nanvl(F.col(n), F.lit(None).cast("double")) for n in names})
+
+def read_ocean_model(spark: SparkSession, path: str, record: int, level: int | None = None) -> DataFrame:
+    """One record of a regional ocean model's history file: rows (file, j, i, zeta), or with ``level`` rows (file, j, i, temp, salt, u, v) at that level.
+
+    Fixed names of that model: zeta, temp, salt on rho points, u and v on their own. Velocities are brought to rho points by the mean of both
+    neighbours along their direction; rows and columns at the rim, where one of them is missing, take the other one.
+    """
+    at = lambda n, dims: arrays.read_netcdf(spark, path, [n], dims, {"ocean_time": (record, record + 1)} | ({"s_rho": (level, level + 1)} if level is not None else {}))
+    if level is None:
+        return at("zeta", ["ocean_time", "eta_rho", "xi_rho"]).select("file", F.col("eta_rho").alias("j"), F.col("xi_rho").alias("i"), "zeta")
+    named = lambda n, grid: at(n, ["ocean_time", "s_rho", f"eta_{grid}", f"xi_{grid}"]).select("file", F.col(f"eta_{grid}").alias("j"), F.col(f"xi_{grid}").alias("i"), n)
+    df = named("temp", "rho").join(named("salt", "rho"), ["file", "j", "i"], "left")
+    for n, along in (("u", "i"), ("v", "j")):
+        own = named(n, n)
+        ends = own.withColumn(along, F.explode(F.array(F.col(along), F.col(along) + 1)))
+        df = df.join(ends.groupBy("file", "j", "i").agg(F.avg(n).alias(n)), ["file", "j", "i"], "left")
+    return df
 
 
 def read_levels(spark: SparkSession, path: str, names: list[str] | None = None, dims: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pelagia import units
 from pelagia.operators import mesh
 from pelagia.operators.projections import column_by_name, set_flags
-from pelagia.sources import fields, lines, meshes, parameters, reanalysis, storms
+from pelagia.sources import arrays, fields, lines, meshes, parameters, reanalysis, storms
 
 
 def joined(path):
@@ -130,7 +130,7 @@ def test_classic_netcdf(spark, tmp_path):
     z = {(r["y"], r["x"]): r["z"] for r in fields.read_netcdf(spark, str(tmp_path / "f.nc"), ["z"], ["y", "x"]).collect()}
     assert z[1, 2] == 2.5
     with pytest.raises(ValueError):
-        fields.netcdf_header(b"GRIB")
+        arrays.parsed_header(b"GRIB", 4)
 
 
 def test_snapshots(spark, tmp_path):
