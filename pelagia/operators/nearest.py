@@ -1,8 +1,9 @@
-"""Nearest neighbours in the plane by bins and widening rings: exact, without a cross join.
+"""Nearest neighbours in the plane by a tree of boxes that follows the points' density: exact, without a cross join.
 
-Each round joins the queries that are not settled with the points of their own and the eight nearby bins. A query is
-settled when its kth distance is within a bin's width, which doubles from round to round, so that the
-number of rounds is the logarithm of the largest gap. Points at one place are folded before the join.
+Points are sorted along a Z-order curve across all tasks; every ``LEAF`` of them in a row are a leaf, every ``FAN`` leaves a node, and so on, each with the
+bounds of its points. Queries walk down from the top: at each level they are joined with the children of the nodes that they still
+have, and keep those that can hold a neighbour: whose least distance is not over the smallest of largest distances to a node with
+enough points. So each query meets a few leaves, wherever it lies and however uneven the points are.
 """
 
 from __future__ import annotations
@@ -16,57 +17,86 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_KM
 from ..staging import staged
 
-
-def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 10.0) -> DataFrame:
+#: Points of a leaf and children of a node, as powers of two.
+LEAF_BITS, FAN_BITS = 6, 4
+#: Bits of each coordinate in the order of points; bits of a row's number in :func:`pyspark.sql.functions.monotonically_increasing_id`.
+CURVE_BITS, ROW_BITS = 31, 33
+#: Nodes of a level that are broadcast at most (about 60 bytes each); larger levels are joined by shuffle.
+BROADCAST_NODES = 200_000
+
+
+def _apart(x: Column) -> Column:
+    """The bits of a whole number of ``CURVE_BITS`` with a gap between each two."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def _tree(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Points (p, px, py, leaf), and levels of nodes (node, x1, x2, y1, y2, n) from the top, of at most 2 ** ``FAN_BITS`` nodes, to the leaves; ids of a level are those of the next one without their last ``FAN_BITS`` bits."""
+    x1, x2, y1, y2, n = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count("*")).first()
+    size = max((x2 or 0.0) - (x1 or 0.0), (y2 or 0.0) - (y1 or 0.0)) or 1.0
+    at = lambda c, low: F.least(F.floor((F.col(c) - (low or 0.0)) / size * (1 << CURVE_BITS)), F.lit((1 << CURVE_BITS) - 1)).cast("long")
+    curve = _apart(at("px", x1)).bitwiseOR(F.shiftleft(_apart(at("py", y1)), 1))
+    tasks = max(1, min(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), n >> 12))
+    rows = points.withColumn("__z", curve).repartitionByRange(tasks, "__z", "p").sortWithinPartitions("__z", "p")
+    rows = staged(rows.select("p", "px", "py", F.monotonically_increasing_id().alias("row")), "curve")
+    longest = rows.agg(F.max(F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))).first()[0] or 0
+    # a leaf's number: its task's number, then its place among the task's leaves in as many bits as the longest has
+    bits = max(0, longest >> LEAF_BITS).bit_length()
+    place = F.shiftright(F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)), LEAF_BITS)
+    rows = rows.select("p", "px", "py", F.shiftleft(F.shiftright("row", ROW_BITS), bits).bitwiseOR(place).alias("leaf"))
+    bounds = [F.min("px").alias("x1"), F.max("px").alias("x2"), F.min("py").alias("y1"), F.max("py").alias("y2"), F.count("*").alias("n")]
+    leaves = staged(rows.groupBy(F.col("leaf").alias("node")).agg(*bounds), "leaves")
+    above = [F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.sum("n").alias("n")]
+    height = max(0, -(-(bits + (tasks - 1).bit_length() - FAN_BITS) // FAN_BITS))
+    levels = [leaves.groupBy(F.shiftright("node", FAN_BITS * k).alias("node")).agg(*above) for k in range(height, 0, -1)]
+    return rows, [*levels, leaves]
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
     """Rows (q, p, d2, rank): the k nearest ``points`` (p, x, y) of each of ``queries`` (q, x, y) by squared distance, ties
-    by smaller p. Queries have fewer rows only where there are fewer points. Null positions are left out.
-
-    A ring is 3 x 3 bins, whose size doubles from round to round until it spans all positions, so a query far from all points costs no
-    more probes than one among them. Jobs run while this is called.
+    by smaller p. Queries have fewer rows only where there are fewer points. Null positions are left out; points and queries at one place are folded.
     """
     usable = "x is not null and y is not null and not isnan(x) and not isnan(y)"
     # at most k points of a place can count
     place = Window.partitionBy("x", "y").orderBy("p")
-    points = points.where(usable).select("p", "x", "y").withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n")
-    points = staged(points.select("p", F.col("x").alias("px"), F.col("y").alias("py")), "points")
-    # queries at one place have the same neighbours
+    points = points.where(usable).select("p", "x", "y").withColumn("n", F.row_number().over(place)).where(F.col("n") <= k)
+    points, levels = _tree(staged(points.select("p", F.col("x").alias("px"), F.col("y").alias("py")), "points"))
     asked = queries.where(usable).select("q", "x", "y")
-    rest, done = staged(asked.select("x", "y").distinct(), "places"), []
-    ends = points.select(F.col("px").alias("x"), F.col("py").alias("y")).union(rest)
-    ends = ends.agg(*[f(c) for f in (F.min, F.max) for c in ("x", "y")]).first()
-    extent = max(ends[2] - ends[0], ends[3] - ends[1]) if ends[0] is not None else 0.0
+    sizes = [level.count() for level in levels[1:]]
+    top = [tuple(r) for r in levels[0].select("node", "x1", "x2", "y1", "y2", "n").collect()]  # at most 2 ** FAN_BITS rows
+    names = ("node", "x1", "x2", "y1", "y2", "n")
+    first = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, r, strict=True)]) for r in top]) if top else F.array().cast("array<struct<node:bigint,x1:double,x2:double,y1:double,y2:double,n:bigint>>")
+    met = asked.select("x", "y").distinct().withColumn("b", F.explode(first)).select("x", "y", "b.*")
+    met = _able(met, k)
+    for level, size in zip(levels[1:], sizes, strict=True):
+        children = level.withColumn("up", F.shiftright("node", FAN_BITS))
+        children = F.broadcast(children) if size <= BROADCAST_NODES else children
+        met = _able(met.withColumnRenamed("node", "up").join(children, "up").drop("up"), k)
+    found = met.withColumnRenamed("node", "leaf").join(points, "leaf")
+    d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
     order = Window.partitionBy("x", "y").orderBy("d2", "p")
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    while True:
-        bin_of = lambda c, size=cell: F.floor(F.col(c) / size)
-        probe = rest.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-        probe = probe.select("x", "y", (bin_of("x") + F.col("dx")).alias("bx"), (bin_of("y") + F.col("dy")).alias("by"))
-        found = probe.join(points.withColumns({"bx": bin_of("px"), "by": bin_of("py")}), ["bx", "by"])
-        d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
-        ranked = found.select("x", "y", "p", d2.alias("d2")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        last = cell > extent  # two positions are in the same or in neighbouring bins
-        if not last:
-            # every point nearer than a bin's width has been seen
-            whole = Window.partitionBy("x", "y")
-            ranked = ranked.withColumns({"far": F.max("d2").over(whole), "full": F.count("*").over(whole)})
-            ranked = ranked.where((F.col("full") == k) & (F.col("far") < cell**2)).drop("far", "full")
-        ranked = staged(ranked, "near")
-        done.append(ranked)
-        if last:
-            break
-        rest = staged(rest.join(ranked.select("x", "y").distinct(), ["x", "y"], "left_anti"), "unsettled")
-        if not rest.take(1):
-            break
-        cell *= 2
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return asked.join(out, ["x", "y"]).select("q", "p", "d2", F.col("rank").cast("int").alias("rank"))
-
-
-def nearest(queries: DataFrame, points: DataFrame, cell: float = 10.0) -> DataFrame:
+    ranked = found.select("x", "y", "p", d2.alias("d2")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return asked.join(ranked, ["x", "y"]).select("q", "p", "d2", F.col("rank").cast("int").alias("rank"))
+
+
+def _able(met: DataFrame, k: int) -> DataFrame:
+    """Of (x, y, node, bounds, n) those nodes (x, y, node) that can hold one of the k nearest points of (x, y)."""
+    beside = lambda c: F.greatest(F.col(f"{c}1") - F.col(c), F.col(c) - F.col(f"{c}2"), F.lit(0.0))
+    beyond = lambda c: F.greatest(F.abs(F.col(f"{c}1") - F.col(c)), F.abs(F.col(f"{c}2") - F.col(c)))
+    near, far = (f("x") * f("x") + f("y") * f("y") for f in (beside, beyond))
+    if k == 1:  # each side of the bounds has a point: on the nearer side of one direction it is at most so far
+        side = lambda c: F.least(F.abs(F.col(f"{c}1") - F.col(c)), F.abs(F.col(f"{c}2") - F.col(c)))
+        far = F.least(side("x") * side("x") + beyond("y") * beyond("y"), beyond("x") * beyond("x") + side("y") * side("y"))
+    least = F.min(F.when(F.col("n") >= k, far)).over(Window.partitionBy("x", "y"))
+    met = met.withColumns({"near": near, "bound": least})
+    return met.where("bound is null or near <= bound").select("x", "y", "node")
+
+
+def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
     """Rows (q, p, d2): the nearest point of each query."""
-    return k_nearest(queries, points, 1, cell).drop("rank")
+    return k_nearest(queries, points, 1).drop("rank")
 
 
 def distance_weighted(neighbours: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -77,11 +107,11 @@ def distance_weighted(neighbours: DataFrame, values: DataFrame, value: str) -> D
     return both.groupBy("q").agg(F.coalesce(F.sum(d * F.col(value)) / F.nullif(F.sum(d), F.lit(0.0)), F.avg(value)).alias(value))
 
 
-def fill_nearest(cells: DataFrame, value: str, cell: float = 4.0, k: int = 4) -> DataFrame:
+def fill_nearest(cells: DataFrame, value: str, k: int = 4) -> DataFrame:
     """Cells (id, x, y, value): null values become the mean of the equally nearest known ones among the ``k`` nearest."""
     good = cells.where(F.col(value).isNotNull()).select(F.col("id").alias("p"), "x", "y", value)
     bad = cells.where(F.col(value).isNull()).select(F.col("id").alias("q"), "x", "y")
-    near = k_nearest(bad, good.drop(value), k, cell)
+    near = k_nearest(bad, good.drop(value), k)
     least = near.groupBy("q").agg(F.min("d2").alias("least"))
     made = near.join(least, "q").where("d2 = least").join(good.select("p", value), "p").groupBy(F.col("q").alias("id")).agg(F.avg(value).alias("__made"))
     return cells.join(made, "id", "left").withColumn(value, F.coalesce(value, "__made")).drop("__made")

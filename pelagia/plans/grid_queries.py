@@ -269,7 +269,7 @@ _NEAR = "SELECT n.id AS q, s.id AS p, (n.lon - s.lon) ** 2 + (n.lat - s.lat) **
 
 @query(f"SELECT q, p, d2 FROM ({_NEAR}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY d2, p) = 1", "nodes", "stations")
 def nearest_station(spark, sf_dir):
-    return nearest.nearest(_asked(spark, sf_dir), _known(spark, sf_dir), 20.0)
+    return nearest.nearest(_asked(spark, sf_dir), _known(spark, sf_dir))
 
 
 @query(
@@ -278,7 +278,7 @@ def nearest_station(spark, sf_dir):
     "nodes", "stations",
 )
 def knn4_weighted(spark, sf_dir):
-    near = nearest.k_nearest(_asked(spark, sf_dir), _known(spark, sf_dir), 4, 20.0)
+    near = nearest.k_nearest(_asked(spark, sf_dir), _known(spark, sf_dir), 4)
     values = stations(spark, sf_dir).select(F.col("id").alias("p"), "v")
     return rounded(nearest.distance_weighted(near, values, "v"), 4, "v")
 
@@ -294,7 +294,7 @@ def knn4_weighted(spark, sf_dir):
 def fill_nearest(spark, sf_dir):
     i, j = F.col("i"), F.col("j")
     c = field(spark, sf_dir).select((i * 1000 + j).alias("id"), i.cast("double").alias("x"), j.cast("double").alias("y"), F.when((i * 7 + j * 3) % 5 != 0, F.col("v")).alias("v"))
-    return rounded(nearest.fill_nearest(c, "v", 4.0), 6, "v")
+    return rounded(nearest.fill_nearest(c, "v"), 6, "v")
 
 
 _HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))"

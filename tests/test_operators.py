@@ -50,12 +50,12 @@ def test_k_nearest_against_all_pairs(spark):
     qs = [(k, float((k * 71) % 200 - 50), float((k * 29) % 150 - 30)) for k in range(40)] + [(40, 50_000.0, -3.0), (41, -9e5, 4e6), (500, None, 1.0), (501, float("nan"), 1.0)]
     q, p = spark.createDataFrame(qs, "q int, x double, y double"), spark.createDataFrame(pts, "p int, x double, y double")
     got = {}
-    for r in nearest.k_nearest(q, p, 3, 4.0).collect():
+    for r in nearest.k_nearest(q, p, 3).collect():
         got.setdefault(r["q"], []).append((r["d2"], r["p"]))
     for k, x, y in qs[:-2]:
         assert sorted(got[k]) == sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in pts)[:3]
     assert 500 not in got and 501 not in got
-    assert nearest.nearest(q, p.limit(0), 4.0).count() == 0
+    assert nearest.nearest(q, p.limit(0)).count() == 0
 
 
 def test_channels(spark):
