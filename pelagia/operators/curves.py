@@ -8,6 +8,7 @@ are the spans of cells inside.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,6 +102,45 @@ def fit_circle(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return p.select(*keys, (F.col("mx") + F.col("__a")).alias("xc"), (F.col("my") + F.col("__b")).alias("yc"), radius.alias("radius"), F.col("n").cast("long").alias("n"))
 
 
+def disc_overlap(x1: Column, y1: Column, x2: Column, y2: Column, radius: Column) -> Column:
+    """Signed area that the triangle of an edge and the origin shares with the disc of ``radius`` about the origin: the edge's parts outside count as sectors.
+
+    The sum over a polygon's edges, in any order, is the area that the polygon shares with the disc.
+    """
+    dx, dy = x2 - x1, y2 - y1
+    a, b, c = dx * dx + dy * dy, x1 * dx + y1 * dy, x1 * x1 + y1 * y1 - radius * radius
+    root = F.sqrt(F.greatest(b * b - a * c, F.lit(0.0)))
+    # where the edge enters and leaves the disc
+    enter, leave = (F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) for t in ((-b - root) / F.nullif(a, F.lit(0.0)), (-b + root) / F.nullif(a, F.lit(0.0))))
+    sector = lambda ax, ay, bx, by: radius * radius / 2 * F.atan2(ax * by - ay * bx, ax * bx + ay * by)
+    ex, ey, lx, ly = x1 + enter * dx, y1 + enter * dy, x1 + leave * dx, y1 + leave * dy
+    crossing = F.when(enter > 0, sector(x1, y1, ex, ey)).otherwise(0.0) + (ex * ly - ey * lx) / 2 + F.when(leave < 1, sector(lx, ly, x2, y2)).otherwise(0.0)
+    outside = (b * b - a * c <= 0) | (enter >= leave)
+    return F.when(a == 0, 0.0).when(outside, sector(x1, y1, x2, y2)).otherwise(crossing)
+
+
+def circle_error(edges: DataFrame, circles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, error): how far a closed curve is from its circle, in per cent of the circle's area.
+
+    The error is the part of the disc that the curve leaves out and the part of the curve outside the disc. ``edges`` are (keys, x1, y1, x2, y2) in
+    any order, ``circles`` (keys, xc, yc, radius); circles that are null give null.
+    """
+    rows = edges.join(circles.select(*keys, "xc", "yc", "radius"), list(keys))
+    x1, x2 = F.col("x1") - F.col("xc"), F.col("x2") - F.col("xc")
+    y1, y2 = F.col("y1") - F.col("yc"), F.col("y2") - F.col("yc")
+    sums = rows.groupBy(*keys).agg(F.abs(F.sum(x1 * y2 - x2 * y1) / 2).alias("own"), F.abs(F.sum(disc_overlap(x1, y1, x2, y2, F.col("radius")))).alias("shared"), F.max("radius").alias("radius"))
+    disc = F.lit(math.pi) * F.col("radius") * F.col("radius")
+    return sums.select(*keys, (100 * (disc + F.col("own") - 2 * F.col("shared")) / F.nullif(disc, F.lit(0.0))).alias("error"))
+
+
+def polygon_edges(df: DataFrame, ring: str, order: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Edges (ring, x1, y1, x2, y2) of polygons given by ordered vertices; the last vertex joins the first."""
+    w = Window.partitionBy(ring).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = [F.coalesce(F.lead(c).over(w), F.first(c).over(whole)).alias(f"{n}2") for c, n in ((x, "x"), (y, "y"))]
+    return df.select(ring, F.col(x).alias("x1"), F.col(y).alias("y1"), *nxt)
+
+
 def spans(ring_segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (keys, ring, j, x1, x2): the parts of grid rows inside each ring, from its points on horizontal grid edges."""
     on_row = ring_segments.where(F.col("p").startswith("h")).select(*keys, "ring", F.col("py").cast("int").alias("j"), F.col("px").alias("x"))

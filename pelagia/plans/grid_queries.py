@@ -127,9 +127,11 @@ def every_second_level(spark, sf_dir):
     return projections.every_nth(c, "k", 2, skip=1)
 
 
-@query("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(10 + (i + 0.5) * 0.5 AS DOUBLE) AS x, CAST((j + 0.5) * 0.25 AS DOUBLE) AS y FROM range(8) a(i), range(4) b(j)")
+@query("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(10 + (i + 0.5) * 0.5 AS DOUBLE) AS x, CAST((j + 0.5) * 0.25 AS DOUBLE) AS y FROM (SELECT unnest(range(count(*))) AS i FROM supplier) a, range(4) b(j)")
 def regular_grid(spark, sf_dir):
-    return Grid.regular(spark, (8, 4), (4.0, 1.0), (10.0, 0.0)).df
+    """A column of cells for each supplier."""
+    n = table(spark, sf_dir, "supplier").count()
+    return Grid.regular(spark, (n, 4), (n * 0.5, 1.0), (10.0, 0.0)).df
 
 
 # ---- channels
@@ -300,11 +302,11 @@ def fill_nearest(spark, sf_dir):
 _HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))"
 
 
-@query(f"SELECT a.id AS a, b.id AS b, round({_HAVERSINE}, 6) AS distance FROM stations a, stations b WHERE a.id < b.id AND abs(a.lat) <= 60 AND abs(b.lat) <= 60 AND abs(a.lon) <= 165 AND abs(b.lon) <= 165 AND {_HAVERSINE} <= 1500", "stations")
+@query(f"SELECT a.id AS a, b.id AS b, round({_HAVERSINE}, 6) AS distance FROM stations a, stations b WHERE a.id < b.id AND {_HAVERSINE} <= 1500", "stations")
 def haversine_pairs_within(spark, sf_dir):
     from ..functions.geo import haversine
 
-    s = stations(spark, sf_dir).where("abs(lat) <= 60 and abs(lon) <= 165")
+    s = stations(spark, sf_dir)
     a = s.select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     b = s.select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
     found = nearest.pairs_within(a, b, haversine("ay", "ax", "by", "bx"), 1500.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.geo import inside_polygon
@@ -70,11 +72,14 @@ def elem_geometry(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(j * 11 + i AS BIGINT) AS node, CAST(i * 0.5 AS DOUBLE) AS x, CAST(j * 0.5 AS DOUBLE) AS y FROM range(11) a(i), range(11) b(j)
-    UNION ALL SELECT CAST(121 + j * 10 + i AS BIGINT), CAST((i + 0.5) * 0.5 AS DOUBLE), CAST((j + 0.5) * 0.5 AS DOUBLE) FROM range(10) a(i), range(10) b(j)"""
+    """WITH s AS (SELECT CAST(floor(sqrt(count(*))) AS INT) AS n FROM supplier), a AS (SELECT n, unnest(range(n + 1)) AS i FROM s)
+    SELECT CAST(b.i * (a.n + 1) + a.i AS BIGINT) AS node, a.i * 0.5::DOUBLE AS x, b.i * 0.5::DOUBLE AS y FROM a, a b
+    UNION ALL SELECT CAST((a.n + 1) * (a.n + 1) + b.i * a.n + a.i AS BIGINT), (a.i + 0.5::DOUBLE) * 0.5::DOUBLE, (b.i + 0.5::DOUBLE) * 0.5::DOUBLE FROM a, a b WHERE a.i < a.n AND b.i < b.n"""
 )
 def square_domain_nodes(spark, sf_dir):
-    return mesh.square_domain(spark, 5.0, 10)[0]
+    """A square of as many cells as there are suppliers, or a few less."""
+    n = math.isqrt(table(spark, sf_dir, "supplier").count())
+    return mesh.square_domain(spark, n * 0.5, n)[0]
 
 
 @query(
@@ -98,12 +103,34 @@ def circle_fit(spark, sf_dir):
     return rounded(out, 5, "xc", "yc", "radius")
 
 
-@query("SELECT id, (lon > -50 AND lon < 60 AND lat > -20 AND lat < 40 AND NOT (lon > 0 AND lat > 10)) AS inside FROM nodes WHERE lon NOT IN (-50, 0, 60) AND lat NOT IN (-20, 10, 40)", "nodes")
+_CIRCLES = """m AS (SELECT id % 50 AS ring, avg(lon) AS mx, avg(lat) AS my FROM nodes GROUP BY ALL), p AS (SELECT ring, mx, my, lon - mx AS u, lat - my AS w FROM nodes JOIN m ON ring = id % 50),
+    s AS (SELECT ring, any_value(mx) AS mx, any_value(my) AS my, count(*) AS n, sum(u * u) AS uu, sum(w * w) AS vv, sum(u * w) AS uv, sum(u * (u * u + w * w)) AS a, sum(w * (u * u + w * w)) AS b FROM p GROUP BY ring),
+    c AS (SELECT *, (a * vv - b * uv) / nullif(2 * (uu * vv - uv * uv), 0) AS x, (b * uu - a * uv) / nullif(2 * (uu * vv - uv * uv), 0) AS y FROM s),
+    circles AS (SELECT ring, mx + x AS xc, my + y AS yc, sqrt(x * x + y * y + (uu + vv) / n) AS r FROM c)"""
+
+
+@query(
+    f"""WITH {_CIRCLES}, q AS (SELECT id % 50 AS ring, id, lon, lat FROM nodes),
+    e AS (SELECT ring, lon - xc AS x1, lat - yc AS y1, coalesce(lead(lon) OVER w, first_value(lon) OVER w) - xc AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) - yc AS y2, r FROM q JOIN circles USING (ring) WINDOW w AS (PARTITION BY ring ORDER BY id)),
+    t AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, (x2 - x1) ** 2 + (y2 - y1) ** 2 AS a, x1 * (x2 - x1) + y1 * (y2 - y1) AS b, x1 * x1 + y1 * y1 - r * r AS c FROM e),
+    k AS (SELECT *, CASE WHEN a = 0 OR b * b <= a * c THEN 1 ELSE greatest(0, least(1, (-b - sqrt(b * b - a * c)) / a)) END AS t1, CASE WHEN a = 0 OR b * b <= a * c THEN 1 ELSE greatest(0, least(1, (-b + sqrt(b * b - a * c)) / a)) END AS t2 FROM t),
+    f AS (SELECT ring, r, x1 * y2 - x2 * y1 AS own, r * r * (atan2(x1 * (y1 + t1 * dy) - y1 * (x1 + t1 * dx), x1 * (x1 + t1 * dx) + y1 * (y1 + t1 * dy)) + atan2((x1 + t2 * dx) * y2 - (y1 + t2 * dy) * x2, (x1 + t2 * dx) * x2 + (y1 + t2 * dy) * y2))
+      + (x1 + t1 * dx) * (y1 + t2 * dy) - (y1 + t1 * dy) * (x1 + t2 * dx) AS shared FROM k)
+    SELECT ring, round(100 * (pi() * any_value(r) ** 2 + abs(sum(own)) / 2 - abs(sum(shared))) / (pi() * any_value(r) ** 2), 5) AS error FROM f GROUP BY ring""",
+    "nodes",
+)
+def circle_area_error(spark, sf_dir):
+    n = nodes(spark, sf_dir).withColumn("ring", F.col("id") % 50)
+    circles = curves.fit_circle(n, ["ring"], "lon", "lat")
+    return rounded(curves.circle_error(curves.polygon_edges(n, "ring", "id", "lon", "lat"), circles, ["ring"]), 5, "error")
+
+
+# Points on the outline: lower and left sides belong to the polygon, upper and right ones do not.
+@query("SELECT id, (lat >= -20 AND lat < 10 AND lon >= -50 AND lon < 60) OR (lat >= 10 AND lat < 40 AND lon >= -50 AND lon < 0) AS inside FROM nodes", "nodes")
 def point_in_polygon(spark, sf_dir):
     corners = [(-50, -20), (60, -20), (60, 10), (0, 10), (0, 40), (-50, 40), (-50, -20)]
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in corners])
-    p = nodes(spark, sf_dir).where(~F.col("lon").isin(-50, 0, 60) & ~F.col("lat").isin(-20, 10, 40))
-    return p.select("id", inside_polygon("lon", "lat", ring).alias("inside"))
+    return nodes(spark, sf_dir).select("id", inside_polygon("lon", "lat", ring).alias("inside"))
 
 
 @query("SELECT dst AS idx, round(sum(w1 * p_size), 4) AS value FROM links JOIN part ON src = p_partkey GROUP BY dst", "links")

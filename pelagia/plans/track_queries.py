@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendars
@@ -11,7 +12,7 @@ from ..operators import eddies as ed
 from ..operators import tracks
 from ..staging import new_path
 from ..streaming import tracks as streams
-from .views import eddies, field, nodes, query, rounded, table, user_tracks
+from .views import SQL_VIEWS, eddies, field, nodes, query, rounded, table, user_tracks
 
 
 def _hourly(spark, sf_dir):
@@ -138,11 +139,10 @@ def request_key(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", calendars.request_key("grid", "o_orderkey", "o_orderstatus").alias("key"))
 
 
-@query("SELECT id, CASE WHEN l < 0 THEN l + 360 ELSE l END AS lon360, CASE WHEN l >= 180 THEN l - 360 ELSE l END AS lon180 FROM (SELECT id, lon * 2 % 360 AS l FROM nodes WHERE lon * 2 % 360 >= -180)", "nodes")
+@query("SELECT id, ((l % 360) + 360) % 360 AS lon360, (((l + 180) % 360) + 360) % 360 - 180 AS lon180 FROM (SELECT id, lon * 2 % 360 AS l FROM nodes)", "nodes")
 def wrapped_longitudes(spark, sf_dir):
     l2 = (F.col("lon") * 2) % 360
-    n = nodes(spark, sf_dir).where(l2 >= -180)
-    return n.select("id", wrap_360(l2).alias("lon360"), wrap_180(l2).alias("lon180"))
+    return nodes(spark, sf_dir).select("id", wrap_360(l2).alias("lon360"), wrap_180(l2).alias("lon180"))
 
 
 # ---- storms
@@ -151,7 +151,7 @@ def wrapped_longitudes(spark, sf_dir):
 @query(
     """WITH c AS (SELECT id, 20.0 AS clat, -60.0 AS clon, 95000.0 AS mslp, (55.0 - 5.0) / 0.7 AS v0, 40000.0 AS mrd, 2 * (2 * pi() / 86164.0905) * sin(radians(20.0)) AS f, lat, lon FROM nodes),
     r AS (SELECT *, least(2.5, greatest(1.0, 1.15 * exp(1) * v0 * v0 / (101300.0 - mslp))) AS b, sin(radians(lat - clat) / 2) ** 2 + cos(radians(clat)) * cos(radians(lat)) * sin(radians(lon - clon) / 2) ** 2 AS h FROM c),
-    x AS (SELECT *, 2 * 6371008.8 * atan2(sqrt(h), sqrt(1 - h)) AS d FROM r), y AS (SELECT *, pow(mrd / d, b) AS q FROM x WHERE d > 0),
+    x AS (SELECT *, CASE WHEN h = 0 THEN mrd * 2.220446049250313e-16 ELSE 2 * 6371008.8 * atan2(sqrt(h), sqrt(1 - h)) END AS d FROM r), y AS (SELECT *, pow(mrd / d, b) AS q FROM x),
     v AS (SELECT *, sqrt(q * exp(1 - q) * v0 * v0 + d * d * f * f / 4) - d * f / 2 AS w, atan2(radians(lat - clat), radians(lon - clon)) AS th FROM y)
     SELECT id, round(mslp + (101300.0 - mslp) * exp(-q), 3) AS pressure, round(-w * sin(th) * 0.616 + w / v0 * 3, 5) AS wind_x, round(w * cos(th) * 0.616 + w / v0 * 4, 5) AS wind_y FROM v""",
     "nodes",
@@ -159,7 +159,7 @@ def wrapped_longitudes(spark, sf_dir):
 def holland_profile(spark, sf_dir):
     f = lambda x: F.lit(float(x))
     found = holland("lat", "lon", f(20), f(-60), f(95000), f(55), f(40000), f(3), f(4))
-    n = nodes(spark, sf_dir).where("not (lat = 20 and lon = -60)").select("id", *[found[c].alias(c) for c in ("pressure", "wind_x", "wind_y")])
+    n = nodes(spark, sf_dir).select("id", *[found[c].alias(c) for c in ("pressure", "wind_x", "wind_y")])
     return rounded(rounded(n, 3, "pressure"), 5, "wind_x", "wind_y")
 
 
@@ -185,11 +185,24 @@ def similarity_best_match(spark, sf_dir):
     return rounded(rounded(ed.best_by_similarity(ed.candidates(eddies(spark, sf_dir), 7.0)), 2, "distance"), 5, "dx")
 
 
-@query()
+#: Greedy matching in order of the old eddies, and tracks from their first eddy on.
+_GREEDY = """opts AS (SELECT sign, snapshot, old, list(new ORDER BY dx, new) AS news, row_number() OVER (PARTITION BY sign, snapshot ORDER BY old) AS k FROM near GROUP BY sign, snapshot, old),
+    taken AS (SELECT DISTINCT sign, snapshot, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS done, CAST(NULL AS BIGINT) AS old, CAST(NULL AS BIGINT) AS new FROM opts
+      UNION ALL SELECT sign, snapshot, k, CASE WHEN pick IS NULL THEN done ELSE list_append(done, pick) END, old, pick
+      FROM (SELECT t.sign, t.snapshot, o.k, t.done, o.old, list_filter(o.news, lambda n: NOT list_contains(t.done, n))[1] AS pick FROM taken t JOIN opts o ON o.sign = t.sign AND o.snapshot = t.snapshot AND o.k = t.k + 1)),
+    links AS (SELECT sign, snapshot, old, new FROM taken WHERE new IS NOT NULL),
+    chain AS (SELECT sign, snapshot, eddy, snapshot AS first_snapshot, eddy AS first_eddy, CAST(0 AS BIGINT) AS n FROM eddies e WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.sign = e.sign AND l.snapshot = e.snapshot AND l.new = e.eddy)
+      UNION ALL SELECT c.sign, l.snapshot, l.new, first_snapshot, first_eddy, n + 1 FROM chain c JOIN links l ON l.sign = c.sign AND l.old = c.eddy AND l.snapshot = c.snapshot + 1),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY sign, first_snapshot, first_eddy) AS length FROM chain)"""
+
+
+@query(f"WITH RECURSIVE eddies AS ({SQL_VIEWS['eddies']}), {_PAIRS[5:]}, {_GREEDY} SELECT sign, snapshot, eddy, first_snapshot, first_eddy, n, length FROM sized WHERE length >= 2")
 def eddy_tracks(spark, sf_dir):
-    """Eddies with the tracks that greedy matching gives; tests compare it with a plain loop."""
+    """Eddies with the tracks that greedy matching gives, named by their first eddy."""
     e = eddies(spark, sf_dir)
-    return ed.track(e, ed.assign(ed.candidates(e, 7.0)), 2).select("track", "n", "length", "sign", "snapshot", "eddy")
+    found = ed.track(e, ed.assign(ed.candidates(e, 7.0)), 2)
+    first = F.min(F.struct("snapshot", "eddy")).over(Window.partitionBy("track"))
+    return found.withColumn("first", first).select("sign", "snapshot", "eddy", F.col("first.snapshot").alias("first_snapshot"), F.col("first.eddy").alias("first_eddy"), "n", "length")
 
 
 @query()

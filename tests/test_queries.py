@@ -32,9 +32,7 @@ def test_query_equals_sql(spark, sf_dir, oracle, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
-    # the smallest tables have no track of the least length
-    folder = "/root/testdata/sf0.01" if name == "eddy_tracks" else sf_dir
-    assert plans.QUERIES[name](spark, folder).count() > 0
+    assert plans.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
