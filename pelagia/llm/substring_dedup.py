@@ -197,14 +197,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n = shuffle_width(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     lost = texts.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"))
-    texts = texts.filter("doc_id is not null")
+    # a computed key, so that both joins with the texts are served by one exchange
+    texts = texts.filter("doc_id is not null").select(F.coalesce("doc_id", F.lit(0)).alias("key"), "text")
     rows = texts.mapInArrow(_anchor_rows(width), "known boolean, key long, h long, doc_id long")
     shared = rows.repartition(n, "key").sortWithinPartitions("known", "h", "doc_id").mapInArrow(_shared_anchors, "doc_id long, h long")
-    hits = shared.groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-    rows = texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_window_rows(width), "known boolean, key long, w1 long, w2 long, doc_id long")
+    hits = shared.groupBy(F.col("doc_id").alias("key")).agg(F.collect_set("h").alias("hits"))
+    rows = texts.join(hits, "key").select("key", "text", "hits").mapInArrow(_window_rows(width), "known boolean, key long, w1 long, w2 long, doc_id long")
     later = rows.repartition(n, "key").sortWithinPartitions("known", "w1", "w2", "doc_id").mapInArrow(_later_windows, "doc_id long, w long")
-    gone = later.groupBy("doc_id").agg(F.collect_set("w").alias("gone"))
-    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").union(lost).mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept binary")
+    gone = later.groupBy(F.col("doc_id").alias("key")).agg(F.collect_set("w").alias("gone"))
+    rows = texts.join(gone, "key", "left").select(F.col("key").alias("doc_id"), "text", "gone").union(lost)
+    return rows.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
