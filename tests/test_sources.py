@@ -68,6 +68,40 @@ def test_parameters_round_trip(spark, tmp_path):
     assert {tuple(r) for r in parameters.read_namelist(spark, str(tmp_path / "n")).collect()} == {("run", "dt", "3"), ("run", "name", "'x'"), ("grid", "n", "4")}
 
 
+def test_whole_parameter_file_with_three_dimensions(spark, tmp_path):
+    """Flux forcing, stations, harmonics, solver line and the 3-D block survive a round trip, with Fortran exponents and notes read on the way."""
+    p = {"RUNDES": "deep", "RUNID": "two"} | dict.fromkeys("NFOVER NABOUT NSCREEN IHOT NOLICA NOLICAT NCOR NTIP NWP NTIF NOLIBF NOLIFA".split(), 0) | {"ICS": 1, "IM": 21, "IDEN": 4, "NWS": 5, "NRAMP": 1, "AttrName": []}
+    p |= dict.fromkeys("G TAU0 DTDP STATIM REFTIM WTIMINC RNDAY DRAMP A00 B00 C00 H0 SLAM0 SFEA0 TAU ESLM CORI ANGINN".split(), 1.5)
+    p |= {"TIDES": {}, "NBFR": 1, "BOUNDARY": {"M2": (1.4e-4, 1.0, 0.0)}, "FORCING": {"M2": [(0.3, 0.0), (0.4, 1.0)]}, "NFFR": 1, "FLUXES": {"K1": (7e-5, 1.0, 2.0)}, "FLUX_FORCING": {"K1": [(0.1, 0.0)] * 3}}
+    for k, n in enumerate(("ELEVATION", "VELOCITY", "WEATHER", "DEEP_DENSITY", "DEEP_VELOCITY", "DEEP_TURBULENCE")):
+        p |= {f"{n}_FORMAT": k, f"{n}_FROM": 0.0, f"{n}_TO": 5.0, f"{n}_EVERY": 60, f"{n}_N": k % 3, f"{n}_STATIONS": [f"{j}.0 {k}.5" for j in range(k % 3)]}
+    for n in ("ALL_ELEVATION", "ALL_VELOCITY", "ALL_WEATHER", "ALL_DEEP_DENSITY", "ALL_DEEP_VELOCITY", "ALL_DEEP_TURBULENCE"):
+        p |= {f"{n}_FORMAT": 1, f"{n}_FROM": 0.0, f"{n}_TO": 5.0, f"{n}_EVERY": 120}
+    p |= {"NHARF": 2, "HARMONICS": {"M2": (1.4e-4, 1.0, 0.0), "S2": (1.45e-4, 1.0, 0.0)}, "THAS": 1.0, "THAF": 4.0, "NHAINC": 10, "FMV": 0.0, "NHASE": 1, "NHASV": 1, "NHAGE": 1, "NHAGV": 1, "NHSTAR": 0, "NHSINC": 1000}
+    p |= {"ITITER": 1, "ISLDIA": 0, "CONVCR": 1e-9, "ITMAX": 25, "ISLIP": 3, "KP": 0.0025, "Z0S": 0.01, "Z0B": 0.02, "ALP1": 0.5, "ALP2": 0.5, "ALP3": 0.5, "IGC": 0, "NFEN": 11, "SIGMA": [round(-1 + 0.2 * k, 1) for k in range(11)]}
+    p |= {"IEVC": 50, "EVMIN": 1e-6, "EVCON": 0.05, "THETA1": 1.0, "THETA2": 1.0, "RES_BC_FLAG": 4, "BCFLAG_LNM": 1, "BCFLAG_TEMP": 1}
+    p |= dict.fromkeys("RBCTIMEINC SBCTIMEINC TBCTIMEINC BCSTATIM SBCSTATIM TBCSTATIM TTBCTIMEINC TTBCSTATIM SPONGEDIST EQNSTATE NLSD NVSD NLTD NVTD ALP4".split(), 2.5)
+    parameters.write_parameters(spark, p, str(tmp_path / "p"))
+    assert parameters.read_parameters(spark, str(tmp_path / "p") + "/part-*", 2, 3) == p
+    text = "\n".join(parameters.parameter_lines(p)).replace("1e-09", "1.D-9").replace("25 ! ITITER", "25 note ! ITITER")
+    (tmp_path / "fort.15").write_text(text)
+    assert parameters.read_parameters(spark, str(tmp_path / "fort.15"), 2, 3) == p
+    back = parameters.update_parameters(spark, str(tmp_path / "fort.15"), str(tmp_path / "q"), 2, 3, ITMAX=50)
+    assert parameters.read_parameters(spark, str(tmp_path / "q") + "/part-*", 2, 3) == back == p | {"ITMAX": 50}
+    with pytest.raises(KeyError, match="NONE"):
+        parameters.update_parameters(spark, str(tmp_path / "fort.15"), str(tmp_path / "r"), 2, 3, NONE=1)
+    with pytest.raises(ValueError, match="ends after"):
+        (tmp_path / "cut").write_text("\n".join(text.split("\n")[:-3]))
+        parameters.read_parameters(spark, str(tmp_path / "cut"), 2, 3)
+    with pytest.raises(ValueError, match="density switch"):
+        (tmp_path / "odd").write_text(text.replace("4 ! IDEN", "3 ! IDEN", 1))
+        parameters.read_parameters(spark, str(tmp_path / "odd"), 2, 3)
+    flat = {k: v for k, v in p.items()} | {"IM": 0, "NWS": 0}
+    (tmp_path / "flat").write_text("\n".join(parameters.parameter_lines(flat)))
+    got = parameters.read_parameters(spark, str(tmp_path / "flat"), 2, 3)
+    assert got["ITMAX"] == 25 and "SIGMA" not in got and "WEATHER_N" not in got and got["FLUX_FORCING"] == p["FLUX_FORCING"]
+
+
 def test_best_track(spark, tmp_path):
     row = "AL, 12, {d}, , BEST, 0, {lat}N, {lon}W, {v}, {p}, HU, 34, NEQ, 1, 1, 1, 1, 1012, {rrp}, 20\n"
     text = row.format(d="2005082806", lat=240, lon=870, v=100, p=930, rrp=200) + row.format(d="2005082806", lat=999, lon=1, v=1, p=1, rrp=1)
