@@ -176,6 +176,12 @@ class Reader:
         self.memo: dict[str, tuple] = {}
         words = [w for w in wanted or () if not w.endswith("~")]
         self.beginnings = {w[:n] for w in words for n in range(1, len(w))}
+        self.starts = {w.rstrip("~")[:3] for w in wanted or ()}
+        self.elsewhere: dict[str, bool] = {}
+
+    def _leads_elsewhere(self, start: str) -> bool:
+        """Whether three signs are letters that stand for themselves, and no wanted word begins with them: the decoder keeps letters that aren't repeated."""
+        return self.wanted is not None and len(start) == 3 and all(_CODES[ord(c)] for c in start) and start[0] != start[1] != start[2] and start not in self.starts
 
     def _joined(self, chunks: list[str]) -> list[str]:
         """Chunks that may be one wanted word in pieces, with a sign between them that stands for no letter."""
@@ -219,6 +225,14 @@ class Reader:
             chunks.update(self._joined(pieces))
         found: set = set()
         for c in chunks:
+            start = c[:3]
+            other = self.elsewhere.get(start)
+            if other is None:
+                if len(self.elsewhere) > MEMO_WORDS:
+                    self.elsewhere.clear()
+                other = self.elsewhere[start] = self._leads_elsewhere(start)
+            if other and len(c) <= LONGEST:
+                continue
             got = self.memo.get(c)
             if got is None:
                 if len(self.memo) > MEMO_WORDS:

@@ -121,3 +121,18 @@ def test_equal_and_very_long_texts_have_their_scores(spark):
         scores[r["doc_id"]].add(round(r["score"], 12))
     assert len(out) == len(texts) and all(len(x) == 1 for x in scores.values())
     assert min(scores[500]) >= 0.7 > max(scores[501])
+
+
+def test_chunks_that_lead_elsewhere_have_no_wanted_feature():
+    """What is skipped by its first letters has none of the wanted features when it is read in full."""
+    rng = np.random.default_rng(8)
+    model = np.random.default_rng(3).random((64, 64, 64)) * 4
+    wanted = {"bad": 0, "banan~": 1, "no": 2, "ugly": 3, "ugly~": 4, "ägg": 5, "bbad": 6}
+    reader = toxicity.Reader(model, wanted)
+    texts = ["".join(rng.choice(list("bandouglyä@4!-*.1"), rng.integers(1, 9))) for _ in range(4000)] + ["bad", "baad", "b-a-d", "ugly", "uglyish", "(no", "nO", "ägg", "b4d", "bad" * 30, "no."]
+    for text in texts:
+        full = set(reader._of_chunk(text.lower()))
+        assert reader.features(text) == full
+        if toxicity.Reader._leads_elsewhere(reader, text[:3].lower()) and len(text) <= toxicity.LONGEST:
+            assert not full
+    assert reader.features("bad") == {0} and reader.features("uglyish") == {4}
