@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.physics import EARTH_M, holland
 from ..staging import staged
+from .nearest import pairs_within
 
 
 def _order(track: str, order: Sequence[str]):
@@ -80,27 +81,44 @@ def interpolate(df: DataFrame, at: DataFrame, names: Sequence[str], track: str =
     return both.select("__at.*", *made)
 
 
-def cyclone_field(track: DataFrame, nodes: DataFrame, times: DataFrame, max_times: int = 100_000) -> DataFrame:
-    """Pressure and wind at every node (node, lat, lon) for each time (track, ts) of a storm track with mslp (Pa), vmax (m/s), mrd (m).
+_STORM = ("lat", "lon", "mslp", "vmax", "mrd", "vx", "vy")
 
-    The storm's state is one small row a time; it is broadcast after its rows are counted, in blocks of ``max_times``.
+
+def cyclone_field(track: DataFrame, nodes: DataFrame, times: DataFrame, reach_m: float | None = None, block: int = 10_000) -> DataFrame:
+    """Pressure and wind at nodes (node, lat, lon) for each time (track, ts) of storm tracks with mslp (Pa), vmax (m/s), mrd (m).
+
+    With ``reach_m`` nodes within that distance of the storm's centre have a row: they meet in bins of latitude and longitude, so that rows grow with what
+    storms cover; elsewhere there is the pressure around and no wind. Without it every node has a row for every time, as the result asks for: states are small rows, counted and
+    broadcast in blocks of ``block``.
     """
-    moved = add_velocity(track)
-    state = staged(interpolate(moved, times, ["lat", "lon", "mslp", "vmax", "mrd", "vx", "vy"]), "storm")
-    state = state.select("track", "ts", *[F.col(c).alias(f"__{c}") for c in ("lat", "lon", "mslp", "vmax", "mrd", "vx", "vy")])
-    blocks = 1 + state.count() // max_times
+    state = staged(interpolate(add_velocity(track), times, _STORM), "storm").select("track", "ts", *[F.col(c).alias(f"__{c}") for c in _STORM])
+    found = holland("lat", "lon", *[f"__{c}" for c in _STORM])
+    values = ["track", "ts", "node", *[found[c].alias(c) for c in ("pressure", "wind_x", "wind_y")]]
+    if reach_m is not None:
+        centres = state.where("__lat is not null and __lon is not null").withColumns({"ax": F.col("__lon"), "ay": F.col("__lat")})
+        places = nodes.where("lat is not null and lon is not null").select("node", "lat", "lon", F.col("lon").alias("bx"), F.col("lat").alias("by"))
+        return pairs_within(centres, places, haversine("ay", "ax", "by", "bx", EARTH_M), reach_m, EARTH_M).select(*values)
+    blocks = 1 + state.count() // block
+    one = F.lit(1).alias("__all")
     out = None
     for b in range(blocks):
         part = state.where(F.pmod(F.xxhash64("track", "ts"), F.lit(blocks)) == b) if blocks > 1 else state
-        gathered = part.agg(F.collect_list(F.struct(*state.columns)).alias("__s"))
-        each = nodes.withColumn("__k", F.lit(1)).join(F.broadcast(gathered.withColumn("__k", F.lit(1))), "__k").withColumn("__s", F.explode("__s"))
-        each = each.select(*[F.col(c) for c in nodes.columns], "__s.*")
-        found = holland("lat", "lon", *[f"__{c}" for c in ("lat", "lon", "mslp", "vmax", "mrd", "vx", "vy")])
-        part_out = each.select("track", "ts", "node", found["pressure"].alias("pressure"), found["wind_x"].alias("wind_x"), found["wind_y"].alias("wind_y"))
-        out = part_out if out is None else out.unionByName(part_out)
+        each = nodes.select("*", one).join(F.broadcast(part.select("*", one)), "__all").select(*values)
+        out = each if out is None else out.unionByName(each)
     return out
 
 
+def storm_fields(spark: SparkSession, path: str, nodes: DataFrame, every: str = "1 hour", reach_m: float | None = None) -> DataFrame:
+    """From a best-track file to fields: its storm's states from the first to the last time in steps of ``every``, and their pressure and wind at ``nodes``."""
+    from ..sources.storms import read_best_track, storm_track
+
+    known = storm_track(read_best_track(spark, path))
+    known = known if "track" in known.columns else known.withColumn("track", F.lit(0).cast("long"))
+    ends = known.groupBy("track").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    times = ends.select("track", F.explode(F.sequence("a", "b", F.expr(f"interval {every}"))).alias("ts"))
+    return cyclone_field(known, nodes, times, reach_m)
+
+
 def islands(df: DataFrame, gap_seconds: float, track: str = "track", ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
     """Adds ``island`` (from 0) and ``n`` (row within it, from 0): a track ends where the next row is over ``gap_seconds`` later."""
     w = _order(track, [ts, *order])

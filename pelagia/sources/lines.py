@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def _numbered(df: DataFrame, count: str, out: str) -> DataFrame:
     """Adds ``out``, the running sum of ``count`` before each row of (file, block, seq), per file from 0.
@@ -36,6 +38,25 @@ def numbered_tokens(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("file", "first", F.posexplode("words").alias("k", "token")).select("file", (F.col("first") + F.col("k")).alias("n"), "token")
 
 
+def followed(nexts: DataFrame, start: int, steps: int) -> DataFrame:
+    """Rows (rank, at): the first ``steps`` places of the list that begins at ``start`` and goes on by ``nexts`` (at, next).
+
+    Places are found by doubling: after k rounds those of the first 2 ** k ranks are known, and pointers reach 2 ** k places ahead. The list ends where a place has no row.
+    """
+    spark = nexts.sparkSession
+    jump = staged(nexts.select("at", "next"), "jumps")
+    known = spark.createDataFrame([(0, start)], "rank long, at long").where(F.lit(steps > 0))
+    reach = 1
+    while reach < steps:
+        ahead = known.join(jump, "at").select((F.col("rank") + reach).alias("rank"), F.col("next").alias("at"))
+        known = staged(known.union(ahead.where(F.col("rank") < steps)), "ranks")
+        reach *= 2
+        if reach < steps:
+            far = jump.select(F.col("at").alias("next"), F.col("next").alias("__far"))
+            jump = staged(jump.join(far, "next").select("at", F.col("__far").alias("next")), "jumps")
+    return known
+
+
 def matrix(spark: SparkSession, path: str, n: int) -> DataFrame:
     """Rows (i, j, value) of a stream of numbers stored n to a row, i running fastest."""
     t = numbered_tokens(spark, path)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import fields, numbered_lines
+from ..staging import staged
+from .lines import fields, followed, numbered_lines
 
 # Boundary types whose normal flux is specified.
 FLUX_TYPES = (2, 12, 22, 52)
@@ -34,27 +34,33 @@ def read_grid(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def _boundaries(rest: DataFrame) -> DataFrame:
-    """Boundary segments are blocks of lines whose lengths stand in their first lines, so they are read in order by one
-    task. It holds a mesh's outline, which grows as the square root of the mesh."""
-
-    def run(frames):
-        rows = [f for df in frames for f in df.sort_values("line")["f"]]
-        at, out = 0, []
-        for kind in ("elevation", "flow"):
-            if at >= len(rows):
-                break
-            n_segments, total = int(rows[at][0]), int(rows[at + 1][0])
-            at += 2
-            seen = 0
-            for segment in range(n_segments):
-                n, code = int(rows[at][0]), int(rows[at][1]) if kind == "flow" and len(rows[at]) > 1 and rows[at][1].lstrip("-").isdigit() else 0
-                out += [(kind, segment, k, int(rows[at + 1 + k][0]) - 1, code) for k in range(n)]
-                at, seen = at + 1 + n, seen + n
-            if seen != total:
-                raise ValueError(f"{kind} boundaries have {seen} nodes, not {total}")
-        yield pd.DataFrame(out, columns=["kind", "segment", "seq", "node", "type"])
-
-    return rest.coalesce(1).sortWithinPartitions("line").mapInPandas(run, "kind string, segment int, seq int, node int, type int")
+    """Boundary segments are blocks of lines whose lengths stand in their first lines: each line is read as if it were one, and those that are follow from the first."""
+    spark = rest.sparkSession
+    number = lambda k: F.get("f", F.lit(k)).try_cast("long")
+    lines = staged(rest.select("line", number(0).alias("n"), number(1).alias("code")), "outline")
+    at = lines.agg(F.min("line")).first()[0]
+    nexts = lines.where("n is not null").select(F.col("line").alias("at"), (F.col("line") + 1 + F.col("n")).alias("next"))
+    empty = spark.createDataFrame([], "kind string, segment int, seq int, node int, type int")
+    out = empty
+    for kind in ("elevation", "flow"):
+        heads = {r["line"]: r["n"] for r in lines.where(F.col("line").isin([at, (at or 0) + 1])).collect()} if at is not None else {}
+        if at not in heads:
+            break
+        n_segments, total = heads[at], heads[at + 1]
+        ranks = staged(followed(nexts, at + 2, n_segments + 1), "segments")
+        head = ranks.where(F.col("rank") < n_segments).join(lines.withColumnRenamed("line", "at"), "at")
+        seen = head.agg(F.sum("n")).first()[0] or 0
+        if seen != total:
+            raise ValueError(f"{kind} boundaries have {seen} nodes, not {total}")
+        code = F.coalesce("code", F.lit(0)) if kind == "flow" else F.lit(0)
+        inside = head.where("n > 0").select(F.col("rank").alias("segment"), code.alias("type"), "at", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("n"))).alias("line"))
+        rows = inside.join(lines.select("line", F.col("n").alias("node")), "line")
+        out = out.union(rows.select(F.lit(kind), F.col("segment").cast("int"), (F.col("line") - F.col("at") - 1).cast("int"), (F.col("node") - 1).cast("int"), F.col("type").cast("int")))
+        end = ranks.where(F.col("rank") == n_segments).first()
+        if end is None:
+            raise ValueError(f"{kind} boundaries end early")
+        at = end["at"]
+    return out
 
 
 def boundary_totals(boundaries: DataFrame) -> DataFrame:
