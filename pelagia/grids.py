@@ -89,11 +89,12 @@ class Grid:
         """Attributes computed from columns of ``source`` by index."""
         return replace(self, df=channels.transform(source.df, self.df, self.index, targets, function, sources))
 
-    def remap_from(self, source: Grid, links: DataFrame, names: Sequence[str]) -> Grid:
-        """Attributes remapped over ``links`` (src, dst, w1 ...); both grids have one index column. All in one pass."""
+    def remap_from(self, source: Grid, links: DataFrame | Callable[[Grid, Grid], DataFrame], names: Sequence[str]) -> Grid:
+        """Attributes remapped over links (src, dst, w1 ...), or over those that a remapper makes of both grids; both have one index column. All in one pass."""
         from .operators import remap
 
-        out = remap.apply_links(source.df.withColumnRenamed(source.index[0], "src"), links, self.df.select(F.col(self.index[0]).alias("dst")), names)
+        made = links(source, self) if callable(links) else links
+        out = remap.apply_links(source.df.withColumnRenamed(source.index[0], "src"), made, self.df.select(F.col(self.index[0]).alias("dst")), names)
         return self.copy_from(Grid(out.withColumnRenamed("dst", self.index[0]), self.index), names)
 
     def save(self, path: str) -> None:

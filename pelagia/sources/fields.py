@@ -144,7 +144,7 @@ def write_snapshots(df: DataFrame, path: str, ts: str = "ts") -> None:
     df.withColumns({"year": F.year(ts), "month": F.month(ts)}).repartition("year", "month", F.dayofmonth(ts)).write.partitionBy("year", "month").parquet(path)
 
 
-def read_snapshots(spark: SparkSession, path: str, variables: list[str], start=None, end=None, area: tuple[float, float, float, float] | None = None, grid: float | None = None) -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str, variables: list[str], start=None, end=None, area: tuple[float, float, float, float] | None = None, grid: float | None = None, level: int | None = None) -> DataFrame:
     """Rows (ts, lat, lon, variables) with start <= ts <= end in an area (north, west, south, east).
 
     Variables are given by short or long name. ``grid`` keeps every point on multiples of a spacing. All conditions, and those on
@@ -152,13 +152,15 @@ def read_snapshots(spark: SparkSession, path: str, variables: list[str], start=N
     """
     df = spark.read.parquet(path)
     known = {short: long for short, long, _ in VARIABLES}
-    free = [c for c in df.columns if c not in ("ts", "lat", "lon", "year", "month")]
+    free = [c for c in df.columns if c not in ("ts", "lat", "lon", "level", "year", "month")]
     columns = [column_by_name(free, v, known) for v in variables]
     ts = F.col("ts")
     for bound, holds in ((start, lambda a, b: a >= b), (end, lambda a, b: a <= b)):
         if bound is not None:
             month = F.col("year") * 12 + F.col("month")
             df = df.where(holds(ts, F.lit(bound)) & holds(month, F.lit(bound.year * 12 + bound.month)))
+    if level is not None:
+        df = df.where(F.col("level") == level)
     if area:
         north, west, south, east = area
         df = df.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))

@@ -218,6 +218,27 @@ def test_reanalysis_requests(spark, tmp_path):
         reanalysis.dataset(spark, store, cache, "u10", t0, grid=0.3)
 
 
+def test_checked_requests_levels_and_history(spark, tmp_path):
+    t0 = datetime(2020, 2, 3, 4)
+    r = reanalysis.request("t", t0, "month", levels=[850, 500], area=(60.9, -10.5, 50.2, 5.7), grid=0.5)
+    assert r.collection == "pressure-levels" and r.parameters["pressure_level"] == [500, 850] and r.parameters["area"] == [60, -10, 50, 5]
+    assert len(r.parameters["day"]) == 29 and len(r.parameters["time"]) == 24 and r.parameters["variable"] == "temperature"
+    monthly = reanalysis.request("sea_surface_temperature", t0, period="monthly", ensemble=True)
+    assert monthly.collection == "single-levels-monthly-means" and monthly.parameters["product_type"] == "monthly_averaged_ensemble_members" and monthly.parameters["time"] == ["04:00"]
+    for wrong, why in (({"variable": "none"}, "no such variable"), ({"variable": "t"}, "levels of"), ({"variable": "t", "levels": [851]}, "levels of"), ({"variable": "u10", "period": "monthly"}, "no monthly"), ({"variable": "u10", "grid": 0.3}, "spacing")):
+        with pytest.raises(ValueError, match=why):
+            reanalysis.request(**({"time": t0} | wrong))
+    assert reanalysis.request("snow_depth", t0, known=["snow_depth"]).parameters["variable"] == "snow_depth"
+    rows = [(t0 + timedelta(hours=h), lat, lon, level, level + lat) for h in range(2) for lat in (0.0, 1.0) for lon in (0.0, 1.0) for level in (500, 850)]
+    store, cache = str(tmp_path / "s"), str(tmp_path / "c")
+    fields.write_snapshots(spark.createDataFrame(rows, "ts timestamp_ntz, lat double, lon double, level int, t double"), store)
+    got = reanalysis.dataset(spark, store, cache, "t", t0, level=850)
+    assert sorted(r["t"] for r in got.collect()) == [850.0, 850.0, 851.0, 851.0]
+    assert {r["t"] for r in reanalysis.dataset(spark, store, cache, "t", t0, level=500, area=(0.9, 0.0, -0.9, 1.0)).collect()} == {500.0}
+    assert reanalysis.dataset(spark, str(tmp_path / "nothing"), cache, "t", t0, level=850).count() == 4
+    assert sorted((r["variable"], r["level"], r["hours"], r["area"], r["rows"]) for r in reanalysis.history(spark, cache).collect()) == [("temperature", 500, 1, "0_0_0_1", 2), ("temperature", 850, 1, None, 4)]
+
+
 def test_input_by_kind_and_flags(spark, tmp_path):
     (tmp_path / "f.nc").write_bytes(classic_file(1))
     assert fields.read_levels(spark, str(tmp_path / "f.nc"), ["z"], ["y", "x"]).count() == 6
