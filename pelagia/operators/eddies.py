@@ -45,7 +45,7 @@ def detect(field: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ("sn
     """Eddies of gridded snapshots (by..., i, j, lon, lat, sla, speed, eke): one row an eddy.
 
     Columns: by..., sign (1 anticyclonic, -1 cyclonic), eddy (its ring), level, lon, lat, amplitude, radius_e (contour) and
-    radius_s (contour of largest mean speed inside), swirl (that speed), teke (sum of eke inside), n_cells. Null sea level is land.
+    radius_s (of the contours nearest to the centre, one a level, the one of largest mean speed), swirl (that speed), teke (sum of eke inside), n_cells, shape_error (per cent). Null sea level is land.
     Snapshots without closed contours give no row.
     """
     by = list(by)
@@ -63,12 +63,14 @@ def detect(field: DataFrame, limits: Limits = Limits(), by: Sequence[str] = ("sn
     z = F.element_at(F.array(*[F.lit(x) for x in limits.levels]), (F.col("level") + 1).cast("int"))
     stats = inside.groupBy(*keys, "ring", "n_cells").agg(
         F.count("sla").alias("known"), F.min("sla").alias("low"), F.max("sla").alias("high"), F.sum("eke").alias("teke"),
-        F.sum("is_low").alias("lows"), F.sum("is_high").alias("highs"),
+        F.sum("is_low").alias("lows"), F.sum("is_high").alias("highs"), F.max(F.when(F.col("is_low") == 1, F.col("sla"))).alias("weak_low"), F.min(F.when(F.col("is_high") == 1, F.col("sla"))).alias("weak_high"),
         F.min_by(F.struct("i", "j", "lon", "lat"), F.struct("sla", "j", "i")).alias("at_low"), F.max_by(F.struct("i", "j", "lon", "lat"), F.struct("sla", "j", "i")).alias("at_high"),
     ).withColumn("z", z)
-    # all cells on one side of the contour, few extrema, an amplitude within limits
-    up = stats.where((F.col("low") >= F.col("z")) & (F.col("highs") <= limits.most_extrema)).withColumns({"sign": F.lit(1), "amplitude": F.col("high") - F.col("z"), "centre": F.col("at_high")})
-    down = stats.where((F.col("high") < F.col("z")) & (F.col("lows") <= limits.most_extrema)).withColumns({"sign": F.lit(-1), "amplitude": F.col("z") - F.col("low"), "centre": F.col("at_low")})
+    # all cells on one side of the contour, an amplitude within limits, and few extrema: of more than these at least one is
+    # within two levels of the contour, a bump on a larger eddy, which is centred at its strongest extremum
+    two = 2 * (limits.levels[1] - limits.levels[0]) if len(limits.levels) > 1 else 0.0
+    up = stats.where((F.col("low") >= F.col("z")) & ((F.col("highs") <= limits.most_extrema) | (F.col("weak_high") <= F.col("z") + two))).withColumns({"sign": F.lit(1), "amplitude": F.col("high") - F.col("z"), "centre": F.col("at_high")})
+    down = stats.where((F.col("high") < F.col("z")) & ((F.col("lows") <= limits.most_extrema) | (F.col("weak_low") >= F.col("z") - two))).withColumns({"sign": F.lit(-1), "amplitude": F.col("z") - F.col("low"), "centre": F.col("at_low")})
     candidates = up.unionByName(down).where((F.col("known") == F.col("n_cells")) & F.col("amplitude").between(limits.least_amplitude, limits.most_amplitude))
     candidates = staged(candidates.select(*keys, "ring", "sign", "n_cells", "amplitude", "teke", "centre"), "candidates")
     # the outermost: no candidate of the sign at an earlier level (rising for anticyclones) holds its centre
@@ -98,17 +100,27 @@ def _with_shapes(found: DataFrame, ring: DataFrame, field: DataFrame, nested: Da
     at = at.withColumns({"lon0": F.avg("lon").over(Window.partitionBy("ring")), "lat0": F.avg("lat").over(Window.partitionBy("ring"))})
     px, py = azimuthal("lat", "lon", "lat0", "lon0")
     at = staged(at.withColumns({"mx": px, "my": py}), "contours")
-    circle = curves.fit_circle(at, ["ring", "lat0", "lon0"], "mx", "my")
+    fitted = circle = staged(curves.fit_circle(at, ["ring", "lat0", "lon0"], "mx", "my"), "circles")
     clat, clon = azimuthal_inverse("xc", "yc", "lat0", "lon0")
     circle = circle.select("ring", "radius", clat.alias("clat"), clon.alias("clon")).join(at.groupBy("ring").agg(F.avg("speed").alias("mean_speed")), "ring")
+    # of the contours inside at one level the one that comes nearest to the centre
+    centres = found.select(F.col("ring").alias("eddy"), F.col("centre.i").alias("ci"), F.col("centre.j").alias("cj"))
+    away = (F.col("x") - F.col("ci")) * (F.col("x") - F.col("ci")) + (F.col("y") - F.col("cj")) * (F.col("y") - F.col("cj"))
+    levels = ring.join(family.select("ring").distinct(), "ring", "left_semi").groupBy("ring").agg(F.first("level").alias("level"))
+    nearest = family.join(at.select("ring", "x", "y"), "ring").join(centres, "eddy").groupBy("eddy", "ring").agg(F.min(away).alias("away")).join(levels, "ring")
+    order = Window.partitionBy("eddy", "level").orderBy("away", "ring")
+    family = nearest.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("eddy", "ring")
     best = family.join(circle, "ring").groupBy("eddy").agg(
         F.max_by(F.struct("radius", "clat", "clon", "mean_speed"), F.struct("mean_speed", F.col("ring") != F.col("eddy"), "ring")).alias("fast"),
     )
     own = circle.select(F.col("ring").alias("eddy"), F.col("radius").alias("radius_e"))
-    out = found.withColumnRenamed("ring", "eddy").join(own, "eddy").join(best, "eddy")
+    end = lambda c, n: at.select("ring", F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"), F.col("mx").alias(f"x{n}"), F.col("my").alias(f"y{n}"))
+    edges = ring.join(found.select("ring"), "ring", "left_semi").join(end("p", 1), ["ring", "px", "py"]).join(end("q", 2), ["ring", "qx", "qy"])
+    error = curves.circle_error(edges, fitted, ["ring"]).select(F.col("ring").alias("eddy"), F.col("error").alias("shape_error"))
+    out = found.withColumnRenamed("ring", "eddy").join(own, "eddy").join(best, "eddy").join(error, "eddy", "left")
     return out.select(
         *by, "sign", "eddy", "level", F.col("fast.clon").alias("lon"), F.col("fast.clat").alias("lat"), "amplitude", "radius_e",
-        F.col("fast.radius").alias("radius_s"), F.col("fast.mean_speed").alias("swirl"), "teke", F.col("n_cells").cast("long").alias("n_cells"),
+        F.col("fast.radius").alias("radius_s"), F.col("fast.mean_speed").alias("swirl"), "teke", F.col("n_cells").cast("long").alias("n_cells"), "shape_error",
     )
 
 
