@@ -30,6 +30,7 @@ TABLES = {
     "openifs": {
         "grid": ("column", "lat:deg lon:deg"),
         "levels": ("column level", "Pfull:Pa U:m/s V:m/s T:K QL:kg/kg QI:kg/kg SH:kg/kg A:1 O3:kg/kg"),
+        "half_levels": ("column level", "Phalf:Pa"),
         "forcings": ("column level", "tendency_U:m/s**2 tendency_V:m/s**2 tendency_T:1 tendency_SH:1 tendency_QL:1 tendency_QI:1 tendency_A:1 tendency_O3:1"),
     },
     "pop": {

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,39 @@ def upsert(target: DataFrame, changes: DataFrame, index: Sequence[str]) -> DataF
 def at_levels(df: DataFrame, levels: Sequence[float], name: str = "level") -> DataFrame:
     """Each row once for each of a fixed list of levels (an array that is exploded, no join)."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(x) for x in levels])))
+
+
+Interpolator = Callable[[str, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def on_levels(profiles: DataFrame, levels: Sequence[float], names: Sequence[str], key: str = "column", height: str = "height", interpolator: Interpolator | None = None) -> DataFrame:
+    """Rows (key, height, names) of profiles (key, height, names) at new heights, which must rise.
+
+    They are linear between the known heights and held beyond them. Another rule is given as ``interpolator(name, new heights, heights, values)``, which sees one profile at a time.
+    """
+    if any(b <= a for a, b in zip(levels, levels[1:], strict=False)):
+        raise ValueError("heights must rise")
+    wanted = F.explode(F.array(*[F.lit(float(z)) for z in levels]))
+    if interpolator is None:
+        from .tracks import interpolate
+
+        return interpolate(profiles, profiles.select(key).distinct().withColumn(height, wanted), names, key, height)
+
+    def each(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.dropna(subset=[height]).sort_values(height)
+        new = np.array(levels, float)
+        return pd.DataFrame({key: df[key].iloc[0] if len(df) else None, height: new, **{n: interpolator(n, new, df[height].to_numpy(), df[n].to_numpy(float)) for n in names}})
+
+    kind = profiles.schema[key].dataType.simpleString()
+    return profiles.select(key, height, *names).groupBy(key).applyInPandas(each, f"`{key}` {kind}, `{height}` double, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def update_sides(boundary: DataFrame, kinds: dict[str, str], updaters: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``boundary`` (side, ...) with the rows of sides of kind ``interface`` made anew by their updater; sides without one raise KeyError."""
+    wanted = [side for side, kind in kinds.items() if kind == "interface"]
+    if missing := [side for side in wanted if side not in updaters]:
+        raise KeyError(f"no update of the boundaries: {', '.join(missing)}")
+    out = boundary.where(~F.col("side").isin(wanted) | F.col("side").isNull()) if wanted else boundary
+    for side in wanted:
+        out = out.unionByName(updaters[side](boundary.where(F.col("side") == side)).select(*boundary.columns))
+    return out

@@ -60,6 +60,28 @@ def with_halo(df: DataFrame, i: str, j: str, first: tuple[int, int], last: tuple
     return block(df, {i: slice(first[0] - pad, last[0] + pad + 1), j: slice(first[1] - pad, last[1] + pad + 1)})
 
 
+def box_indices(df: DataFrame, box: tuple[float, float, float, float], lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """One row (i0, i1, j0, j1): the index box of a grid (i, j, lon, lat) that reaches from the points nearest to a box's (west, east, south, north) sides' middles.
+
+    Of equally near points the one of smaller j, then of smaller i counts. A partial aggregation, whatever the grid's shape.
+    """
+    west, east, south, north = box
+    middle_lon, middle_lat = west + (east - west) / 2, south + (north - south) / 2
+
+    def nearest(index: str, x: float, y: float) -> Column:
+        d2 = (F.col(lon) - x) * (F.col(lon) - x) + (F.col(lat) - y) * (F.col(lat) - y)
+        return F.min_by(index, F.struct(d2, "j", "i"))
+
+    known = df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    return known.agg(nearest("i", west, middle_lat).alias("i0"), nearest("i", east, middle_lat).alias("i1"), nearest("j", middle_lon, south).alias("j0"), nearest("j", middle_lon, north).alias("j1"))
+
+
+def in_box(df: DataFrame, box: tuple[float, float, float, float], pad: int = 0, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """The index box of :func:`box_indices` with ``pad`` more cells on each side."""
+    i0, i1, j0, j1 = box_indices(df, box, lon, lat).first()  # four numbers
+    return with_halo(df, "i", "j", (i0, j0), (i1, j1), pad) if i0 is not None else df.limit(0)
+
+
 def every_nth(df: DataFrame, order: str, n: int, skip: int = 0, skip_last: int = 0) -> DataFrame:
     """Every nth distinct value of ``order`` after ``skip`` and before the last ``skip_last``; rows of a value stay together.
 

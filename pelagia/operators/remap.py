@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import overlap
+from ..staging import staged
 
 
 def apply_links(source: DataFrame, links: DataFrame, target: DataFrame | None, names: Sequence[str], gradients: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -124,6 +125,26 @@ def box_samples(points: DataFrame, field: DataFrame, dx: float, dy: float, nx: i
     return sample(field, cells, names)
 
 
+def from_parent(points: DataFrame, parent: DataFrame, own_size: float, dx: float, dy: float, nx: int, ny: int, names: Sequence[str]) -> DataFrame:
+    """A refinement's points (dst, x, y) from its parent grid: means over squares as large as the larger cells of both."""
+    return box_samples(points.withColumn("d", F.lit(max(own_size, dx))), parent, dx, dy, nx, ny, names)
+
+
+def numbered(links: DataFrame) -> DataFrame:
+    """``links`` with ``link``, their number (from 0) in order of destination, source and weights.
+
+    They are sorted across tasks; what comes before a task's first link is a sum over a row a task.
+    """
+    spark = links.sparkSession
+    order = ["dst", "src", *[c for c in links.columns if c not in ("dst", "src")]]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = links.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    rows = staged(rows, "sorted_links").withColumns({"__part": F.shiftright("__row", 33), "__row": F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row a task
+    return rows.join(F.broadcast(before), "__part").withColumn("link", F.col("__row") + F.col("__before")).select(*links.columns, "link")
+
+
 def cell_corners(df: DataFrame, nx: int) -> DataFrame:
     """Adds ``corners`` (SW, SE, NE, NW structs of lon, lat) of cells (i, j) from the points at their NE corners.
 

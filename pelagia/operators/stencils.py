@@ -146,6 +146,16 @@ def high_pass(df: DataFrame, value: str, sigma_i: float, sigma_j: float, by: Seq
     return df.join(low, [*by, "i", "j"]).withColumn(value, F.col(value) - F.col("__low")).drop("__low")
 
 
+def sigma_of(wavelength: float, resolution: float) -> float:
+    """Width (in cells) of the Gaussian whose high pass keeps waves up to a length; both in degrees."""
+    return wavelength / 8 / resolution
+
+
+def high_pass_waves(df: DataFrame, value: str, zonal_deg: float, meridional_deg: float, resolution_deg: float, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`high_pass` for waves of these lengths along i and along j."""
+    return high_pass(df, value, sigma_of(zonal_deg, resolution_deg), sigma_of(meridional_deg, resolution_deg), by)
+
+
 def local_minima(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Cells that no cell of their 3 x 3 square is below, in squares that aren't flat; minima by two passes of three cells."""
     ends = lambda w: w.rowsBetween(-1, 1)

@@ -107,6 +107,44 @@ def subgrid_halo(spark, sf_dir):
     return projections.with_halo(field(spark, sf_dir), "i", "j", (10, 5), (20, 10), 2)
 
 
+_LONLAT = "g AS (SELECT i, j, i * 0.25 - 30 + j * 0.01 AS lon, j * 0.25 + 30 AS lat, v FROM field)"
+_CORNERS = f"""{_LONLAT}, near AS (SELECT arg_min(i, ((lon + 27.1) * (lon + 27.1) + (lat - 32.5) * (lat - 32.5), j, i)) AS i0, arg_min(i, ((lon + 23.4) * (lon + 23.4) + (lat - 32.5) * (lat - 32.5), j, i)) AS i1,
+    arg_min(j, ((lon + 25.25) * (lon + 25.25) + (lat - 31.1) * (lat - 31.1), j, i)) AS j0, arg_min(j, ((lon + 25.25) * (lon + 25.25) + (lat - 33.9) * (lat - 33.9), j, i)) AS j1 FROM g)"""
+
+
+def _lonlat(spark, sf_dir):
+    i, j = F.col("i"), F.col("j")
+    return field(spark, sf_dir).select("i", "j", (i * 0.25 - 30 + j * 0.01).alias("lon"), (j * 0.25 + 30).alias("lat"), "v")
+
+
+@query(f"WITH {_CORNERS} SELECT i0, i1, j0, j1 FROM near", "field")
+def box_indices(spark, sf_dir):
+    return projections.box_indices(_lonlat(spark, sf_dir), (-27.1, -23.4, 31.1, 33.9))
+
+
+@query(f"WITH {_CORNERS} SELECT i, j, v FROM g, near WHERE i BETWEEN i0 - 2 AND i1 + 2 AND j BETWEEN j0 - 2 AND j1 + 2", "field")
+def box_with_halo(spark, sf_dir):
+    return projections.in_box(_lonlat(spark, sf_dir), (-27.1, -23.4, 31.1, 33.9), 2).select("i", "j", "v")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY dst, src, w1, w2, w3) - 1 AS BIGINT) AS link, src, dst, w1 FROM links", "links")
+def link_by_ordinal(spark, sf_dir):
+    return remap.numbered(links(spark, sf_dir)).select("link", "src", "dst", "w1")
+
+
+@query(
+    """WITH c AS (SELECT i * 100 + j AS col, k, avg(price) AS price FROM cells GROUP BY ALL), z AS (SELECT DISTINCT col, unnest([0.5, 2.25, 3.5, 6.75, 9.0])::DOUBLE AS height FROM c),
+    a AS (SELECT z.col, z.height, max(lo.k) AS below, min(hi.k) AS above FROM z LEFT JOIN c lo ON lo.col = z.col AND lo.k <= z.height LEFT JOIN c hi ON hi.col = z.col AND hi.k >= z.height GROUP BY ALL),
+    b AS (SELECT a.col, a.height, coalesce(below, above) AS below, coalesce(above, below) AS above FROM a)
+    SELECT b.col, b.height, round(p.price + CASE WHEN above > below THEN (b.height - below) / (above - below) * (q.price - p.price) ELSE 0 END, 4) AS price FROM b JOIN c p ON p.col = b.col AND p.k = below JOIN c q ON q.col = b.col AND q.k = above""",
+    "cells",
+)
+def profile_levels(spark, sf_dir):
+    """Columns of cells brought to other heights."""
+    c = cells(spark, sf_dir).groupBy((F.col("i") * 100 + F.col("j")).alias("col"), F.col("k").cast("double").alias("height")).agg(F.avg("price").alias("price"))
+    return rounded(channels.on_levels(c, [0.5, 2.25, 3.5, 6.75, 9.0], ["price"], "col"), 4, "price")
+
+
 @query("SELECT id, lon, lat, CASE WHEN lat > 0 THEN v * 2 ELSE v END AS v FROM nodes", "nodes")
 def masked_update(spark, sf_dir):
     return Grid(nodes(spark, sf_dir), ("id",)).update_where(F.col("lat") > 0, v=F.col("v") * 2).df
@@ -232,6 +270,18 @@ def box_overlap_average(spark, sf_dir):
     return rounded(remap.box_samples(_spots(spark, sf_dir), field(spark, sf_dir), 1.0, 1.0, 40, 25, ["v"]), 6, "v")
 
 
+@query(
+    f"""SELECT dst, round(sum(ox * oy * v), 6) AS v FROM (
+    SELECT dst, v, least(x + 0.5, ci + 0.5) - greatest(x - 0.5, ci - 0.5) AS ox, least(y + 0.5, cj + 0.5) - greatest(y - 0.5, cj - 0.5) AS oy
+    FROM ({_SPOTS}) p, range(-5, 50) a(ci), range(-5, 35) b(cj), field f
+    WHERE f.i = greatest(0, least(39, ci)) AND f.j = greatest(0, least(24, cj)) AND ci BETWEEN x - 2 AND x + 2 AND cj BETWEEN y - 2 AND y + 2) WHERE ox > 0 AND oy > 0 GROUP BY dst""",
+    "stations", "field",
+)
+def refinement_boundary(spark, sf_dir):
+    """A finer grid's points take means over the coarser grid's cell size."""
+    return rounded(remap.from_parent(_spots(spark, sf_dir).select("dst", "x", "y"), field(spark, sf_dir), 0.25, 1.0, 1.0, 40, 25, ["v"]), 6, "v")
+
+
 @query(
     f"""SELECT dst, round(sum(w * v), 6) AS v FROM (SELECT dst, v, (1 - abs(x - i)) * (1 - abs(y - j)) AS w FROM ({_SPOTS}) p JOIN field ON abs(x - i) < 1 AND abs(y - j) < 1) GROUP BY dst""",
     "stations", "field",
@@ -414,6 +464,17 @@ def gaussian_high_pass(spark, sf_dir):
     return rounded(stencils.high_pass(field(spark, sf_dir), "v", 1.0, 0.0).select("i", "j", "v"), 6, "v")
 
 
+@query(
+    """WITH k AS (SELECT unnest(range(-3, 4)) AS d), m AS (SELECT a.i, a.j, sum(exp(-d * d / (2 * 0.75 * 0.75)) * b.v) / sum(exp(-d * d / (2 * 0.75 * 0.75))) AS v FROM field a, k, field b
+      WHERE b.i = a.i AND b.j = CASE WHEN a.j + d < 0 THEN -1 - a.j - d WHEN a.j + d > 24 THEN 49 - a.j - d ELSE a.j + d END GROUP BY a.i, a.j)
+    SELECT f.i, f.j, round(f.v - m.v, 6) AS v FROM field f JOIN m USING (i, j)""",
+    "field",
+)
+def high_pass_waves(spark, sf_dir):
+    """Meridional waves of up to 1.5 degrees on a grid of a quarter degree."""
+    return rounded(stencils.high_pass_waves(field(spark, sf_dir), "v", 0.0, 1.5, 0.25).select("i", "j", "v"), 6, "v")
+
+
 # ---- longitudes
 
 

@@ -113,6 +113,37 @@ def netcdf_attributes(path: str, name: str | None = None) -> dict[str, str | lis
     return head.attributes if name is None else head.variables[name]
 
 
+def read_sea_level(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, fill: bool = False) -> DataFrame:
+    """Sea level anomalies in cm of gridded altimetry files: rows (file, i, j, lon, lat, sla), null on land.
+
+    Files are of the newer layout (sla on time, lat, lon in m) or the older one (Grid_0001 on longitudes and latitudes in cm); each file's header tells. ``box`` (west, east, south, north) may cross
+    the meridian where a file's longitudes begin: longitudes then rise through it. ``fill`` gives land the mean of its nearest sea points.
+    """
+    out = None
+    for new in (True, False):
+        files = [f for f, _ in arrays.found(path) if ("sla" in arrays.netcdf_header(f).arrays) == new]
+        if not files:
+            continue
+        name, dims, coordinates, scale = ("sla", ["time", "lat", "lon"], ["lon", "lat"], 100.0) if new else ("Grid_0001", ["NbLongitudes", "NbLatitudes"], ["NbLongitudes", "NbLatitudes"], 1.0)
+        layouts = [(f, [(head := arrays.netcdf_header(f).arrays)[name], *[head[c] for c in coordinates]]) for f in files]
+        df = arrays.read_arrays(spark, layouts, dims, {"time": (0, 1)} if new else None, coordinates)
+        part = df.select("file", F.col(dims[-1 if new else 0]).alias("i"), F.col(dims[-2 if new else 1]).alias("j"), F.col(f"{coordinates[0]}_at").alias("lon"), F.col(f"{coordinates[1]}_at").alias("lat"), (F.col(name) * scale).alias("sla"))
+        out = part if out is None else out.unionByName(part)
+    if box is not None:
+        west, east, south, north = box
+        out = stitch_meridian(out.where(F.col("lat").between(south, north)), west, east)
+    if fill:
+        from ..operators.nearest import fill_nearest
+
+        named = out.withColumn("id", F.xxhash64("file", "i", "j"))
+        filled = None
+        for (file,) in out.select("file").distinct().collect():  # a snapshot each
+            one = fill_nearest(named.where(F.col("file") == file).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "sla"), "sla").select("id", F.col("sla").alias("made"))
+            filled = one if filled is None else filled.union(one)
+        out = named.join(filled, "id").select("file", "i", "j", "lon", "lat", F.col("made").alias("sla")) if filled is not None else out
+    return units.with_unit(out, "sla", units.cm)
+
+
 def read_ocean_model(spark: SparkSession, path: str, record: int, level: int | None = None) -> DataFrame:
     """One record of a regional ocean model's history file: rows (file, j, i, zeta), or with ``level`` rows (file, j, i, temp, salt, u, v) at that level.
 
