@@ -133,16 +133,16 @@ def link_by_ordinal(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT i * 100 + j AS col, k, avg(price) AS price FROM cells GROUP BY ALL), z AS (SELECT DISTINCT col, unnest([0.5, 2.25, 3.5, 6.75, 9.0])::DOUBLE AS height FROM c),
+    """WITH c AS (SELECT i * 100 + j AS col, k, avg(price) AS price FROM cells GROUP BY ALL), z AS (SELECT DISTINCT col, unnest([0.5, 2.3, 3.7, 6.9, 9.0])::DOUBLE AS height FROM c),
     a AS (SELECT z.col, z.height, max(lo.k) AS below, min(hi.k) AS above FROM z LEFT JOIN c lo ON lo.col = z.col AND lo.k <= z.height LEFT JOIN c hi ON hi.col = z.col AND hi.k >= z.height GROUP BY ALL),
     b AS (SELECT a.col, a.height, coalesce(below, above) AS below, coalesce(above, below) AS above FROM a)
-    SELECT b.col, b.height, round(p.price + CASE WHEN above > below THEN (b.height - below) / (above - below) * (q.price - p.price) ELSE 0 END, 4) AS price FROM b JOIN c p ON p.col = b.col AND p.k = below JOIN c q ON q.col = b.col AND q.k = above""",
+    SELECT b.col, b.height, round(p.price + CASE WHEN above > below THEN (b.height - below) / (above - below) * (q.price - p.price) ELSE 0 END, 7) AS price FROM b JOIN c p ON p.col = b.col AND p.k = below JOIN c q ON q.col = b.col AND q.k = above""",
     "cells",
 )
 def profile_levels(spark, sf_dir):
     """Columns of cells brought to other heights."""
     c = cells(spark, sf_dir).groupBy((F.col("i") * 100 + F.col("j")).alias("col"), F.col("k").cast("double").alias("height")).agg(F.avg("price").alias("price"))
-    return rounded(channels.on_levels(c, [0.5, 2.25, 3.5, 6.75, 9.0], ["price"], "col"), 4, "price")
+    return rounded(channels.on_levels(c, [0.5, 2.3, 3.7, 6.9, 9.0], ["price"], "col"), 7, "price")
 
 
 @query("SELECT id, lon, lat, CASE WHEN lat > 0 THEN v * 2 ELSE v END AS v FROM nodes", "nodes")
@@ -465,8 +465,8 @@ def gaussian_high_pass(spark, sf_dir):
 
 
 @query(
-    """WITH k AS (SELECT unnest(range(-3, 4)) AS d), m AS (SELECT a.i, a.j, sum(exp(-d * d / (2 * 0.75 * 0.75)) * b.v) / sum(exp(-d * d / (2 * 0.75 * 0.75))) AS v FROM field a, k, field b
-      WHERE b.i = a.i AND b.j = CASE WHEN a.j + d < 0 THEN -1 - a.j - d WHEN a.j + d > 24 THEN 49 - a.j - d ELSE a.j + d END GROUP BY a.i, a.j)
+    """WITH k AS (SELECT unnest(range(-3, 4)) AS d), e AS (SELECT max(j) AS n FROM field), m AS (SELECT a.i, a.j, sum(exp(-d * d / (2 * 0.75 * 0.75)) * b.v) / sum(exp(-d * d / (2 * 0.75 * 0.75))) AS v FROM field a, k, e, field b
+      WHERE b.i = a.i AND b.j = CASE WHEN a.j + d < 0 THEN -1 - a.j - d WHEN a.j + d > n THEN 2 * n + 1 - a.j - d ELSE a.j + d END GROUP BY a.i, a.j)
     SELECT f.i, f.j, round(f.v - m.v, 6) AS v FROM field f JOIN m USING (i, j)""",
     "field",
 )
