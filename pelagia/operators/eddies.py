@@ -148,22 +148,16 @@ def in_ellipse(x, y, x0, y0, east, north, west):
     return F.pow((x - x0) / a, F.lit(2.0)) + F.pow((y - y0) / north, F.lit(2.0)) <= 1
 
 
-def candidates(eddies: DataFrame, step_days: float, east_m: float = 150e3, north_m: float = 150e3, deformation_km: float | None = 40.0, time: str = "snapshot", cell_deg: float = 4.0) -> DataFrame:
+def candidates(eddies: DataFrame, step_days: float, east_m: float = 150e3, north_m: float = 150e3, deformation_km: float | None = 40.0, time: str = "snapshot") -> DataFrame:
     """Pairs (sign, time, old, new, distance, dx): eddies of a sign in consecutive snapshots (integers) that may be one.
 
     They are within 200 km and in the search ellipse, whose west half is 1.75 times the way of a long wave in ``step_days``, at
-    least half the north axis. Eddies meet in bins of ``cell_deg`` of latitude and of longitude at their latitude.
+    least half the north axis. Eddies meet in bins of the range's size.
     """
-    binned = eddies.select(time, "sign", "eddy", "lon", "lat", "amplitude", "radius_e").withColumn("by", F.floor(F.col("lat") / cell_deg)).where("lat is not null")
-    turn = F.pmod("lon", F.lit(360.0))
-    # columns of a row of bins: as many as fit at its widest latitude, cyclic
-    n_cols = lambda row: F.greatest(F.lit(1), F.floor(360.0 / (F.lit(cell_deg) / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(row * cell_deg), F.abs((row + 1) * cell_deg))))), F.lit(0.02)))))
-    col = lambda row: F.floor(turn * n_cols(row) / 360.0)
-    new = binned.withColumn("bx", col(F.col("by"))).select(time, "sign", "by", "bx", *[F.col(c).alias(f"new_{c}") for c in ("eddy", "lon", "lat", "amplitude", "radius_e")])
-    near = F.explode(F.array(*[F.col("by") + k for k in (-1, 0, 1)]))
-    old = binned.withColumn("by", near).withColumn("bx", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(col(F.col("by")) + k, n_cols(F.col("by")))))))
-    old = old.select((F.col(time) + 1).alias(time), "sign", "by", "bx", *[F.col(c).alias(f"old_{c}") for c in ("eddy", "lon", "lat", "amplitude", "radius_e")])
-    pairs = old.join(new, [time, "sign", "by", "bx"]).withColumn("distance", haversine("old_lat", "old_lon", "new_lat", "new_lon", EDDY_EARTH_M)).where(F.col("distance") <= RANGE_M)
+    named = eddies.where("lat is not null and lon is not null")
+    side = lambda name, t, x, y: named.select(t.alias(time), "sign", *[F.col(c).alias(f"{name}_{c}") for c in ("eddy", "lon", "lat", "amplitude", "radius_e")], F.col("lon").alias(x), F.col("lat").alias(y))
+    old, new = side("old", F.col(time) + 1, "ax", "ay"), side("new", F.col(time), "bx", "by")
+    pairs = pairs_within(old, new, haversine("ay", "ax", "by", "bx", EDDY_EARTH_M), RANGE_M, EDDY_EARTH_M, [time, "sign"])
     shift = F.col("old_lon") + F.pmod(F.col("new_lon") - F.col("old_lon") + 180.0, F.lit(360.0)) - 180.0
     (x0, y0), (x, y) = mercator("old_lat", "old_lon"), mercator(F.col("new_lat"), shift)
     scale = F.cos(F.radians("old_lat"))

@@ -18,7 +18,7 @@ from ..functions.geo import EARTH_KM
 from ..staging import staged
 
 #: Points of a leaf and children of a node, as powers of two.
-LEAF_BITS, FAN_BITS = 6, 4
+LEAF_BITS, FAN_BITS = 4, 4
 #: Bits of each coordinate in the order of points; bits of a row's number in :func:`pyspark.sql.functions.monotonically_increasing_id`.
 CURVE_BITS, ROW_BITS = 31, 33
 #: Nodes of a level that are broadcast at most (about 60 bytes each); larger levels are joined by shuffle.
@@ -32,45 +32,50 @@ def _apart(x: Column) -> Column:
     return x
 
 
-def _tree(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Points (p, px, py, leaf), and levels of nodes (node, x1, x2, y1, y2, n) from the top, of at most 2 ** ``FAN_BITS`` nodes, to the leaves; ids of a level are those of the next one without their last ``FAN_BITS`` bits."""
+def _tree(points: DataFrame, most_of_a_place: int = 1 << 30) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
+    """Points (p, px, py, leaf), and levels of nodes (node, x1, x2, y1, y2, n), each with the most nodes that it can have, from the top, of at most 2 ** ``FAN_BITS`` nodes, to the leaves.
+
+    Ids of a level are those of the next one without their last ``FAN_BITS`` bits. Of points at one place at most ``most_of_a_place`` are kept.
+    """
     x1, x2, y1, y2, n = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count("*")).first()
     size = max((x2 or 0.0) - (x1 or 0.0), (y2 or 0.0) - (y1 or 0.0)) or 1.0
     at = lambda c, low: F.least(F.floor((F.col(c) - (low or 0.0)) / size * (1 << CURVE_BITS)), F.lit((1 << CURVE_BITS) - 1)).cast("long")
     curve = _apart(at("px", x1)).bitwiseOR(F.shiftleft(_apart(at("py", y1)), 1))
     tasks = max(1, min(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), n >> 12))
-    rows = points.withColumn("__z", curve).repartitionByRange(tasks, "__z", "p").sortWithinPartitions("__z", "p")
+    if most_of_a_place < n:
+        place = Window.partitionBy("px", "py").orderBy("p")
+        points = points.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= most_of_a_place)
+    rows = points.select("p", "px", "py", curve.alias("__z"))
+    rows = (rows.repartitionByRange(tasks, "__z", "p") if tasks > 1 else rows.coalesce(1)).sortWithinPartitions("__z", "p")
     rows = staged(rows.select("p", "px", "py", F.monotonically_increasing_id().alias("row")), "curve")
-    longest = rows.agg(F.max(F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))).first()[0] or 0
+    longest = rows.agg(F.max(F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))).first()[0] or 0 if tasks > 1 else max(0, n - 1)
     # a leaf's number: its task's number, then its place among the task's leaves in as many bits as the longest has
     bits = max(0, longest >> LEAF_BITS).bit_length()
     place = F.shiftright(F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)), LEAF_BITS)
     rows = rows.select("p", "px", "py", F.shiftleft(F.shiftright("row", ROW_BITS), bits).bitwiseOR(place).alias("leaf"))
     bounds = [F.min("px").alias("x1"), F.max("px").alias("x2"), F.min("py").alias("y1"), F.max("py").alias("y2"), F.count("*").alias("n")]
-    leaves = staged(rows.groupBy(F.col("leaf").alias("node")).agg(*bounds), "leaves")
-    above = [F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.sum("n").alias("n")]
+    leaves = rows.groupBy(F.col("leaf").alias("node")).agg(*bounds)
     height = max(0, -(-(bits + (tasks - 1).bit_length() - FAN_BITS) // FAN_BITS))
-    levels = [leaves.groupBy(F.shiftright("node", FAN_BITS * k).alias("node")).agg(*above) for k in range(height, 0, -1)]
-    return rows, [*levels, leaves]
+    leaves = staged(leaves, "leaves") if height > 1 else leaves
+    above = [F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.sum("n").alias("n")]
+    levels = [(leaves.groupBy(F.shiftright("node", FAN_BITS * k).alias("node")).agg(*above) if k else leaves, (n >> (LEAF_BITS + FAN_BITS * k)) + 2 * tasks) for k in range(height, -1, -1)]
+    return rows, levels
 
 
 def k_nearest(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
     """Rows (q, p, d2, rank): the k nearest ``points`` (p, x, y) of each of ``queries`` (q, x, y) by squared distance, ties
-    by smaller p. Queries have fewer rows only where there are fewer points. Null positions are left out; points and queries at one place are folded.
+    by smaller p. Queries have fewer rows only where there are fewer points. Null positions are left out; points and queries at one place are folded. Jobs over the points run while this is called.
     """
     usable = "x is not null and y is not null and not isnan(x) and not isnan(y)"
     # at most k points of a place can count
-    place = Window.partitionBy("x", "y").orderBy("p")
-    points = points.where(usable).select("p", "x", "y").withColumn("n", F.row_number().over(place)).where(F.col("n") <= k)
-    points, levels = _tree(staged(points.select("p", F.col("x").alias("px"), F.col("y").alias("py")), "points"))
+    points, levels = _tree(points.where(usable).select("p", F.col("x").alias("px"), F.col("y").alias("py")), k)
     asked = queries.where(usable).select("q", "x", "y")
-    sizes = [level.count() for level in levels[1:]]
-    top = [tuple(r) for r in levels[0].select("node", "x1", "x2", "y1", "y2", "n").collect()]  # at most 2 ** FAN_BITS rows
     names = ("node", "x1", "x2", "y1", "y2", "n")
+    top = [tuple(r) for r in levels[0][0].select(*names).collect()]  # at most 2 ** FAN_BITS rows
     first = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, r, strict=True)]) for r in top]) if top else F.array().cast("array<struct<node:bigint,x1:double,x2:double,y1:double,y2:double,n:bigint>>")
     met = asked.select("x", "y").distinct().withColumn("b", F.explode(first)).select("x", "y", "b.*")
     met = _able(met, k)
-    for level, size in zip(levels[1:], sizes, strict=True):
+    for level, size in levels[1:]:
         children = level.withColumn("up", F.shiftright("node", FAN_BITS))
         children = F.broadcast(children) if size <= BROADCAST_NODES else children
         met = _able(met.withColumnRenamed("node", "up").join(children, "up").drop("up"), k)

@@ -35,12 +35,14 @@ def test_few_leaves_are_met_by_each_query(spark):
     asked = np.concatenate([points[::400] + 1e-4, np.random.default_rng(2).uniform(-1000, 1000, (100, 2))])
     p = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(points)], "p long, px double, py double")
     tree, levels = nearest._tree(p)
-    assert levels[0].count() <= 16 and levels[-1].count() >= 40_000 / 64 and tree.count() == len(points)
+    counts = [level.count() for level, _ in levels]
+    assert counts[0] <= 16 and counts[-1] >= 40_000 / 64 and tree.count() == len(points)
+    assert all(n <= most for n, (_, most) in zip(counts, levels, strict=True))
     q = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(asked)], "q long, x double, y double")
     plan = nearest.k_nearest(q, p.withColumnsRenamed({"px": "x", "py": "y"}), 1)
     assert plan.count() == len(asked)
     # walked by hand: leaves that are left for each query
-    leaves = levels[-1].toPandas()
+    leaves = levels[-1][0].toPandas()
     met = 0
     for x, y in asked:
         near = np.maximum(np.maximum(leaves.x1 - x, x - leaves.x2), 0) ** 2 + np.maximum(np.maximum(leaves.y1 - y, y - leaves.y2), 0) ** 2
