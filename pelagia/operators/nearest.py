@@ -23,6 +23,8 @@ LEAF_BITS, FAN_BITS = 4, 4
 CURVE_BITS, ROW_BITS = 31, 33
 #: Nodes of a level that are broadcast at most (about 60 bytes each); larger levels are joined by shuffle.
 BROADCAST_NODES = 200_000
+#: Rows of one place that :func:`pairs_within` keeps in one list, and pairs of rows that it compares in a block, about.
+PLACE_ROWS, BLOCK_PAIRS = 256, 1 << 22
 
 
 def _apart(x: Column) -> Column:
@@ -122,21 +124,41 @@ def fill_nearest(cells: DataFrame, value: str, k: int = 4) -> DataFrame:
     return cells.join(made, "id", "left").withColumn(value, F.coalesce(value, "__made")).drop("__made")
 
 
-def pairs_within(a: DataFrame, b: DataFrame, distance: Column, limit: float, radius: float = EARTH_KM, keys: Sequence[str] = ()) -> DataFrame:
+def _at_places(df: DataFrame, place: Sequence[str], name: str) -> DataFrame:
+    """``df`` with a row for each place and at most ``PLACE_ROWS`` of its rows: the other columns are a list of structs."""
+    others = [c for c in df.columns if c not in place]
+    number = F.row_number().over(Window.partitionBy(*place).orderBy(*place))
+    rows = df.withColumn("__n", F.floor((number - 1) / PLACE_ROWS))
+    return rows.groupBy(*place, "__n").agg(F.collect_list(F.struct(*others) if others else F.struct(F.lit(0).alias("__0"))).alias(name))
+
+
+def pairs_within(a: DataFrame, b: DataFrame, distance: Column, limit: float, radius: float = EARTH_KM, keys: Sequence[str] = (), also: Column | None = None) -> DataFrame:
     """Pairs of rows (keys..., a_id, ax, ay) and (keys..., b_id, bx, by) of equal ``keys`` whose ``distance`` is at most ``limit``.
 
-    x is a longitude of any turn and y a latitude, in degrees; ``distance`` and ``limit`` are on the sphere of ``radius``. Rows of
-    bins are as high as the limit. Each has as many columns, cyclic, as are as wide as a pair can reach at the row's widest
-    latitude, and one column if a pole may be in reach.
+    x is a longitude of any turn and y a latitude, in degrees; ``distance`` and ``limit`` are on the sphere of ``radius``; ``distance`` and the condition
+    ``also`` are of ax, ay, bx and by and are computed once for two places. Rows of bins are as high as the limit. Each has as many columns, cyclic, as are as wide as a pair can reach
+    at the row's widest latitude, and one column if a pole may be in reach. Bins of many pairs are dealt into blocks, so that tasks share them. Neither side is broadcast.
     """
+    keys = list(keys)
     high = math.degrees(limit / radius) * (1 + 1e-6)
     top = lambda row: F.greatest(F.abs(row * high), F.abs((row + 1) * high))
     # longitudes differ by at most asin(sin(reach) / cos(lat)), if no pole is in reach of either end
     wide = lambda row: F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(min(high, 90.0))) / F.cos(F.radians(F.least(top(row), F.lit(89.0)))))))
     n_cols = lambda row: F.when(top(row) + high >= 89, F.lit(1)).otherwise(F.floor(360.0 / wide(row)))
     col = lambda x, row: F.least(F.floor(F.pmod(x, F.lit(360.0)) * n_cols(row) / 360.0), n_cols(row) - 1)
-    near, row = F.array(F.lit(-1), F.lit(0), F.lit(1)), F.col("__y")
-    left = a.withColumn("__y", F.explode(F.transform(near, lambda k: F.floor(F.col("ay") / high) + k)))
+    near, row, bin_ = F.array(F.lit(-1), F.lit(0), F.lit(1)), F.col("__y"), [*keys, "__x", "__y"]
+    left = _at_places(a, [*keys, "ax", "ay"], "__a").withColumn("__y", F.explode(F.transform(near, lambda k: F.floor(F.col("ay") / high) + k)))
     left = left.withColumn("__x", F.explode(F.array_distinct(F.transform(near, lambda k: F.pmod(col(F.col("ax"), row) + k, n_cols(row))))))
-    right = b.withColumn("__y", F.floor(F.col("by") / high)).withColumn("__x", col(F.col("bx"), row))
-    return left.join(right, [*keys, "__x", "__y"]).drop("__x", "__y").withColumn("distance", distance).where(F.col("distance") <= limit)
+    right = _at_places(b, [*keys, "bx", "by"], "__b").withColumn("__y", F.floor(F.col("by") / high)).withColumn("__x", col(F.col("bx"), row))
+    # a bin with more than BLOCK_PAIRS pairs of rows: at most one for so many pairs, so these few are broadcast
+    size = lambda df, c: df.groupBy(*bin_).agg(F.sum(F.size(c).cast("double")).alias(f"{c}_n"))
+    full = size(left, "__a").join(size(right, "__b").hint("merge"), bin_).select(*bin_, F.ceil(F.col("__a_n") * F.col("__b_n") / BLOCK_PAIRS).alias("__blocks")).where("__blocks > 1")
+    dealt = lambda df: df.join(F.broadcast(full), bin_, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    left = dealt(left).withColumn("__block", F.pmod(F.xxhash64("ax", "ay", "__n"), F.col("__blocks"))).drop("__blocks", "__n")
+    right = dealt(right).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).drop("__blocks", "__n")
+    met = left.join(right.hint("merge"), [*bin_, "__block"]).withColumn("distance", distance).where(F.col("distance") <= limit)
+    met = met if also is None else met.where(also)
+    place = [*keys, "ax", "ay", "bx", "by", "distance"]
+    met = met.select(*place, "__b", F.explode("__a").alias("__a")).select(*place, "__a", F.explode("__b").alias("__b"))
+    side = lambda df, name, own: [F.col(c) if c in own else F.col(f"{name}.{c}").alias(c) for c in df.columns if c not in keys]
+    return met.select(*keys, *side(a, "__a", ("ax", "ay")), *side(b, "__b", ("bx", "by")), "distance")
