@@ -200,7 +200,7 @@ _GREEDY = """opts AS (SELECT sign, snapshot, old, list(new ORDER BY dx, new) AS
 def eddy_tracks(spark, sf_dir):
     """Eddies with the tracks that greedy matching gives, named by their first eddy."""
     e = eddies(spark, sf_dir)
-    found = ed.track(e, ed.assign(ed.candidates(e, 7.0)), 2)
+    found = ed.track(e, ed.matches(e, 7.0), 2)
     first = F.min(F.struct("snapshot", "eddy")).over(Window.partitionBy("track"))
     return found.withColumn("first", first).select("sign", "snapshot", "eddy", F.col("first.snapshot").alias("first_snapshot"), F.col("first.eddy").alias("first_eddy"), "n", "length")
 

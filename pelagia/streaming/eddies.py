@@ -117,7 +117,7 @@ class EddyStream:
         old = live.where((F.col("last") == t - 1) & F.lit(before == t - 1))
         shape = ["sign", "eddy", "lon", "lat", "amplitude", "radius_e"]
         both = old.select(F.lit(t - 1).alias("snapshot"), *shape).union(now.select(F.lit(t).alias("snapshot"), *shape))
-        links = ed.assign(ed.candidates(both, self.step_days, self.east_m, self.north_m, self.deformation_km)).select("sign", F.col("old").alias("was"), F.col("new").alias("eddy"))
+        links = ed.matches(both, self.step_days, self.east_m, self.north_m, self.deformation_km).select("sign", F.col("old").alias("was"), F.col("new").alias("eddy"))
         known = old.select("sign", F.col("eddy").alias("was"), "track", "first", F.col("n").alias("n_before"))
         born = F.xxhash64("sign", F.lit(t).cast("int"), "eddy")
         named = now.join(links.join(known, ["sign", "was"]), ["sign", "eddy"], "left").select(
