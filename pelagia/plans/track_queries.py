@@ -182,7 +182,7 @@ def eddy_candidates(spark, sf_dir):
 
 @query(f"{_PAIRS} SELECT sign, snapshot, old, new, round(distance, 2) AS distance, round(dx, 5) AS dx FROM near QUALIFY row_number() OVER (PARTITION BY sign, snapshot, old ORDER BY dx, new) = 1", "eddies")
 def similarity_best_match(spark, sf_dir):
-    return rounded(rounded(ed.best_by_similarity(ed.candidates(eddies(spark, sf_dir), 7.0)), 2, "distance"), 5, "dx")
+    return rounded(rounded(ed.best_matches(eddies(spark, sf_dir), 7.0), 2, "distance"), 5, "dx")
 
 
 #: Greedy matching in order of the old eddies, and tracks from their first eddy on.
