@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,16 +78,21 @@ class DisplacedPole:
         centre less its radius falls with the radius, so halving the interval from 0 to 1 finds it.
         """
         lat, lon = _c(lat), _c(lon)
-        far, angle = self._radius(lat), self._from_axis(lon)
-        x, y = far * F.cos(angle), far * F.sin(angle)
 
-        def halved(ends: Column, _: Column) -> Column:
-            middle = (ends["low"] + ends["high"]) / 2
-            beyond = F.hypot(x - self._centre(middle), y) > middle
-            return F.struct(F.when(beyond, middle).otherwise(ends["low"]).alias("low"), F.when(beyond, ends["high"]).otherwise(middle).alias("high"))
+        @F.pandas_udf("double")
+        def circle(x: pd.Series, y: pd.Series) -> pd.Series:
+            """Halves the interval for all rows of a batch at once."""
+            x, y = x.to_numpy(float), y.to_numpy(float)
+            low, high = np.zeros(len(x)), np.ones(len(x))
+            for _ in range(_HALVINGS):
+                middle = (low + high) / 2
+                beyond = np.hypot(x - self.shift * (1 - middle) ** self.power, y) > middle
+                low, high = np.where(beyond, middle, low), np.where(beyond, high, middle)
+            return pd.Series(high)
 
-        start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-        r = F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), start, halved)["high"]
+        far, angle = self._radius(lat), self._from_axis(lon)
+        x, y = far * F.cos(angle), far * F.sin(angle)
+        r = circle(x, y)
         angle = self._turned(F.atan2(y, x - self._centre(r)), 1 / self._stretch(r))
         moved = lat > self.join_lat
         return F.when(moved, self._latitude(r)).otherwise(lat), F.when(moved, self._longitude(angle)).otherwise(lon)

@@ -65,3 +65,18 @@ def test_altimetry_of_both_layouts(spark, tmp_path):
     assert sorted({r["lon"] for r in over.collect()}) == [-60.0, 0.0, 60.0] and {r["lat"] for r in over.collect()} == {0.0, 30.0}
     filled = {(r["i"], r["j"]): r["sla"] for r in fields.read_sea_level(spark, str(tmp_path / "*.nc"), fill=True).where("file like '%old.nc'").collect()}
     assert filled[2, 1] == pytest.approx((2 + 14) / 2)
+
+
+@pytest.mark.parametrize("centre", ["linear", "parabolic", "cubic"])
+def test_displaced_pole_there_and_back(spark, centre):
+    from pelagia.functions.poles import DisplacedPole
+
+    pole = DisplacedPole(centre=centre)
+    grid = pole.grid(spark, 13, 17, -90.0, 89.0, -180.0, 180.0)
+    lat, lon = pole.backward("lat", "lon")
+    back = grid.select("grid_lat", "grid_lon", lat.alias("back_lat"), lon.alias("back_lon"))
+    # the interval is halved for whole batches: steps of a lambda are interpreted, row by row
+    assert "lambdafunction" not in back._jdf.queryExecution().optimizedPlan().toString()
+    for r in back.collect():
+        assert r["back_lat"] == pytest.approx(r["grid_lat"], abs=1e-7)
+        assert (r["back_lon"] - r["grid_lon"] + 180) % 360 - 180 == pytest.approx(0, abs=1e-6)
