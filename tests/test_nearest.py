@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pelagia.functions.geo import haversine
 from pelagia.operators import nearest
 
 
@@ -57,3 +58,18 @@ def test_fewer_points_than_asked_for(spark):
     q = spark.createDataFrame([(1, 1.0, 0.0), (2, None, 0.0), (3, float("nan"), 0.0), (4, 1.0, 0.0)], "q long, x double, y double")
     assert sorted(tuple(r) for r in nearest.k_nearest(q, p, 3).collect()) == [(1, 1, 1.0, 1), (1, 2, 1.0, 2), (4, 1, 1.0, 1), (4, 2, 1.0, 2)]
     assert nearest.k_nearest(q.limit(0), p, 2).count() == 0 and nearest.nearest(q, p.limit(0)).count() == 0
+
+
+def test_pairs_of_a_full_bin_are_shared_by_tasks(spark, monkeypatch):
+    # all rows about a pole are in one bin; some places have many rows
+    monkeypatch.setattr(nearest, "BLOCK_PAIRS", 500)
+    monkeypatch.setattr(nearest, "PLACE_ROWS", 4)
+    rows = spark.range(300).selectExpr("id", "cast(id * 7 % 90 * 4 as double) x", "89.0 - id * 7 % 90 % 5 y")
+    a, b = rows.selectExpr("id a", "x ax", "y ay"), rows.selectExpr("id b", "x bx", "y by")
+    d = haversine("ay", "ax", "by", "bx")
+    found = nearest.pairs_within(a, b, d, 300.0)
+    want = a.crossJoin(b).where(d <= 300.0).select("a", "b")
+    assert found.columns == ["a", "ax", "ay", "b", "bx", "by", "distance"]
+    assert sorted(tuple(r) for r in found.select("a", "b").collect()) == sorted(tuple(r) for r in want.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__block" in plan and plan.count("__blocks") > 1
