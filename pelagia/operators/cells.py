@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import _c
+from ..staging import staged
 
 #: Squares of a face are halved at most so often.
 DEEPEST = 28
@@ -44,7 +45,7 @@ def of_corner_columns(df: DataFrame, key: str, xs: Sequence[str], ys: Sequence[s
 def of_mesh(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """Cells (id, corners) of a mesh: nodes (node, x, y), triangles (elem, n1, n2, n3)."""
     at = elements.select("elem", F.posexplode(F.array("n1", "n2", "n3")).alias("k", "node"))
-    ends = at.join(nodes.select("node", "x", "y"), "node")
+    ends = at.join(nodes.select("node", "x", "y").hint("merge"), "node")  # nodes are many rows in few bytes: not broadcast
     corners = F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))
     return ends.groupBy(F.col("elem").alias("id")).agg(corners.alias("corners"))
 
@@ -243,23 +244,39 @@ def _overlaps(sphere: bool):
     return run
 
 
+def _bounds(cells: DataFrame) -> tuple[float | None, ...]:
+    """Least and largest x and y of all corners in the plane."""
+    corner = cells.select(F.explode("corners").alias("c")).select("c.*")
+    x, y = corner.columns
+    return tuple(corner.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first())
+
+
+def _meeting(cells: DataFrame, bounds: tuple[float | None, ...], gap: float = 0.0) -> DataFrame:
+    """Cells whose ranges of x and y come within ``gap`` of the bounds; none without bounds."""
+    if any(x is None for x in bounds):
+        return cells.where("false")
+    x, y = (F.col("corners")[c] for c in cells.schema["corners"].dataType.elementType.names)  # arrays
+    low_x, high_x, low_y, high_y = (F.lit(v) for v in bounds)
+    return cells.where((F.array_min(x) <= high_x + gap) & (F.array_max(x) >= low_x - gap) & (F.array_min(y) <= high_y + gap) & (F.array_max(y) >= low_y - gap))
+
+
 def overlap_links(source: DataFrame, target: DataFrame, sphere: bool = True, normalise: str = "dest") -> DataFrame:
     """Conservative links (src, dst, w1, w2, w3) of convex cells (id long, corners: array of structs of longitude and latitude in degrees, or of x and y).
 
     Edges are great circles, or straight in the plane; cells are smaller than half a sphere, corners in either sense, repeated ones allowed. w1 is the shared area
     over the destination's area (``dest``) or over what of it the source covers (``frac``). w2 and w3 go with the source's gradients
-    (northward and eastward on the unit sphere, or along x and y) about its centre of mass. Cells of fewer than three different corners have no link, null ids or corners neither.
+    (northward and eastward on the unit sphere, or along x and y) about its centre of mass. In the plane, source cells beyond the bounds of all targets are left out first. Cells of fewer than three different corners have no link, null ids or corners neither.
     """
     if normalise not in ("dest", "frac"):
         raise ValueError(f"no such normalisation: {normalise}")
     source, target = (x.select(F.col("id").cast("long").alias("id"), "corners").where("id is not null and corners is not null") for x in (source, target))
     box = (-1.0, -1.0, 2.0)
     if not sphere:
-        corner = source.select(F.explode("corners").alias("c")).union(target.select(F.explode("corners").alias("c"))).select("c.*")
-        x, y = corner.columns
-        low_x, high_x, low_y, high_y = corner.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-        box = (low_x or 0.0, low_y or 0.0, max((high_x or 0.0) - (low_x or 0.0), (high_y or 0.0) - (low_y or 0.0)) * (1 + 1e-9) or 1.0)
-    parts = [x.mapInArrow(_pieces(sphere, box), _PIECE) for x in (source, target)]
+        bounds = _bounds(target)
+        source = _meeting(source, bounds)
+        low_x, high_x, low_y, high_y = (x or 0.0 for x in bounds)
+        box = (low_x, low_y, max(high_x - low_x, high_y - low_y) * (1 + 1e-9) or 1.0)
+    parts = [staged(x.mapInArrow(_pieces(sphere, box), _PIECE), "pieces") for x in (source, target)]
     levels = [sorted(r[0] for r in x.select("level").distinct().collect()) for x in parts]  # at most DEEPEST / 2 numbers
     s, t = _in_squares(parts[0], levels[1], "s"), _in_squares(parts[1], levels[0], "t")
     both = s.join(t, ["face", "at", "qu", "qv"]).where(F.col("at") == F.least("s_level", "t_level"))
@@ -368,6 +385,11 @@ def remap(source: DataFrame, values: DataFrame, target: DataFrame, names: Sequen
     """
     from .remap import apply_links
 
+    if order == 2 and not sphere:
+        # only cells within the targets' bounds have links, and gradients there need only these and cells that touch them
+        target = staged(target.select("id", "corners"), "targets")
+        source = source.select("id", "corners")
+        source = staged(_meeting(source, _bounds(_meeting(source, _bounds(target))), 1e-8), "sources")
     links = overlap_links(source, target, sphere, normalise)
     rows = values.select(F.col("id").alias("src"), *names)
     ends = target.select(F.col("id").alias("dst"))

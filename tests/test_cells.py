@@ -132,3 +132,20 @@ def test_cells_of_meshes_and_grids(spark):
     assert cells.structured(grid, 10).first()["id"] == 12
     with pytest.raises(Exception, match="four corners"):
         cells.structured(grid.withColumn("corners", F.slice("corners", 1, 3)), 10).collect()
+
+
+def test_cells_beyond_the_targets_are_left_out(spark, monkeypatch):
+    square = lambda k, x, y, n=1.0: (k, [(x, y), (x + n, y), (x + n, y + n), (x, y + n)])
+    kind = "id long, corners array<struct<x:double,y:double>>"
+    far = spark.createDataFrame([square(100 * i + j, float(i), float(j)) for i in range(30) for j in range(30)], kind)
+    values = far.select("id", (F.floor(F.col("id") / 100) * 2.0 + F.col("id") % 100 * F.col("id") % 100).alias("v"))
+    target = spark.createDataFrame([square(0, 10.25, 20.5, 0.5), square(1, 12.5, 21.5, 1.0), square(2, -5.0, -5.0, 1.0)], kind).where("id < 2")
+    seen = []
+    staged = cells.staged
+    monkeypatch.setattr(cells, "staged", lambda df, name: seen.append((name, out := staged(df, name))) or out)
+    got = {r["dst"]: r["v"] for r in cells.remap(far, values, target, ["v"], order=2, sphere=False).collect()}
+    near = far.where("id between 800 and 1500 and id % 100 between 17 and 25")
+    want = {r["dst"]: r["v"] for r in cells.remap(near, values, target, ["v"], order=2, sphere=False).collect()}
+    assert got == pytest.approx(want) and all(v > 0 for v in got.values())
+    sizes = [df.count() for name, df in seen if name in ("sources", "pieces")]
+    assert max(sizes) < 60  # of 900 cells
