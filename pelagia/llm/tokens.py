@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 #: Entries kept in a worker's memory at once (some 150 MB together); a full table is emptied, results don't depend on it.
 MEMO_CHUNKS, MEMO_CORES = 400_000, 1_000_000
@@ -103,3 +105,14 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
+
+
+def forget() -> None:
+    """Drops this worker's vocabularies and memos and gives their memory back to the system: for tasks of other operators, as workers are used again. Results don't depend on it."""
+    if _loaded:
+        _loaded.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):
+            pass  # a system without it

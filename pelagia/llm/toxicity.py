@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..staging import staged
 from .common import small_batches
+from .tokens import forget
 
 #: Toxic texts that a feature needs at least; with fewer toxic texts nothing is learned and all scores are one.
 LEAST_TOXIC = 5
@@ -66,6 +67,7 @@ def trigram_counts(texts: list[str | None]) -> np.ndarray:
 
 
 def _count_rows(batches):
+    forget()
     for batch in batches:
         total = trigram_counts(batch.column(0).to_pylist())
         codes = np.flatnonzero(total)
@@ -252,6 +254,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _feature_counts(model: np.ndarray):
     def run(batches):
+        forget()
         reader = Reader(model)
         for batch in batches:
             seen = {0: Counter(), 1: Counter()}
@@ -265,6 +268,7 @@ def _feature_counts(model: np.ndarray):
 
 def _sparse(model: np.ndarray, wanted: dict[str, int]):
     def run(batches):
+        forget()
         reader = Reader(model, wanted)
         for batch in batches:
             rows = [sorted(reader.features(t)) for t in batch.column(0).to_pylist()]
@@ -341,6 +345,7 @@ def _scores(model: np.ndarray, weights: dict[str, float], bias: float):
     wanted = {f: k for k, f in enumerate(names)}
 
     def run(batches):
+        forget()
         reader = Reader(model, wanted)
         for batch in batches:
             scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(values[k] for k in sorted(reader.features(t))))))) for t in batch.column(1).to_pylist()]

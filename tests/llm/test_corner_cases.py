@@ -136,3 +136,14 @@ def test_chunks_that_lead_elsewhere_have_no_wanted_feature():
         if toxicity.Reader._leads_elsewhere(reader, text[:3].lower()) and len(text) <= toxicity.LONGEST:
             assert not full
     assert reader.features("bad") == {0} and reader.features("uglyish") == {4}
+
+
+def test_workers_give_back_what_encoding_held():
+    from pelagia.llm import tokens, toxicity
+
+    path = tokens.default_vocabulary()
+    first = [list(tokens.tokenizer(path).encode(["some words, and more words"]))]
+    assert tokens._loaded
+    list(toxicity._count_rows([]))  # a task of another operator in the same worker
+    assert not tokens._loaded
+    assert [list(tokens.tokenizer(path).encode(["some words, and more words"]))] == first
