@@ -24,7 +24,9 @@ CURVE_BITS, ROW_BITS = 31, 33
 #: Nodes of a level that are broadcast at most (about 60 bytes each); larger levels are joined by shuffle.
 BROADCAST_NODES = 200_000
 #: Rows of one place that :func:`pairs_within` keeps in one list, and pairs of rows that it compares in a block, about.
-PLACE_ROWS, BLOCK_PAIRS = 256, 1 << 22
+PLACE_ROWS, BLOCK_PAIRS = 256, 1 << 21
+#: Rows that a task of :func:`pairs_within` has on average at most, and the most tasks that it asks for.
+TASK_ROWS, MOST_TASKS = 200_000, 1 << 14
 
 
 def _apart(x: Column) -> Column:
@@ -137,7 +139,8 @@ def pairs_within(a: DataFrame, b: DataFrame, distance: Column, limit: float, rad
 
     x is a longitude of any turn and y a latitude, in degrees; ``distance`` and ``limit`` are on the sphere of ``radius``; ``distance`` and the condition
     ``also`` are of ax, ay, bx and by and are computed once for two places. Rows of bins are as high as the limit. Each has as many columns, cyclic, as are as wide as a pair can reach
-    at the row's widest latitude, and one column if a pole may be in reach. Bins of many pairs are dealt into blocks, so that tasks share them. Neither side is broadcast.
+    at the row's widest latitude, and one column if a pole may be in reach. Bins of many pairs are dealt into blocks; pairs are counted first, and there are as many tasks as
+    these counts ask for, since bytes say little of the work. Neither side is broadcast. A job over both sides runs while this is called.
     """
     keys = list(keys)
     high = math.degrees(limit / radius) * (1 + 1e-6)
@@ -147,15 +150,21 @@ def pairs_within(a: DataFrame, b: DataFrame, distance: Column, limit: float, rad
     n_cols = lambda row: F.when(top(row) + high >= 89, F.lit(1)).otherwise(F.floor(360.0 / wide(row)))
     col = lambda x, row: F.least(F.floor(F.pmod(x, F.lit(360.0)) * n_cols(row) / 360.0), n_cols(row) - 1)
     near, row, bin_ = F.array(F.lit(-1), F.lit(0), F.lit(1)), F.col("__y"), [*keys, "__x", "__y"]
-    left = _at_places(a, [*keys, "ax", "ay"], "__a").withColumn("__y", F.explode(F.transform(near, lambda k: F.floor(F.col("ay") / high) + k)))
-    left = left.withColumn("__x", F.explode(F.array_distinct(F.transform(near, lambda k: F.pmod(col(F.col("ax"), row) + k, n_cols(row))))))
-    right = _at_places(b, [*keys, "bx", "by"], "__b").withColumn("__y", F.floor(F.col("by") / high)).withColumn("__x", col(F.col("bx"), row))
+    rows_of = lambda df: df.withColumn("__y", F.explode(F.transform(near, lambda k: F.floor(F.col("ay") / high) + k)))
+    left_bins = lambda df: rows_of(df).withColumn("__x", F.explode(F.array_distinct(F.transform(near, lambda k: F.pmod(col(F.col("ax"), row) + k, n_cols(row))))))
+    right_bins = lambda df: df.withColumn("__y", F.floor(F.col("by") / high)).withColumn("__x", col(F.col("bx"), row))
+    size = lambda df, place, bins, name: bins(df.groupBy(*keys, *place).agg(F.count("*").cast("double").alias("__n"))).groupBy(*bin_).agg(F.sum("__n").alias(name))
+    sizes = size(a, ("ax", "ay"), left_bins, "__a_n").join(size(b, ("bx", "by"), right_bins, "__b_n").hint("merge"), bin_, "full").na.fill(0.0, ["__a_n", "__b_n"])
+    sizes = staged(sizes.select(*bin_, (F.col("__a_n") + F.col("__b_n")).alias("__rows"), F.ceil(F.col("__a_n") * F.col("__b_n") / BLOCK_PAIRS).alias("__blocks"), (F.col("__a_n") * F.col("__b_n")).alias("__pairs")), "bins")
+    pairs, rows = sizes.agg(F.sum("__pairs"), F.sum("__rows")).first()
+    tasks = min(MOST_TASKS, max(1, math.ceil((pairs or 0.0) / BLOCK_PAIRS), math.ceil((rows or 0.0) / TASK_ROWS)))
+    left, right = left_bins(_at_places(a, [*keys, "ax", "ay"], "__a")), right_bins(_at_places(b, [*keys, "bx", "by"], "__b"))
     # a bin with more than BLOCK_PAIRS pairs of rows: at most one for so many pairs, so these few are broadcast
-    size = lambda df, c: df.groupBy(*bin_).agg(F.sum(F.size(c).cast("double")).alias(f"{c}_n"))
-    full = size(left, "__a").join(size(right, "__b").hint("merge"), bin_).select(*bin_, F.ceil(F.col("__a_n") * F.col("__b_n") / BLOCK_PAIRS).alias("__blocks")).where("__blocks > 1")
+    full = sizes.where("__blocks > 1").select(*bin_, "__blocks")
     dealt = lambda df: df.join(F.broadcast(full), bin_, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     left = dealt(left).withColumn("__block", F.pmod(F.xxhash64("ax", "ay", "__n"), F.col("__blocks"))).drop("__blocks", "__n")
     right = dealt(right).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).drop("__blocks", "__n")
+    left, right = (df.repartition(tasks, *bin_, "__block") for df in (left, right))
     met = left.join(right.hint("merge"), [*bin_, "__block"]).withColumn("distance", distance).where(F.col("distance") <= limit)
     met = met if also is None else met.where(also)
     place = [*keys, "ax", "ay", "bx", "by", "distance"]

@@ -359,8 +359,10 @@ def haversine_pairs_within(spark, sf_dir):
     s = stations(spark, sf_dir)
     a = s.select(F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     b = s.select(F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    found = nearest.pairs_within(a, b, haversine("ay", "ax", "by", "bx"), 1500.0)
-    return rounded(found.where("a < b").select("a", "b", "distance"), 6, "distance")
+    # of two places only one order has a distance: the other one gives the same pairs of stations
+    distance = F.when(F.expr("ax < bx or (ax = bx and ay <= by)"), haversine("ay", "ax", "by", "bx"))
+    found = nearest.pairs_within(a, b, distance, 1500.0).where("ax <> bx or ay <> by or a < b")
+    return rounded(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance"), 6, "distance")
 
 
 # ---- stencils

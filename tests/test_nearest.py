@@ -73,3 +73,23 @@ def test_pairs_of_a_full_bin_are_shared_by_tasks(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.select("a", "b").collect()) == sorted(tuple(r) for r in want.collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "__block" in plan and plan.count("__blocks") > 1
+
+
+def test_tasks_grow_with_pairs_not_with_bytes(spark, monkeypatch):
+    # few bytes and many pairs: partitions merged by their bytes would leave a task or two
+    monkeypatch.setattr(nearest, "BLOCK_PAIRS", 2000)
+    rows = spark.range(400).selectExpr("id", "cast(id % 20 as double) x", "cast(id % 20 as double) y")
+    a, b = rows.selectExpr("id a", "x ax", "y ay"), rows.selectExpr("id b", "x bx", "y by")
+    d = haversine("ay", "ax", "by", "bx")
+    found = nearest.pairs_within(a, b, d, 400.0)
+    assert found.rdd.getNumPartitions() >= 20
+    want = a.crossJoin(b).where(d <= 400.0).select("a", "b")
+    assert sorted(tuple(r) for r in found.select("a", "b").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_pairs_of_nothing(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0)], "a long, ax double, ay double")
+    b = a.selectExpr("a b", "ax bx", "ay by")
+    d = haversine("ay", "ax", "by", "bx")
+    assert nearest.pairs_within(a.limit(0), b, d, 400.0).count() == nearest.pairs_within(a, b.limit(0), d, 400.0).count() == 0
+    assert nearest.pairs_within(a, b, d, 400.0).count() == 1
