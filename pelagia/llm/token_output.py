@@ -28,20 +28,35 @@ BLOCK_IDS = 1 << 16
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids long, doc_ids array<long>, doc_lens array<long>, words binary, escapes binary"
 
 
+#: Bits of each number of 16 bits.
+_BITS_OF_16 = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))]).astype(np.uint8)
+
+
+def bit_lengths(v: np.ndarray) -> np.ndarray:
+    """Bits of each unsigned 64-bit number; 0 has none."""
+    out = _BITS_OF_16[v & np.uint64(0xFFFF)]
+    for k in range(16, int(v.max(initial=0)).bit_length(), 16):
+        part = _BITS_OF_16[v >> np.uint64(k) & np.uint64(0xFFFF)]
+        out = np.where(part > 0, part + np.uint8(k), out)
+    return out
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Simple-8b words and escapes of unsigned 64-bit values."""
     v = values.astype(np.uint64)
     n = len(v)
     if not n:
         return b"", b""
-    at = np.arange(n, dtype=np.int64)
+    # bits of the widest of the values from each place on, for longer and longer runs; zeros follow the last value
+    widest, runs = np.concatenate([bit_lengths(v), np.zeros(60, np.uint8)]), 1
     chosen = np.full(n, ESCAPE, np.uint8)
-    done = np.zeros(n, bool)
-    for k, (count, bits) in enumerate(PACKINGS):
-        big = np.where(v >> np.uint64(bits) != 0, at, n + 60)
-        fits = (np.minimum.accumulate(big[::-1])[::-1] - at >= count) & ~done
-        chosen[fits] = k
-        done |= fits
+    for k in range(len(PACKINGS) - 1, -1, -1):
+        count, bits = PACKINGS[k]
+        while runs < count:
+            more = min(runs, count - runs)
+            widest[:-more] = np.maximum(widest[:-more], widest[more:])
+            runs += more
+        chosen[widest[:n] <= bits] = k
     step = np.array([c for c, _ in PACKINGS] + [1, 1], np.int64)[chosen].tolist()
     starts, i = [], 0
     while i < n:

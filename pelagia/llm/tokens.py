@@ -11,9 +11,11 @@ import pyarrow as pa
 
 #: Entries kept in a worker's memory at once (some 150 MB together); a full table is emptied, results don't depend on it.
 MEMO_CHUNKS, MEMO_CORES = 400_000, 1_000_000
+#: Characters of texts whose words are held at once (a single text may have more).
+RUN_CHARS = 1 << 19
 
 #: Python splits at these, the vocabulary's pre-tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
@@ -63,37 +65,49 @@ class WordTokenizer:
     def _learn(self, chunks: set[str], latin: bool) -> None:
         if len(self.cores) > MEMO_CORES:
             self.cores.clear()
-        plain, odd, need, tails = [], [], set(), set()
+        plain, cores, odd = [], [], []
         known = self.cores
         for c in chunks:
             core = c.rstrip(",.;:")
             if core.isalpha() and (latin or core.isascii()):
-                plain.append((c, core))
-                if core not in known:
-                    need.add(core)
-                if len(core) < len(c) and c[len(core) :] not in known:
-                    tails.add(c[len(core) :])
+                plain.append(c)
+                cores.append(core)
             else:
                 odd.append(c)
-        self._learn_cores(list(need))
+        tails = {c[len(core) :] for c, core in zip(plain, cores, strict=True)}.difference(known, [""])
+        self._learn_cores(list(set(cores).difference(known)))
         for words, into in ((list(tails), known), (odd, self.chunks)):
             for x, one in zip(words, self._raw(words), strict=True):
                 into[x] = np.array(one, np.uint32).tobytes()
-        for c, core in plain:
+        for c, core in zip(plain, cores, strict=True):
             self.chunks[c] = known[core] if len(core) == len(c) else known[core] + known[c[len(core) :]]
 
     def encode(self, texts: list[str | None]):
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text. New words of texts of about ``RUN_CHARS`` characters together are learned at once."""
+        run: list[list[str]] = []
+        words_of: dict[bool, list[list[str]]] = {True: [], False: []}
+        size = 0
         for text in texts:
-            latin = bool(text) and not _BEYOND_LATIN.search(text) and "<|" not in text and "İ" not in text
+            latin = bool(text) and (text.isascii() or not _BEYOND_LATIN.search(text)) and "<|" not in text and "İ" not in text
             if latin:
                 text = text.lower()  # as the vocabulary's normaliser does
-            words = (_ASCII_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()) if text else []
-            if missing := set(words).difference(self.chunks):
-                if len(self.chunks) > MEMO_CHUNKS:
-                    self.chunks.clear()
-                    missing = set(words)
+            words = (_ASCII_SPACE.split(text) if any(x in text for x in _ODD_SPACES) else text.split()) if text else []
+            if size and size + len(words and text) > RUN_CHARS:
+                yield from self._known(run, words_of)
+                run, words_of, size = [], {True: [], False: []}, 0
+            run.append(words)
+            words_of[latin].append(words)
+            size += len(words and text)
+        yield from self._known(run, words_of)
+
+    def _known(self, run: list[list[str]], words_of: dict[bool, list[list[str]]]):
+        """The ids of each text of ``run``; ``words_of`` are the same words by whether the text is of Latin letters alone."""
+        if len(self.chunks) > MEMO_CHUNKS:
+            self.chunks.clear()
+        for latin, lists in words_of.items():
+            if missing := set().union(*lists).difference(self.chunks):
                 self._learn(missing, latin)
+        for words in run:
             yield b"".join(map(self.chunks.__getitem__, words))
 
 

@@ -147,3 +147,35 @@ def test_workers_give_back_what_encoding_held():
     list(toxicity._count_rows([]))  # a task of another operator in the same worker
     assert not tokens._loaded
     assert [list(tokens.tokenizer(path).encode(["some words, and more words"]))] == first
+
+
+def test_new_words_of_several_texts_are_learned_at_once(monkeypatch):
+    from pelagia.llm import tokens
+
+    texts = [None, "", "İx <|a", *(f"neu{k}wort, other{k} 12{k} ж{k}. neu{k}wort" for k in range(300)), "\x1c a\x1db", "Neu1wort NEU2WORT"]
+    t = tokens.WordTokenizer(tokens.default_vocabulary())
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    calls, raw = [], t._raw
+    monkeypatch.setattr(t, "_raw", lambda x: calls.append(len(x)) or raw(x))
+    assert list(t.encode(texts)) == want and len(calls) < 30
+    monkeypatch.setattr(tokens, "RUN_CHARS", 100)
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 20)
+    assert list(tokens.WordTokenizer(tokens.default_vocabulary()).encode(texts)) == want
+    assert list(t.encode([])) == []
+
+
+def test_words_of_any_bits_are_packed_like_the_longest_fit():
+    from pelagia.llm import token_output as to
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 59, 60, 61, 500):
+        v = rng.integers(0, 1 << 63, n, dtype=np.uint64) >> rng.integers(0, 64, n).astype(np.uint64)
+        v[rng.random(n) < 0.4] = 0
+        words, escapes = to.pack(v)
+        assert (to.unpack(words, escapes, n) == v).all()
+        kinds, at = [], 0
+        while at < n:
+            k = next((k for k, (c, b) in enumerate(to.PACKINGS) if all(int(x) >> b == 0 for x in v[at : at + c])), to.ESCAPE)
+            kinds.append(k)
+            at += to.PACKINGS[k][0] if k != to.ESCAPE else 1
+        assert (np.frombuffer(words, "<u8") >> np.uint64(60)).tolist() == kinds
