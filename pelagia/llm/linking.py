@@ -30,8 +30,17 @@ Sets = tuple[np.ndarray, np.ndarray]
 
 
 def numbered(values: np.ndarray) -> np.ndarray:
-    """Small numbers in place of hashes."""
-    return np.unique(values, return_inverse=True)[1].astype(np.int32)
+    """Small numbers in place of hashes, in their order."""
+    # one sort of each value's high bits with its place behind them; values that differ in the low bits alone are rare
+    low = np.uint64(len(values).bit_length())
+    held = np.sort(values >> low << low | np.arange(len(values), dtype=np.uint64))
+    place, high = (held & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), held >> low
+    same, own = high[1:] == high[:-1], values[place]
+    if (same & (own[1:] != own[:-1])).any():
+        return np.unique(values, return_inverse=True)[1].astype(np.int32)
+    out = np.zeros(len(values), np.int32)
+    out[place[1:]] = np.cumsum(~same, dtype=np.int32)
+    return out
 
 
 def packed_sets(payloads: list[bytes]) -> Sets:
@@ -97,8 +106,8 @@ def share_of(differing: np.ndarray) -> np.ndarray:
     """Share of the 4-bit pieces without a set bit, of rows of 64-bit words, less what agrees by chance."""
     d = differing | differing >> np.uint64(2)
     d |= d >> np.uint64(1)
-    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
-    return (1 - differ / (16 * differing.shape[1]) - 1 / 16) / (15 / 16)
+    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=-1)
+    return (1 - differ / (16 * differing.shape[-1]) - 1 / 16) / (15 / 16)
 
 
 def agreement(sketches: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -106,14 +115,43 @@ def agreement(sketches: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
     return lambda x, others: share_of(sketches[others] ^ sketches[x])
 
 
+#: Pairs of a cell whose estimates are looked at before any set is read, at most.
+BEFORE_READING = 1 << 12
+
+
+def worth_reading(side: np.ndarray, root: np.ndarray, sketches: np.ndarray, cuts: np.ndarray, least: float) -> np.ndarray:
+    """Which members of the cells between ``cuts`` may be linked with another one by their sketches; all members of large cells."""
+    out = np.zeros(len(side), bool)
+    at = cuts[:-1][np.diff(cuts) == 2]
+    at = at[(root[at] != root[at + 1]) & (share_of(sketches[at] ^ sketches[at + 1]) >= least)]
+    out[at] = out[at + 1] = True
+    for k in np.flatnonzero(np.diff(cuts) > 2).tolist():
+        a, b = int(cuts[k]), int(cuts[k + 1])
+        left, right = a + np.flatnonzero(side[a:b] != 1), a + np.flatnonzero(side[a:b] != 0)
+        if len(left) * len(right) > max(BEFORE_READING, b - a):
+            out[a:b] = True
+            continue
+        near = (share_of(sketches[left, None] ^ sketches[right]) >= least) & (root[left, None] != root[right])
+        out[left[near.any(axis=1)]] = True
+        out[right[near.any(axis=0)]] = True
+    return out
+
+
 def _cells(read: Callable[[list], Sets], shingle_bytes: int, percent: int, least: float | None):
     """Rows (cell, side, component, payload[, sketch]) sorted by cell, as links (a, b) of components. A few cells are read at once."""
 
     def solve(rows: pa.Table, cuts: np.ndarray) -> list[tuple[int, int]]:
+        side, component = (rows.column(c).to_numpy() for c in ("side", "component"))
+        sketches = None
+        if least is not None:
+            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1)
+            good = worth_reading(side, component, sketches, cuts, least)
+            cuts = np.unique(np.append(0, good.cumsum())[cuts])
+            rows, side, component, sketches = rows.filter(pa.array(good)), side[good], component[good], sketches[good]
+            if not len(side):
+                return []
         codes, starts = read(rows.column("payload").to_pylist())
         seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
-        side, component = (rows.column(c).to_numpy() for c in ("side", "component"))
-        sketches = None if least is None else np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1)
         found = pair_links(cuts[:-1][np.diff(cuts) == 2], side, component, codes, starts, percent, sketches, least)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a > 2:

@@ -538,3 +538,33 @@ def test_line_dedup_of_a_corpus(spark, sample, sample_rows):
     small = [r for r in sample_rows if r[0] < 60]
     out = line_dedup.dedup_lines(sample.where("doc_id < 60")).select("row.doc_id", "n_lines", "n_removed", "kept")
     assert Counter(tuple(r) for r in out.collect()) == lines_kept(small)
+
+
+def test_lines_that_only_repeat_are_no_candidates(spark, monkeypatch):
+    """A line's own copies in other batches share all keys with it, but make no group of different lines."""
+    line = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    rows = [(k, f"{line(k % 7)}\n{line(10 + k % 5)}") for k in range(70)]
+    asked = []
+    link_groups = line_dedup.link_groups
+    monkeypatch.setattr(line_dedup, "link_groups", lambda member, *rest: asked.append(member.count()) or link_groups(member, *rest))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("row.doc_id", "n_lines", "n_removed", "kept")
+    assert Counter(tuple(r) for r in out.collect()) == lines_kept(rows)
+    assert asked == [0]
+
+
+def test_places_of_repeated_lines_in_odd_rows(spark):
+    """Rows of one id with different texts, whole rows again, lines that stand several times in one row, extreme ids."""
+    a, b = "the first line of some that are alike in most of their characters 1", "the first line of some that are alike in most of their characters 2"
+    rows = [(5, a + "\n" + b), (5, b + "\n" + a), (5, a + "\n" + b), (-(2**63), "x\n\n x \nx"), (2**63 - 1, "x\n" + a), (6, "y\ny"), (7, "z")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("row.doc_id", "n_lines", "n_removed", "kept")
+    assert Counter(tuple(r) for r in out.collect()) == lines_kept(rows)
+
+
+def test_sets_are_read_of_members_with_a_near_partner_only():
+    sketches = np.array([[0], [1], [0], [2**64 - 1], [0], [0], [2**64 - 1], [2**64 - 1]], np.uint64)
+    root = np.array([0, 1, 2, 3, 4, 5, 6, 6])
+    side = np.array([0, 1, 0, 1, 2, 2, 2, 2])
+    good = linking.worth_reading(side, root, sketches, np.array([0, 2, 4, 8]), 0.5)
+    assert good.tolist() == [True, True, False, False, True, True, False, False]
+    values = np.array([5, 2**63, 2**63 + 1, 5, 2**63, 0], np.uint64)
+    assert linking.numbered(values).tolist() == [1, 2, 3, 1, 2, 0] and not len(linking.numbered(values[:0]))
